@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from trackloom.llm.huffman import op8_huffman_ids
+from trackloom.llm.packing import op4_best_fit_packing
 
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op8_huffman_ids": op8_huffman_ids,
 }
 ORACLE_SQL: dict[str, str] = {}
