@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from trackloom.llm.huffman import op8_huffman_ids
 from trackloom.llm.packing import op4_best_fit_packing
+from trackloom.llm.simhash import op1_simhash_vptree
 
 QUERIES = {
+    "op1_simhash_vptree": op1_simhash_vptree,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_huffman_ids": op8_huffman_ids,
 }
