@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,3 +97,9 @@ def partitions_for(spark: SparkSession, size: int, each: int) -> int:
 def crc_fold(column="doc_id", folds: int = 5):
     """crc32 of the id as text, modulo folds. Null ids go by the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of data frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
