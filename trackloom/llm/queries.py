@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from trackloom.llm.huffman import op8_huffman_ids
 from trackloom.llm.packing import op4_best_fit_packing
+from trackloom.llm.quality import op6_quality_trees
 from trackloom.llm.simhash import op1_simhash_vptree
 from trackloom.llm.suffix import op9_suffix_dedup
 
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_quality_trees": op6_quality_trees,
     "op8_huffman_ids": op8_huffman_ids,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
