@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trackloom.llm.huffman import op8_huffman_ids
+from trackloom.llm.language import op3_language_viterbi
 from trackloom.llm.packing import op4_best_fit_packing
 from trackloom.llm.quality import op6_quality_trees
 from trackloom.llm.simhash import op1_simhash_vptree
@@ -10,6 +11,7 @@ from trackloom.llm.suffix import op9_suffix_dedup
 
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
+    "op3_language_viterbi": op3_language_viterbi,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_quality_trees": op6_quality_trees,
     "op8_huffman_ids": op8_huffman_ids,
