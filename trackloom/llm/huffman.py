@@ -26,8 +26,8 @@ from trackloom.llm import common, tokens
 
 HEAD = struct.Struct("<4sBBHIIQ")
 MAGIC = b"THUF"
-#: Ids between checkpoints; ids in a block file (about); bytes of text in a partition.
-STEP, BLOCK, EACH = 512, 1 << 20, 24 << 20
+#: Ids between checkpoints; bytes of text in a partition (about; a block has 4 MB or a text).
+STEP, EACH = 512, 24 << 20
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -164,62 +164,64 @@ def write_huffman(docs: DataFrame, path: str, vocabulary: str | None = None, end
     """Encode every whole text (null: empty), append end_id, and store all ids below path in
     ascending doc_id order (null ids first; equal ids by their texts' checksum).
 
-    Two passes: one counts ids wherever the texts lie; the other deals the texts out by
-    ranges of doc_id, encodes each anew and writes its bits, so that no ids are ever moved.
+    The texts are dealt out by ranges of doc_id and encoded once, to blocks of plain ids
+    that are staged in the shared folder; these are counted, and then coded one by one.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or tokens.default_vocabulary()
-    docs = common.pick(docs, doc_id="long", text="string")
-    tail = np.asarray([end_id], "<u4").tobytes()
+    staged = f"{path}-ids"
 
-    def tally(batches):
-        enc, sums = tokens.word_ids(vocabulary), np.zeros(end_id + 1, np.int64)
+    def stage(batches):
+        enc, part, block, at = tokens.word_ids(vocabulary), TaskContext.get().partitionId(), 0, 0
+        kind = "<u2" if max(len(enc.ends) - 1, end_id) < 1 << 16 else "<u4"
         for whole in batches:
             for b in common.slices(whole, "text", 4 << 20):
-                got = np.bincount(np.frombuffer(b"".join(map(enc.ids, b.column(0).to_pylist())), "<u4"))
+                ids, off = enc.flat(*common.flat_text(b.column(1)))
+                ids = np.insert(ids, off[1:], end_id).astype(kind)
+                doc_ids = np.asarray(b.column(0).fill_null(NULL)).astype("<i8")
+                counts = (np.diff(off) + 1).astype("<u4")
+                row = [part, block, at, len(ids), doc_ids.tobytes(), counts.tobytes(), ids.tobytes(), ids.itemsize]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()), strict=True)], ["part", "block", "base", "n", "doc_ids", "counts", "ids", "width"])
+                block, at = block + 1, at + len(ids)
+
+    _sorted(common.pick(docs, doc_id="long", text="string")).mapInArrow(stage, STAGED).write.option("compression", "zstd").parquet(staged)
+    common.forget_shuffles(spark)
+    plain = spark.read.schema(STAGED).parquet(staged)
+
+    def tally(batches):
+        sums = np.zeros(0, np.int64)
+        for b in batches:
+            for ids, width in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                got = np.bincount(np.frombuffer(ids.as_py(), f"<u{width}"))
                 if len(got) > len(sums):
                     sums = np.concatenate([sums, np.zeros(len(got) - len(sums), np.int64)])
                 sums[: len(got)] += got
-                sums[end_id] += b.num_rows
         live = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array(sums[live], pa.int64())], ["id", "n"])
 
     # One row for each id of the vocabulary at most.
-    rows = docs.select("text").mapInArrow(tally, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = plain.select("ids", "width").mapInArrow(tally, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r.id for r in rows], default=0) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
     lengths = code_lengths(counts, max(limit, int(np.ceil(np.log2(max(2, len(rows)))))))
     share = spark.sparkContext.broadcast(lengths)
 
-    def encode(batches):
-        enc, lengths, part = tokens.word_ids(vocabulary), share.value, TaskContext.get().partitionId()
+    def code(batches):
+        lengths = share.value
         codes = canonical(lengths)
-        doc_ids, sizes, held, n, at, block = [], [], [], 0, 0, 0
-
-        def flush():
-            blob = write_block(doc_ids, sizes, np.frombuffer(b"".join(held), "<u4"), codes, lengths)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([at], pa.int64()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())], ["part", "block", "base", "n", "blob"])
-
-        for whole in batches:
-            for b in common.slices(whole, "text", 4 << 20):
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    x = enc.ids(t) + tail
-                    doc_ids.append(NULL if d is None else d)
-                    sizes.append(len(x) // 4)
-                    held.append(x)
-                    n += sizes[-1]
-                    if n >= BLOCK:
-                        yield flush()
-                        doc_ids, sizes, held, n, at, block = [], [], [], 0, at + n, block + 1
-        if held:
-            yield flush()
+        for b in batches:
+            for i, r in enumerate(b.select(["doc_ids", "counts", "ids", "width"]).to_pylist()):
+                blob = write_block(np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["counts"], "<u4"), np.frombuffer(r["ids"], f"<u{r['width']}"), codes, lengths)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, 1) for c in ("part", "block", "base", "n")], pa.array([blob], pa.binary())], ["part", "block", "base", "n", "blob"])
 
     codebook = spark.createDataFrame([(-1, 0, 0, 0, bytearray(lengths.tobytes()))], BLOCKS)
-    _sorted(docs).mapInArrow(encode, BLOCKS).unionByName(codebook).write.option("compression", "none").parquet(path)
+    plain.mapInArrow(code, BLOCKS).unionByName(codebook).write.option("compression", "none").parquet(path)
     share.unpersist()
+    common.delete_path(spark, staged)
 
 
+STAGED = "part int, block int, base long, n long, doc_ids binary, counts binary, ids binary, width int"
 BLOCKS = "part int, block int, base long, n long, blob binary"
 #: How a null doc_id stands in a block.
 NULL = -(1 << 63)

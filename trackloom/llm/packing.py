@@ -105,22 +105,25 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, separator: i
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids as uint32 bytes).
     A null text counts as empty: its only id is the separator. Longer documents are cut."""
     vocabulary = vocabulary or tokens.default_vocabulary()
-    tail = np.asarray([separator], "<u4").tobytes()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def cut(batches):
         enc = tokens.word_ids(vocabulary)
         for whole in batches:
             for b in common.slices(whole, "text", 4 << 20):
-                out = []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    ids = enc.ids(t) + tail
-                    for piece, at in enumerate(range(0, len(ids), 4 * most)):
-                        part = ids[at : at + 4 * most]
-                        out.append((d, piece, at // 4, len(part) // 4, tokens.crc_ids(part), part))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)] if out else [pa.array([], k) for k in kinds], names)
+                ids, at = enc.flat(*common.flat_text(b.column(1)))
+                ids = np.insert(ids, at[1:], separator).astype("<u4")
+                at = at + np.arange(len(at))
+                n = -(-np.diff(at) // most)  # pieces of each document; every one has an id at least
+                doc = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                begin = at[doc] + piece * most
+                end = np.minimum(begin + most, at[doc + 1])
+                parts = [ids[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+                columns = [b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * most), pa.array(end - begin), pa.array([tokens.crc_ids(x) for x in parts], pa.int64())]
+                if with_ids:
+                    columns.append(pa.array([x.tobytes() for x in parts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     return common.pick(docs, doc_id="long", text="string").mapInArrow(cut, schema)
 
