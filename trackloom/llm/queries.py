@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trackloom.llm.html import op10_html_blocks
 from trackloom.llm.huffman import op8_huffman_ids
 from trackloom.llm.language import op3_language_viterbi
 from trackloom.llm.packing import op4_best_fit_packing
@@ -16,5 +17,6 @@ QUERIES = {
     "op6_quality_trees": op6_quality_trees,
     "op8_huffman_ids": op8_huffman_ids,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_html_blocks": op10_html_blocks,
 }
 ORACLE_SQL: dict[str, str] = {}
