@@ -5,6 +5,7 @@ from __future__ import annotations
 from trackloom.llm.html import op10_html_blocks
 from trackloom.llm.huffman import op8_huffman_ids
 from trackloom.llm.language import op3_language_viterbi
+from trackloom.llm.media import op5_mpeg_audio
 from trackloom.llm.packing import op4_best_fit_packing
 from trackloom.llm.quality import op6_quality_trees
 from trackloom.llm.simhash import op1_simhash_vptree
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
     "op3_language_viterbi": op3_language_viterbi,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_mpeg_audio": op5_mpeg_audio,
     "op6_quality_trees": op6_quality_trees,
     "op8_huffman_ids": op8_huffman_ids,
     "op9_suffix_dedup": op9_suffix_dedup,
