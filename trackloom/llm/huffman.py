@@ -26,8 +26,8 @@ from trackloom.llm import common, tokens
 
 HEAD = struct.Struct("<4sBBHIIQ")
 MAGIC = b"THUF"
-#: Ids between checkpoints; bytes of text in a partition (about; a block has 4 MB or a text).
-STEP, EACH = 512, 24 << 20
+#: Ids between checkpoints; bytes of text in a partition (about; a block has 1 MB or a text).
+STEP, EACH = 256, 24 << 20
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -175,7 +175,7 @@ def write_huffman(docs: DataFrame, path: str, vocabulary: str | None = None, end
         enc, part, block, at = tokens.word_ids(vocabulary), TaskContext.get().partitionId(), 0, 0
         kind = "<u2" if max(len(enc.ends) - 1, end_id) < 1 << 16 else "<u4"
         for whole in batches:
-            for b in common.slices(whole, "text", 4 << 20):
+            for b in common.slices(whole, "text", tokens.AT_ONCE):
                 ids, off = enc.flat(*common.flat_text(b.column(1)))
                 ids = np.insert(ids, off[1:], end_id).astype(kind)
                 doc_ids = np.asarray(b.column(0).fill_null(NULL)).astype("<i8")

@@ -110,7 +110,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, separator: i
     def cut(batches):
         enc = tokens.word_ids(vocabulary)
         for whole in batches:
-            for b in common.slices(whole, "text", 4 << 20):
+            for b in common.slices(whole, "text", tokens.AT_ONCE):
                 ids, at = enc.flat(*common.flat_text(b.column(1)))
                 ids = np.insert(ids, at[1:], separator).astype("<u4")
                 at = at + np.arange(len(at))
@@ -128,7 +128,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, separator: i
     return common.pick(docs, doc_id="long", text="string").mapInArrow(cut, schema)
 
 
-def pack(pieces: DataFrame, cap: Capacity = Capacity(), group: int = 4096) -> DataFrame:
+def pack(pieces: DataFrame, cap: Capacity = Capacity(), group: int = 512) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset.
 
     Ranks are counted within (length, salt); a length gets a salt for every `group` pieces,
