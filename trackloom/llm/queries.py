@@ -10,6 +10,7 @@ from trackloom.llm.packing import op4_best_fit_packing
 from trackloom.llm.quality import op6_quality_trees
 from trackloom.llm.simhash import op1_simhash_vptree
 from trackloom.llm.suffix import op9_suffix_dedup
+from trackloom.llm.unigram import op7_unigram_counts
 
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mpeg_audio": op5_mpeg_audio,
     "op6_quality_trees": op6_quality_trees,
+    "op7_unigram_counts": op7_unigram_counts,
     "op8_huffman_ids": op8_huffman_ids,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_html_blocks": op10_html_blocks,
