@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trackloom.llm.contamination import OP2_SQL, op2_benchmark_containment
 from trackloom.llm.html import op10_html_blocks
 from trackloom.llm.huffman import op8_huffman_ids
 from trackloom.llm.language import op3_language_viterbi
@@ -14,6 +15,7 @@ from trackloom.llm.unigram import op7_unigram_counts
 
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
+    "op2_benchmark_containment": op2_benchmark_containment,
     "op3_language_viterbi": op3_language_viterbi,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mpeg_audio": op5_mpeg_audio,
@@ -23,4 +25,4 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_html_blocks": op10_html_blocks,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_benchmark_containment": OP2_SQL}
