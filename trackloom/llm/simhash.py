@@ -10,7 +10,10 @@ shard a tree of its own prunes in the same way down to small blocks, which are c
 full. Shards give component labels, never pairs, and the labels that a fingerprint got in
 several shards are joined by `graph.components`.
 
-Similarity form (`near_groups`): see there.
+Similarity form (`near_groups`): at the distances that a similarity of 0.8 stands for, all
+distances to a vantage lie within the radius of one another and no bound prunes, so a tree
+can't deal documents out. There bands of MinHash deal them out to shards, and within a shard
+the longer fingerprints are linked as above.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm import common, graph
+from trackloom.llm import common, graph, tokens
 
 #: Fingerprints that a tree is fitted on at most; fingerprints aimed at in a shard; most shards.
 SAMPLE, SHARD, SHARDS = 32_768, 8_192, 1_024
@@ -128,6 +131,44 @@ def route(points: np.ndarray, tree: list, radius: int) -> tuple[np.ndarray, np.n
     return np.concatenate(rows), np.concatenate(shards)
 
 
+def compare(points: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, forest: graph.Forest) -> None:
+    """Join all pairs of a row on the left and a row on the right that are linked."""
+    for a in range(0, len(left), 512):
+        rows = left[a : a + 512]
+        for b in range(a if left is right else 0, len(right), 4096):
+            cols = right[b : b + 4096]
+            d = np.zeros((len(rows), len(cols)), np.uint16)
+            for w in range(points.shape[1]):
+                d += np.bitwise_count(points[rows, w][:, None] ^ points[cols, w][None, :])
+            x, y = np.nonzero(d <= radius)
+            forest.join(rows[x], cols[y])
+
+
+def crowd(points: np.ndarray, own: np.ndarray, radius: int, forest: graph.Forest, rng: np.random.Generator) -> None:
+    """Join a crowd that no bound divides. What lies within the radius of a vantage point is
+    linked to it; after a few vantage points hardly any are left, and only rows that are not
+    yet connected are compared with one another. No link between components is missed."""
+    left = own
+    for _ in range(24):
+        if len(left) < 64:
+            break
+        best = max((own[distance(points[own], points[v]) <= radius] for v in left[rng.integers(0, len(left), 6)]), key=len)
+        forest.join(best, np.full(len(best), best[0]))
+        left = np.setdiff1d(left, best, assume_unique=True)
+    while True:
+        roots, size = np.unique(forest.parent[own], return_counts=True)
+        if len(roots) == 1:
+            return
+        # The smallest component against all others; it is then joined or done with.
+        one = roots[size.argmin()]
+        mine = own[forest.parent[own] == one]
+        compare(points, mine, own[forest.parent[own] != one], radius, forest)
+        if forest.parent[mine[0]] == one and (forest.parent[own] == one).sum() == len(mine):
+            own = own[forest.parent[own] != one]
+            if not len(own):
+                return
+
+
 def link(points: np.ndarray, radius: int, block: int = 384) -> np.ndarray:
     """For each point the smallest row linked to it, by a tree of its own."""
     forest, rng = graph.Forest(len(points)), np.random.default_rng(11)
@@ -151,16 +192,10 @@ def link(points: np.ndarray, radius: int, block: int = 384) -> np.ndarray:
                 order = keep[np.argsort(words[keep], kind="stable")]
                 same = np.flatnonzero(words[order][1:] == words[order][:-1])
                 forest.join(own[order[same] // 65], own[order[same + 1] // 65])
+        elif len(own) > 2048:
+            crowd(points, own, radius, forest, rng)
         else:
-            for a in range(0, len(own), 512):
-                rows = own[a : a + 512]
-                for b in range(a, len(own), 4096):
-                    cols = own[b : b + 4096]
-                    d = np.zeros((len(rows), len(cols)), np.uint16)
-                    for w in range(points.shape[1]):
-                        d += np.bitwise_count(points[rows, w][:, None] ^ points[cols, w][None, :])
-                    x, y = np.nonzero(d <= radius)
-                    forest.join(rows[x], cols[y])
+            compare(points, own, own, radius, forest)
     return forest.parent
 
 
@@ -210,5 +245,114 @@ def simhash_components(docs: DataFrame, n: int = 3, radius: int = 2) -> DataFram
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Bands of the similarity form, MinHash values in a band, and words of its fingerprints.
+BANDS, ROWS, WORDS = 14, 4, 8
+_rng = np.random.default_rng(1)
+_FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Bits that differ, as expected, between the SimHashes of sets of a Jaccard similarity."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5)
+
+
+def sketches(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, WORDS) fingerprints and (documents, BANDS) keys of the n-word shingles."""
+    docs = len(off) - 1
+    words, keys = np.zeros((docs, WORDS), np.uint64), np.zeros((docs, BANDS), np.uint64)
+    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).astype(np.uint8)
+    starts, ends = tokens.words(data, off)
+    prints, place = tokens.word_prints(data, starts, ends), np.searchsorted(starts, off)
+    count = np.diff(place)
+    hashes = np.zeros(len(prints), np.uint64)
+    doc = np.repeat(np.arange(docs), count)
+    last = place[1:][doc]
+    for k in range(n):
+        at = np.arange(len(prints)) + k
+        on = at < last
+        hashes[on] = (hashes[on] ^ prints[at[on]]) * np.uint64(0x9E3779B97F4A7C15)
+        hashes[on] ^= hashes[on] >> np.uint64(29)
+    keep = (np.arange(len(prints)) + n <= last) | ((count[doc] < n) & (np.arange(len(prints)) == place[:-1][doc]))
+    hashes, doc = hashes[keep], doc[keep]
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    if not len(first):
+        return words, keys
+    own = doc[first]
+    for j, f in enumerate(_FACTORS):
+        x = hashes * f
+        least = np.minimum.reduceat(x ^ (x >> np.uint64(32)), first)
+        keys[own, j // ROWS] = (keys[own, j // ROWS] ^ least) * np.uint64(0xD6E8FEB86659FD93)
+    for w, salt in enumerate(_SALTS):
+        x = hashes * salt
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        for d, a, b in zip(own.tolist(), first.tolist(), np.r_[first[1:], len(x)].tolist(), strict=True):
+            words[d, w] = majority(x[a:b])
+    return words, keys
+
+
+def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id of every document: components of the links between documents
+    whose sets of n-word shingles have about the similarity or more, which SimHashes of 512
+    bits decide (a similarity's standard error is 0.02). Null, empty and blank texts have
+    equal fingerprints and are one component. A bucket of a band may hold any number."""
+    spark = docs.sparkSession
+    radius = radius_of(similarity, 64 * WORDS)
+
+    def sketch(batches):
+        for whole in batches:
+            for b in common.slices(whole, "text", 1 << 20):
+                words, keys = sketches(*common.flat_text(b.column(1)), n)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())], ["doc_id", "print", "bands"])
+
+    whole = common.materialize(common.pick(docs, doc_id="long", text="string").mapInArrow(sketch, "doc_id long, print binary, bands binary"), "sketches")
+    distinct = common.materialize(whole.groupBy("print", "bands").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
+
+    def spread(batches):
+        salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for b in batches:
+            keys = np.frombuffer(common.flat_text(b.column(1))[0].tobytes(), np.uint64).reshape(-1, BANDS) ^ salt
+            row = np.repeat(np.arange(b.num_rows), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column(2).take(pa.array(row)), b.column(0).take(pa.array(row))], ["bucket", "rep", "print"])
+
+    def join(batches):
+        def linked(bucket, rep, points):
+            forest = graph.Forest(len(rep))
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            size = np.diff(np.r_[first, len(bucket)])
+            of = np.repeat(size, size)
+            for step in range(1, 32):  # buckets of 32 and fewer, all at once
+                a = np.flatnonzero((of[step:] <= 32) & (bucket[step:] == bucket[:-step]))
+                if len(a):
+                    d = np.bitwise_count(points[a] ^ points[a + step]).sum(axis=1)
+                    forest.join(a[d <= radius], a[d <= radius] + step)
+            for f, s in zip(first[size > 32].tolist(), size[size > 32].tolist(), strict=True):
+                forest.join(np.arange(f, f + s), f + link(points[f : f + s], radius))
+            on = np.flatnonzero(rep[forest.parent] != rep)
+            return pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(rep[forest.parent[on]])], ["a", "b"])
+
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = (np.asarray(b.column(0)), np.asarray(b.column(1)), common.flat_text(b.column(2))[0].copy().view(np.uint64).reshape(-1, WORDS))
+            now = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            last = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
+            held = tuple(x[last:] for x in now)
+            if last:
+                yield linked(*(x[:last] for x in now))
+        if held is not None:
+            yield linked(*held)
+
+    parts = common.partitions_for(spark, distinct.count() * BANDS * 88, 16 << 20)
+    dealt = distinct.select("print", "bands", "rep").mapInArrow(spread, "bucket long, rep long, print binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    roots = graph.components(dealt.mapInArrow(join, "a long, b long"))
+    own = distinct.join(roots, distinct.rep == roots.node, "left").select("print", "bands", F.coalesce("root", "rep").alias("component_id"))
+    own = common.materialize(own, "groups")
+    return whole.join(own, ["print", "bands"], "left").select("doc_id", "component_id")
+
+
 def op1_simhash_vptree(spark, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
