@@ -123,6 +123,20 @@ class Index:
         return found
 
 
+def indexes(items: DataFrame, containment: float) -> list:
+    """Broadcast indexes of all items, each over a block of bounded size."""
+    spark = items.sparkSession
+    share = Fraction(containment).limit_denominator(1000)
+    items = common.materialize(common.pick(items, item_id="long", text="string").where("item_id is not null and text is not null").distinct(), "items")
+    size = items.select(F.sum(F.length(F.col("text").cast("binary")))).first()[0] or 0
+    blocks = max(1, -(-2 * size // BLOCK))
+    out = []
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        out.append(spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text.encode() for r in rows], share)))
+    return out
+
+
 def find_items(docs: DataFrame, items: DataFrame, containment: float = 0.8) -> DataFrame:
     """One row for each item inside a document: doc_id, item_id, n_shingles, n_found.
 
@@ -130,17 +144,10 @@ def find_items(docs: DataFrame, items: DataFrame, containment: float = 0.8) -> D
     is found only as a whole document. Repeated rows of documents each give their rows; rows
     of items that share item_id and text count once.
     """
-    spark = docs.sparkSession
-    share = Fraction(containment).limit_denominator(1000)
-    items = common.materialize(common.pick(items, item_id="long", text="string").where("item_id is not null and text is not null").distinct(), "items")
-    size = items.select(F.sum(F.length(F.col("text").cast("binary")))).first()[0] or 0
-    blocks = max(1, -(-2 * size // BLOCK))
     docs = common.pick(docs, doc_id="long", text="string")
     schema = "doc_id long, item_id long, n_shingles long, n_found long"
     out = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # a block of bounded size
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text.encode() for r in rows], share))
+    for index in indexes(items, containment):
 
         def run(batches, index=index):
             x = index.value
@@ -156,6 +163,22 @@ def find_items(docs: DataFrame, items: DataFrame, containment: float = 0.8) -> D
     return out
 
 
+def without_items(docs: DataFrame, items: DataFrame, containment: float = 0.8) -> DataFrame:
+    """The rows of docs (any columns, one of them text) that hold no item."""
+    schema = docs.schema
+    for index in indexes(items, containment):
+
+        def run(batches, index=index):
+            x = index.value
+            for whole in batches:
+                for b in common.slices(whole, "text", 2 << 20):
+                    held = {t for t, _, _ in x.search(*common.flat_text(b.column(b.schema.get_field_index("text"))))}
+                    yield b.filter(pa.array([i not in held for i in range(b.num_rows)], pa.bool_())) if held else b
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
+
+
 def op2_benchmark_containment(spark, sf_dir: str) -> DataFrame:
     return find_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -162,6 +162,10 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), group: int = 512) -> Dat
     return ranked.mapInArrow(place, schema)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of all documents (tokenised once) with their sequences."""
+    return pack(common.materialize(tokenize_pieces(docs), "pieces")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    pieces = common.materialize(tokenize_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pieces")
-    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
