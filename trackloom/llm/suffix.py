@@ -19,6 +19,7 @@ of documents share is sent once by each batch, and no bucket gets more.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -27,33 +28,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm import common
+from trackloom.llm import common, tokens
 
 GRAM = 24
 #: Bytes of text in a batch and in a partition (about).
 BATCH, EACH = 4 << 20, 24 << 20
 _rng = np.random.default_rng(20)
 BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-ODD = 0x9E3779B97F4A7C15
 FINISH = np.uint64(0xD6E8FEB86659FD93)
 
 
-def grams(data: np.ndarray, k: int) -> np.ndarray:
-    """A well mixed 64-bit fingerprint of the k bytes that begin at each position."""
-    out, done, span, width, left = None, 0, BYTE[data], 1, k
-    n = len(data)
-    while left:
-        if left & 1:
-            keep = n - done - width + 1
-            out = span[:keep] if out is None else out[:keep] + span[done : done + keep] * np.uint64(pow(ODD, done, 1 << 64))
-            done += width
-        left >>= 1
-        if left:
-            keep = n - 2 * width + 1
-            span = span[:keep] + span[width : width + keep] * np.uint64(pow(ODD, width, 1 << 64))
-            width *= 2
-    out = (out ^ (out >> np.uint64(31))) * FINISH
-    return out ^ (out >> np.uint64(32))
+def finish(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * FINISH
+    return x ^ (x >> np.uint64(32))
+
+
+def running(data: np.ndarray) -> np.ndarray:
+    """Running sums that give the fingerprint of any stretch of data by `gram`."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * tokens.powers(len(data) + 1)[0][: len(data)], out=total[1:])
+    return total
+
+
+def gram(total: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A well mixed 64-bit fingerprint of the k bytes that begin at each place, or at some."""
+    down = tokens.powers(len(total))[1]
+    if at is None:
+        return finish((total[k:] - total[:-k]) * down[: len(total) - k])
+    return finish((total[at + k] - total[at]) * down[at])
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -75,50 +77,65 @@ class Batch:
         self.valid = np.ones(n, bool)
         cut = (self.off[1:-1, None] - np.arange(1, length)[None, :]).ravel()
         self.valid[cut[(cut >= 0) & (cut < n)]] = False
+        self.runs = None
         # Rank of each document's id; equal ids have one rank.
         self.rank = np.cumsum(np.r_[0, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
 
-    def blocks(self, size: int = 1 << 16):
-        """(first window, representatives of the windows) of runs of windows."""
-        for s in range(0, len(self.valid), size):
-            e = min(s + size, len(self.valid))
-            if self.valid[s:e].any():
-                yield s, e, sliding_min(grams(self.data[s : e + self.length - 1], GRAM), self.length - GRAM + 1)
+    def minima(self, size: int = 1 << 16):
+        """(first window, value, last window + 1) of the runs of windows of one document with
+        one representative, without those that reach over a document's end. Kept."""
+        if self.runs is None:
+            found = []
+            doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.off))
+            for s in range(0, len(self.valid), size):
+                e = min(s + size, len(self.valid))
+                good = self.valid[s:e]
+                if not good.any():
+                    continue
+                m = sliding_min(gram(running(self.data[s : e + self.length - 1]), GRAM), self.length - GRAM + 1)
+                new = np.ones(e - s, bool)
+                new[1:] = (m[1:] != m[:-1]) | (doc[s + 1 : e] != doc[s : e - 1]) | (good[1:] != good[:-1])
+                first = np.flatnonzero(new)
+                last = np.r_[first[1:], e - s]
+                on = good[first]
+                found.append((first[on] + s, m[first[on]], last[on] + s, doc[first[on] + s]))
+            self.runs = tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return self.runs
 
     def representatives(self, shift: int):
         """(representative, whether two documents here have it) of all windows, ascending."""
-        found, ranks = [], []
-        for s, e, m in self.blocks():
-            first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]] | np.r_[True, np.diff(self.doc(np.arange(s, e))) != 0])
-            # A run of windows with one representative counts if any of them is valid.
-            good = np.add.reduceat(self.valid[s:e].astype(np.int32), first) > 0
-            found.append(m[first[good]] >> np.uint64(shift))
-            ranks.append(self.rank[self.doc(first[good] + s)])
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
-        found, ranks = np.concatenate(found), np.concatenate(ranks)
-        order = np.argsort(found, kind="stable")
-        found, ranks = found[order], ranks[order]
-        first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
-        last = np.r_[first[1:], len(found)] - 1
-        return found[first], ranks[first] != ranks[last]
+        _, value, _, doc = self.minima()
+        value, rank = value >> np.uint64(shift), self.rank[doc]
+        order = np.argsort(value)
+        value, rank = value[order], rank[order]
+        if not len(value):
+            return value, np.zeros(0, bool)
+        first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        return value[first], np.minimum.reduceat(rank, first) != np.maximum.reduceat(rank, first)
 
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.off, at, side="right") - 1
 
-    def suffixes(self, reps: np.ndarray, keep: np.ndarray, shift: int):
-        """(positions, fingerprints) of the windows whose representative is to be kept."""
+    def suffixes(self, reps: np.ndarray, keep: np.ndarray, shift: int, size: int = 1 << 16):
+        """(positions, fingerprints, index of the representative) of the windows whose
+        representative is to be kept."""
+        first, value, last, _ = self.minima()
+        place = np.searchsorted(reps, value >> np.uint64(shift))
+        on = keep[place]
+        first, last, place = first[on], last[on], place[on]
         at, prints = [], []
-        for s, e, m in self.blocks():
-            first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-            place = np.minimum(np.searchsorted(reps, m[first] >> np.uint64(shift)), max(0, len(reps) - 1))
-            # A run that is valid nowhere may have no entry; what it finds then is dropped below.
-            on = np.repeat(keep[place], np.diff(np.r_[first, e - s])) & self.valid[s:e]
-            here = np.flatnonzero(on)
-            if len(here):
-                at.append(here + s)
-                prints.append(grams(self.data[s : e + self.length - 1], self.length)[here])
-        return (np.concatenate(at), np.concatenate(prints)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        edge = np.searchsorted(first, np.arange(0, len(self.valid) + size, size))  # runs by block of their first window
+        for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            if a == b:
+                continue
+            span = last[a:b] - first[a:b]
+            here = np.repeat(first[a:b] - (np.cumsum(span) - span), span) + np.arange(span.sum())
+            start, stop = k * size, int(here[-1]) + self.length
+            at.append(here)
+            prints.append(gram(running(self.data[start:stop]), self.length, here - start))
+        if not at:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.concatenate(at), np.concatenate(prints), np.repeat(place, last - first)
 
 
 class Family:
@@ -144,38 +161,53 @@ class Family:
                 self.levels.append(both)
 
 
-BATCHES = "batch long, ids binary, sizes binary, carry array<string>, data binary"
+BATCHES = "batch long, ids binary, sizes binary, copied binary, carry array<string>, data binary"
 SENT = "bucket int, batch long, blob binary"
 #: How a null doc_id stands in a batch: before all others.
 NULL = -(1 << 63)
 
 
-def batches_of(docs: DataFrame, table: str, parts: int) -> DataFrame:
+def batches_of(docs: DataFrame, table: str, parts: int, length: int) -> DataFrame:
     """Store the documents as batches in ascending doc_id order, bucketed by batch, so that
-    answers can be joined to them without moving the texts again."""
+    answers can be joined to them without moving the texts again. A text that also stands as a
+    whole at a smaller doc_id is stored as its length alone: all its suffixes are repeats, and
+    as any of them starts at that smaller doc_id too, nothing else needs it."""
     by = F.col("doc_id").asc_nulls_first()
-    docs = docs.repartitionByRange(parts, by).sortWithinPartitions(by)
+    # Rows that say which texts also stand at a smaller doc_id come right before them.
+    print_of = F.md5(F.col("text").cast("binary"))
+    prints = common.materialize(docs.where("text is not null").select("doc_id", print_of.alias("print")), "prints")
+    least = prints.groupBy("print").agg(F.min(F.coalesce("doc_id", F.lit(NULL))).alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = prints.join(least, "print").where("coalesce(doc_id, least) > least").select("doc_id", F.lit(None).cast("string").alias("text"), F.col("print").alias("carry"), F.lit(0).alias("kind"))
+    docs = docs.withColumn("kind", F.lit(1)).unionByName(copies).repartitionByRange(parts, by).sortWithinPartitions(by, "kind")
 
     def cut(rows):
         part, number = TaskContext.get().partitionId(), 0
-        ids, sizes, carry, data, held = [], [], [], [], 0
+        ids, sizes, copied, carry, data, held = [], [], [], [], [], 0
+        of, marked = None, set()
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), pa.array([np.asarray(ids, "<i8").tobytes()]), pa.array([np.asarray(sizes, "<i8").tobytes()]), pa.array([carry], pa.list_(pa.string())), pa.array([b"".join(data)], pa.binary())], ["batch", "ids", "sizes", "carry", "data"])
+            row = [[(part << 32) + number], [np.asarray(ids, "<i8").tobytes()], [np.asarray(sizes, "<i8").tobytes()], [np.asarray(copied, "<i8").tobytes()], [carry], [b"".join(data)]]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary()), strict=True)], ["batch", "ids", "sizes", "copied", "carry", "data"])
 
         for whole in rows:
             for b in common.slices(whole, "text", BATCH):
-                for d, c, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), common.texts(b.column(1)), strict=True):
+                for d, c, kind, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), common.texts(b.column(1)), strict=True):
                     d = NULL if d is None else d
+                    if not kind:
+                        of, marked = d, {c, *marked} if of == d else {c}
+                        continue
                     if held + len(t) > BATCH and ids and ids[-1] != d:
                         yield flush()
                         number += 1
-                        ids, sizes, carry, data, held = [], [], [], [], 0
+                        ids, sizes, copied, carry, data, held = [], [], [], [], [], 0
+                    copy = of == d and len(t) >= length and hashlib.md5(t).hexdigest() in marked
                     ids.append(d)
-                    sizes.append(len(t))
+                    sizes.append(0 if copy else len(t))
+                    copied.append(len(t) if copy else -1)
                     carry.append(c)
-                    data.append(t)
-                    held += len(t)
+                    if not copy:
+                        data.append(t)
+                        held += len(t)
         if ids:
             yield flush()
 
@@ -239,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     b2 = max(8, int(np.ceil(np.log2(max(1, size * 0.2 * 7 / (4 << 20))))))
     shift = 64 - b1 - 32  # representatives keep 32 bits beside those of the bucket
     table = f"trackloom_batches_{uuid.uuid4().hex[:10]}"
-    batches = batches_of(docs, table, parts)
+    batches = batches_of(docs, table, parts, length)
     common.forget_shuffles(spark)
 
     def first_round(rows):
@@ -271,7 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def second_round(rows: pa.Table, answers: pa.Table) -> pa.Table:
         batch, reps, _, abroad = prepared(rows, answers)
-        _, prints = batch.suffixes(reps, abroad, shift)
+        prints = batch.suffixes(reps, abroad, shift)[1]
         return _sent(rows.column("batch")[0].as_py(), np.unique(prints), 64 - b2, 7)
 
     def scanned(rows: pa.Table) -> pa.Table:
@@ -290,19 +322,18 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def cut(rows: pa.Table, answers: pa.Table) -> pa.Table:
         batch, reps, local, abroad = prepared(rows, answers)
-        at, prints = batch.suffixes(reps, local | abroad, shift)
-        order = np.argsort(prints, kind="stable")  # stable: the first of a group is the first in the text
-        at, prints = at[order], prints[order]
+        at, prints, rep = batch.suffixes(reps, local | abroad, shift)
+        order = np.argsort(prints)
+        at, prints, rep = at[order], prints[order], rep[order]
         rank = batch.rank[batch.doc(at)]
         first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]]) if len(prints) else np.zeros(0, np.int64)
         count = np.diff(np.r_[first, len(prints)])
-        repeat = rank > np.repeat(rank[first], count)
-        # Of the distinct suffixes, those that were sent: their representative is known abroad.
-        _, sent = batch.suffixes(reps, abroad, shift)
-        keys = np.unique(sent)
-        hit = keys[_bits(answers, 2, keys, 64 - b2)]
-        place = np.minimum(np.searchsorted(hit, prints[first]), max(0, len(hit) - 1))
-        known = hit[place] == prints[first] if len(hit) else np.zeros(len(first), bool)
+        least = np.minimum.reduceat(rank, first) if len(first) else rank
+        repeat = rank > np.repeat(least, count)
+        # Equal suffixes have one representative, so the answers are one for each of them that was sent.
+        known = np.zeros(len(first), bool)
+        sent = abroad[rep[first]]
+        known[sent] = _bits(answers, 2, prints[first][sent], 64 - b2)
         repeat |= np.repeat(known, count)
         n = len(batch.data)
         edge = np.zeros(n + 1, np.int32)
@@ -320,19 +351,20 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         total = np.r_[0, np.cumsum(gone)]
         removed = total[batch.off[1:]] - total[batch.off[:-1]]
         cuts = np.searchsorted(start, batch.off)
+        copied = np.frombuffer(rows.column("copied")[0].as_py(), "<i8")
+        whole = copied >= 0
         raw, kept_off = batch.data[~gone].tobytes(), batch.off - total[batch.off]
-        docs_n = len(batch.ids)
-        spans = [(start[a:b] - o, stop[a:b] - o) for a, b, o in zip(cuts[:-1], cuts[1:], batch.off[:-1], strict=True)]
+        spans = [(start[a:b] - o, stop[a:b] - o) if c < 0 else ([0], [c]) for a, b, o, c in zip(cuts[:-1], cuts[1:], batch.off[:-1], copied.tolist(), strict=True)]
         return pa.table(
             {
                 "doc_id": pa.array([None if d == NULL else d for d in batch.ids.tolist()], pa.int64()),
                 "carry": pa.array(rows.column("carry")[0].as_py(), pa.string()),
-                "n_bytes": pa.array(np.diff(batch.off)),
-                "n_removed": pa.array(removed, pa.int64()),
-                "n_spans": pa.array(np.diff(cuts), pa.int64()),
+                "n_bytes": pa.array(np.where(whole, copied, np.diff(batch.off))),
+                "n_removed": pa.array(np.where(whole, copied, removed)),
+                "n_spans": pa.array(np.where(whole, 1, np.diff(cuts))),
                 "starts": pa.array([a for a, _ in spans], pa.list_(pa.int64())),
                 "ends": pa.array([b for _, b in spans], pa.list_(pa.int64())),
-                "kept": pa.array([raw[kept_off[i] : kept_off[i + 1]] for i in range(docs_n)], pa.binary()),
+                "kept": pa.array([raw[kept_off[i] : kept_off[i + 1]] for i in range(len(batch.ids))], pa.binary()),
             }
         )
 
