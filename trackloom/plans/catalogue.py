@@ -1,6 +1,527 @@
-"""The catalogue of queries, each with its SQL twin."""
+"""The catalogue of queries, each with its SQL twin (plans.oracle)."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from trackloom.functions import scoring as S
+from trackloom.functions import text as T
+from trackloom.functions import vocabulary as V
+from trackloom.operators import clips, datasets, events, index, metadata, pairs, quality, retrieval, sampling, tracks
+from trackloom.operators import colors as color_ops
+from trackloom.plans import nlq
+from trackloom.plans.ingest import Ingest
+from trackloom.plans.oracle import from_chain, matched
+from trackloom.sources import readers, sinks
+from trackloom.sources import testdata as D
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def ingest(spark: SparkSession, sf_dir: str, colored: bool = True) -> Ingest:
+    return Ingest(D.observations(spark, sf_dir), D.WIDTH, D.HEIGHT, D.FPS, D.colors(spark, sf_dir) if colored else None)
+
+
+def csv(column):
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
+
+
+# Tracks
+
+
+@query(from_chain("SELECT track_id, frame_index, cx, cy, region, crop_width, crop_height, crop_width >= 40 AND crop_height >= 40 AS usable_crop FROM geo"))
+def obs_bbox_geometry(spark, sf_dir):
+    return tracks.geometry(D.observations(spark, sf_dir), D.WIDTH, D.HEIGHT).select("track_id", "frame_index", "cx", "cy", F.col("region.combined").alias("region"), "crop_width", "crop_height", "usable_crop")
+
+
+@query(from_chain("SELECT track_id, class_name, observation_count, first_frame, last_frame, start_time, end_time, duration FROM bounds"))
+def track_temporal_bounds(spark, sf_dir):
+    return tracks.temporal_bounds(D.observations(spark, sf_dir), D.FPS).drop("track_pos")
+
+
+@query(from_chain("SELECT track_id, class_name, rank, frame_index, round(final_score, 6) AS final_score FROM crops"))
+def top3_crops(spark, sf_dir):
+    return tracks.best_crops(D.observations(spark, sf_dir), D.WIDTH, D.HEIGHT).select("track_id", "class_name", "rank", "frame_index", F.round("final_score", 6).alias("final_score"))
+
+
+@query(from_chain("SELECT track_id, class_name, observation_count, crop_count, status, score, round(p, 4) AS persistence_score, round(cc, 4) AS crop_consistency_score, round(d, 4) AS confidence_score, round(n, 4) AS crop_count_score, reasons FROM rel"))
+def track_reliability(spark, sf_dir):
+    return ingest(spark, sf_dir).get("track_reliability").withColumn("reasons", csv(F.col("reasons"))).drop("track_pos", "penalty")
+
+
+@query(from_chain("SELECT class_name, count(*) FILTER (WHERE status = 'reliable') AS reliable, count(*) FILTER (WHERE status = 'review') AS review, count(*) FILTER (WHERE status = 'reject') AS reject FROM rel GROUP BY class_name"))
+def status_pivot(spark, sf_dir):
+    return tracks.status_counts(ingest(spark, sf_dir).get("track_reliability"))
+
+
+_MOTION = ["track_id", "class_name", "trajectory_points", "motion_state", "direction", "duration", "start_x", "start_y", "end_x", "end_y", "net_displacement_pixels", "path_distance_pixels", "normalized_displacement", "average_speed_pixels_per_second", "maximum_speed_pixels_per_second"]
+
+
+@query(from_chain(f"SELECT {', '.join(_MOTION)} FROM motion"))
+def track_motion(spark, sf_dir):
+    return ingest(spark, sf_dir).get("motion").select(*_MOTION)
+
+
+@query(from_chain("SELECT track_id, motion_consistency FROM motion"))
+def motion_consistency(spark, sf_dir):
+    return ingest(spark, sf_dir).get("motion").select("track_id", "motion_consistency")
+
+
+@query(from_chain("SELECT motion_state, direction, count(*) AS tracks FROM motion GROUP BY ALL"))
+def motion_counts(spark, sf_dir):
+    return ingest(spark, sf_dir).get("motion").groupBy("motion_state", "direction").agg(F.count("*").alias("tracks"))
+
+
+@query(from_chain("SELECT track_id, s AS start_region, e AS end_region, region_transition, horizontal_transition, vertical_transition, description FROM place"))
+def region_transitions(spark, sf_dir):
+    p = ingest(spark, sf_dir).get("spatial")
+    return p.select("track_id", F.col("start_region.combined").alias("start_region"), F.col("end_region.combined").alias("end_region"), "region_transition", "horizontal_transition", "vertical_transition", "description")
+
+
+@query(from_chain("SELECT 'start' AS kind, s AS name, count(*) AS tracks FROM place GROUP BY s UNION ALL SELECT 'end', e, count(*) FROM place GROUP BY e UNION ALL SELECT 'transition', region_transition, count(*) FROM place GROUP BY region_transition"))
+def region_counts(spark, sf_dir):
+    return tracks.region_counts(ingest(spark, sf_dir).get("spatial"))
+
+
+# Pairs and events
+
+
+@query(
+    from_chain(
+        "SELECT track_a_id, track_a_class, track_b_id, track_b_class, array_to_string(relationship_types, ',') AS relationship_types, shared_frames, near_frames, overlap_frames, round(nr, 4) AS near_ratio, round(ovr, 4) AS overlap_ratio, round(average, 6) AS average_normalized_distance, round(least_d, 6) AS minimum_normalized_distance, round(iou, 4) AS maximum_iou, first_frame, last_frame FROM related"
+    )
+)
+def pair_relationships(spark, sf_dir):
+    return ingest(spark, sf_dir).get("relationships").withColumn("relationship_types", csv(F.col("relationship_types"))).drop("came", "first_timestamp", "last_timestamp")
+
+
+@query(from_chain("SELECT unnest(relationship_types) AS relationship_type, count(*) AS pairs FROM related GROUP BY 1"))
+def relationship_counts(spark, sf_dir):
+    return pairs.counts(ingest(spark, sf_dir).get("relationships"))
+
+
+@query(from_chain("SELECT event_id, event_type, track_id, class_name, s AS start_time, e AS end_time, dd AS duration, t AS timestamp, f AS frame_index, reliability_status, reliability_score, event_text FROM atomic"))
+def atomic_events(spark, sf_dir):
+    return ingest(spark, sf_dir).get("atomic_events").select("event_id", "event_type", "track_id", "class_name", "start_time", "end_time", "duration", "timestamp", "frame_index", "reliability_status", "reliability_score", "event_text")
+
+
+@query(from_chain("SELECT event_id, event_type, track_ids, class_names, round(start_time_seconds, 4) AS start_time_seconds, round(end_time_seconds, 4) AS end_time_seconds, round(duration_seconds, 4) AS duration_seconds, motion_state, motion_direction, region_transition, shared_frames, description FROM composite"))
+def composite_events(spark, sf_dir):
+    c = ingest(spark, sf_dir).get("composite_events")
+    times = [F.round(x, 4).alias(x) for x in ("start_time_seconds", "end_time_seconds", "duration_seconds")]
+    return c.select("event_id", "event_type", csv(F.col("track_ids")).alias("track_ids"), csv(F.col("class_names")).alias("class_names"), *times, "motion_state", "motion_direction", "region_transition", "shared_frames", "description")
+
+
+@query(from_chain("SELECT event_type, count(*) AS events FROM composite GROUP BY event_type"))
+def event_type_counts(spark, sf_dir):
+    return events.type_counts(ingest(spark, sf_dir).get("composite_events"))
+
+
+@query(from_chain("SELECT event_id, event_type, quality_score, quality_label FROM judged WHERE accepted"))
+def quality_filter(spark, sf_dir):
+    return ingest(spark, sf_dir).get("quality").where("accepted").select("event_id", "event_type", "quality_score", "quality_label")
+
+
+@query(from_chain("SELECT event_id, event_type, quality_score, rejection_reason FROM judged WHERE NOT accepted"))
+def quality_rejects(spark, sf_dir):
+    return ingest(spark, sf_dir).get("quality").where("NOT accepted").select("event_id", "event_type", "quality_score", "rejection_reason")
+
+
+@query(from_chain("SELECT event_type, count(*) AS events, count(*) FILTER (WHERE accepted) AS accepted, round(avg(accepted::INT), 4) AS acceptance_rate FROM judged GROUP BY ROLLUP (event_type)"))
+def acceptance_rate(spark, sf_dir):
+    return quality.summary(ingest(spark, sf_dir).get("quality"))
+
+
+@query(from_chain("SELECT document_id, text, event_type, quality_score, quality_label FROM documents_of"))
+def retrieval_documents(spark, sf_dir):
+    return ingest(spark, sf_dir).get("documents").select("document_id", "text", "event_type", "quality_score", "quality_label")
+
+
+# Sampling and colours
+
+_FRAMES_SQL = "fr AS (SELECT track_id % 4 AS video, frame_index AS frame_index, frame_index / 30.0::DOUBLE AS t, min(obs_pos * 37 % 200) / 10.0::DOUBLE AS m FROM obs GROUP BY ALL)"
+
+
+def _frames(spark, sf_dir):
+    o = D.observations(spark, sf_dir)
+    return o.groupBy((F.col("track_id") % 4).cast("string").alias("video_id"), "frame_index").agg((F.min(F.col("obs_pos") * 37 % 200) / 10.0).alias("motion_score")).withColumn("timestamp_seconds", F.col("frame_index") / D.FPS)
+
+
+@query(
+    f"""WITH RECURSIVE {D.OBS_SQL}, {_FRAMES_SQL}, numbered AS (SELECT video, frame_index, t, m, CASE WHEN m < 2 THEN 1.0 WHEN m < 12 THEN 2.0 ELSE 5.0 END::DOUBLE AS fps, row_number() OVER (PARTITION BY video ORDER BY frame_index) AS n FROM fr),
+    walk AS (SELECT video, frame_index, t, m, fps, n, t AS last, true AS kept FROM numbered WHERE n = 1
+      UNION ALL SELECT x.video, x.frame_index, x.t, x.m, x.fps, x.n, CASE WHEN x.t - w.last >= 1 / x.fps - 1e-9 THEN x.t ELSE w.last END, x.t - w.last >= 1 / x.fps - 1e-9 FROM walk w JOIN numbered x ON x.video = w.video AND x.n = w.n + 1)
+    SELECT CAST(video AS VARCHAR) AS video_id, row_number() OVER (PARTITION BY video ORDER BY frame_index) AS sample_number, frame_index, m AS motion_score, CASE WHEN m < 2 THEN 'low' WHEN m < 12 THEN 'medium' ELSE 'high' END AS motion_level FROM walk WHERE kept"""
+)
+def adaptive_sampling(spark, sf_dir):
+    return sampling.sample(_frames(spark, sf_dir)).select("video_id", "sample_number", "frame_index", "motion_score", "motion_level")
+
+
+_HSV_SQL = """hsv AS (SELECT track_id, obs_pos * 7 % 180 AS h, obs_pos * 13 % 256 AS s, obs_pos * 29 % 256 AS v FROM obs),
+named AS (SELECT track_id, s, CASE WHEN v < 45 THEN 'black' WHEN s < 35 AND v > 190 THEN 'white' WHEN s < 35 AND v > 65 THEN 'gray' WHEN s < 35 THEN 'black' WHEN s < 70 AND v > 200 THEN 'white' WHEN s < 70 AND v > 80 THEN 'gray'
+  WHEN h < 10 OR h >= 170 THEN 'red' WHEN h < 22 THEN 'orange' WHEN h < 35 THEN 'yellow' WHEN h < 85 THEN 'green' WHEN h < 130 THEN 'blue' WHEN h < 160 THEN 'purple' ELSE 'pink' END AS color FROM hsv),
+votes AS (SELECT track_id, color, sum(CASE color WHEN 'black' THEN 0.45 WHEN 'gray' THEN 0.85 WHEN 'white' THEN 1.10 ELSE CASE WHEN s > 90 THEN 1.20 ELSE 1.0 END END::DOUBLE) AS votes, count(*) AS n FROM named GROUP BY ALL),
+ranked AS (SELECT *, votes / sum(votes) OVER (PARTITION BY track_id) AS share, sum(n) OVER (PARTITION BY track_id) AS total, row_number() OVER (PARTITION BY track_id ORDER BY round(votes, 6) DESC, color) AS place FROM votes),
+best AS (SELECT track_id, max(color) FILTER (WHERE place = 1) AS first, max(color) FILTER (WHERE place = 2) AS second, max(share) AS best, max(total) AS total FROM ranked GROUP BY track_id)"""
+
+
+def _pixels(spark, sf_dir):
+    p = F.col("obs_pos")
+    return D.observations(spark, sf_dir).select("track_id", (p * 7 % 180).alias("h"), (p * 13 % 256).alias("s"), (p * 29 % 256).alias("v"))
+
+
+@query(f"WITH {D.OBS_SQL}, {_HSV_SQL} SELECT track_id, CASE WHEN total < 20 OR best < 0.28 THEN 'unknown' ELSE first END AS primary_color, CASE WHEN total < 20 THEN 'unknown' ELSE coalesce(second, first) END AS secondary_color, CASE WHEN total < 20 THEN 0.0 ELSE round(best, 4) END AS confidence FROM best")
+def color_votes(spark, sf_dir):
+    return color_ops.pixel_votes(_pixels(spark, sf_dir), ["track_id"], least=20).select("track_id", "primary_color", "secondary_color", "confidence")
+
+
+@query(
+    f"""WITH {D.OBS_SQL}, {_HSV_SQL}, crop_of AS (SELECT track_id, track_id % 40 AS car, greatest(0.05, 0.6 * 0.5 + 0.4 * (track_id % 5) / 5.0::DOUBLE) AS w FROM best WHERE total >= 20 AND best >= 0.28),
+    v2 AS (SELECT car, color, sum(round(share, 4) * w) AS votes FROM ranked JOIN crop_of USING (track_id) WHERE place <= 4 GROUP BY ALL),
+    r2 AS (SELECT *, votes / sum(votes) OVER (PARTITION BY car) AS share, row_number() OVER (PARTITION BY car ORDER BY round(votes, 6) DESC, color) AS place FROM v2)
+    SELECT car, CASE WHEN round(max(share), 9) < 0.32 THEN 'unknown' ELSE max(color) FILTER (WHERE place = 1) END AS primary_color, coalesce(max(color) FILTER (WHERE place = 2), max(color) FILTER (WHERE place = 1)) AS secondary_color, round(max(share), 4) AS confidence FROM r2 GROUP BY car"""
+)
+def color_consensus(spark, sf_dir):
+    crops = color_ops.pixel_votes(_pixels(spark, sf_dir), ["track_id"], least=20)
+    weight = color_ops.crop_weight(F.lit(0.5), (F.col("track_id") % 5) / 5.0)
+    return color_ops.consensus(crops.withColumn("car", F.col("track_id") % 40).withColumn("weight", weight), ["car"])
+
+
+# Semantic metadata: answers of a model are made from the conversations.
+
+_VLM_SQL = """vlm AS (SELECT conv_id AS track_id, turn AS position, ['person','car','bus'][(conv_id + turn) % 3 + 1] AS object, ['Walking','standing','unknown'][(conv_id * 3 + turn) % 3 + 1] AS action,
+  ['navy','dark red','silver','unknown'][(conv_id + turn) % 4 + 1] AS upper, ['bag','cap','none','Bag'][(conv_id * 5 + turn) % 4 + 1] AS a1, ['glasses','sunglasses'][(turn) % 2 + 1] AS a2, (conv_id * 7 + turn * 3) % 13 / 10.0::DOUBLE AS conf FROM conversations),
+ok AS (SELECT * FROM vlm WHERE conf <= 1.0)"""
+
+
+def _responses(spark, sf_dir):
+    c, t = F.col("conv_id"), F.col("turn")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words)).cast("int") + 1)
+    body = F.format_string(
+        '{"colors": {"upper_body": "%s"}, "attributes": ["%s", "%s",], "action": "%s", "orientation": "front", "visibility": "full", "confidence": {"colors": %s, "attributes": 0.5, "action": 0.5}}',
+        pick(["navy", "dark red", "silver", "unknown"], c + t), pick(["bag", "cap", "none", "Bag"], c * 5 + t), pick(["glasses", "sunglasses"], t), pick(["Walking", "standing", "unknown"], c * 3 + t), (((c * 7 + t * 3) % 13) / 10.0).cast("string"),
+    )
+    rows = D.table(spark, sf_dir, "conversations").select(c.alias("track_id"), t.alias("position"), pick(["person", "car", "bus"], c + t).alias("object"), F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```")).alias("response"))
+    return metadata.validity(readers.vlm_rows(rows))
+
+
+@query(f"WITH {_VLM_SQL} SELECT track_id, position, conf <= 1.0 AS valid, action FROM vlm")
+def vlm_parse_validate(spark, sf_dir):
+    return _responses(spark, sf_dir).select("track_id", "position", "valid", F.col("metadata.action").alias("action"))
+
+
+@query(f"WITH {_VLM_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE conf <= 1.0) AS valid, count(*) FILTER (WHERE conf > 1.0) AS invalid FROM vlm")
+def vlm_validity_summary(spark, sf_dir):
+    return metadata.validity_summary(_responses(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_VLM_SQL} SELECT track_id, position, CASE upper WHEN 'navy' THEN 'blue' WHEN 'dark red' THEN 'red' WHEN 'silver' THEN 'gray' ELSE upper END AS color,
+    array_to_string(list_sort(list_distinct([CASE lower(a1) WHEN 'bag' THEN 'backpack' WHEN 'cap' THEN 'hat' ELSE lower(a1) END, 'glasses'])), ',') AS normal,
+    CASE WHEN lower(a1) = 'none' THEN a2 ELSE lower(a1) || ',' || a2 END AS clean, CASE WHEN action = 'unknown' THEN '' ELSE lower(action) END AS action FROM ok"""
+)
+def metadata_normalize_clean(spark, sf_dir):
+    m = _responses(spark, sf_dir).where("valid").select("track_id", "position", "metadata.*")
+    return m.select("track_id", "position", T.normal_color(F.try_element_at("colors", F.lit("upper_body"))).alias("color"), csv(T.normal_attributes(F.col("attributes"))).alias("normal"), csv(T.clean_attributes(F.col("attributes"))).alias("clean"), T.clean_action(F.col("action")).alias("action"))
+
+
+def _tracks(spark, sf_dir):
+    m = _responses(spark, sf_dir).where("valid").select("track_id", "position", "object", "metadata.*")
+    flat = m.select("track_id", "position", "object", "action", "orientation", "visibility", "colors", "attributes", F.try_element_at("confidence", F.lit("colors")).alias("confidence"), (F.col("position") * 2.0).alias("start_time"), (F.col("position") * 2.0 + 1.5).alias("end_time"), F.lit(1.5).alias("duration"))
+    return metadata.aggregate(metadata.normalized(flat))
+
+
+_MODE = "(SELECT track_id, arg_max({c}, row(n, -seen)) AS {c} FROM (SELECT track_id, {c}, count(*) AS n, min(position) AS seen FROM ok GROUP BY ALL) GROUP BY track_id)"
+
+
+@query(
+    f"""WITH {_VLM_SQL} SELECT track_id, samples, object, action, confidence, start_time, end_time, duration, upper, printf('00:%02d:%02d.%03d', CAST(start_time AS INT) // 60, CAST(start_time AS INT) % 60, 0) AS start_timestamp
+    FROM (SELECT track_id, count(*) AS samples, round(avg(conf), 3) AS confidence, min(position) * 2.0::DOUBLE AS start_time, max(position) * 2.0::DOUBLE + 1.5 AS end_time, max(position) * 2.0::DOUBLE + 1.5 - min(position) * 2.0 AS duration,
+      arg_max(CASE upper WHEN 'navy' THEN 'blue' WHEN 'dark red' THEN 'red' WHEN 'silver' THEN 'gray' ELSE upper END, position) AS upper FROM ok GROUP BY track_id)
+    JOIN {_MODE.format(c="object")} USING (track_id) JOIN {_MODE.format(c="action")} USING (track_id)"""
+)
+def track_metadata_mode(spark, sf_dir):
+    return _tracks(spark, sf_dir).select("track_id", "samples", "object", "action", "confidence", "start_time", "end_time", "duration", F.try_element_at("colors", F.lit("upper_body")).alias("upper"), "start_timestamp")
+
+
+@query(
+    f"""WITH {_VLM_SQL}, t AS (SELECT * FROM {_MODE.format(c="object")} JOIN {_MODE.format(c="action")} USING (track_id)),
+    attr AS (SELECT DISTINCT track_id, unnest([CASE lower(a1) WHEN 'bag' THEN 'backpack' WHEN 'cap' THEN 'hat' ELSE lower(a1) END, 'glasses']) AS a FROM ok),
+    col AS (SELECT track_id, arg_max(CASE upper WHEN 'navy' THEN 'blue' WHEN 'dark red' THEN 'red' WHEN 'silver' THEN 'gray' ELSE upper END, position) AS c FROM ok GROUP BY track_id)
+    SELECT 'object' AS kind, object AS value, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT 'action', action, count(*) FROM t GROUP BY ALL UNION ALL SELECT 'attribute', a, count(*) FROM attr GROUP BY ALL UNION ALL SELECT 'color', c, count(*) FROM col GROUP BY ALL"""
+)
+def metadata_statistics(spark, sf_dir):
+    return metadata.statistics(_tracks(spark, sf_dir))
+
+
+@query(f"""WITH {_VLM_SQL}, t AS (SELECT * FROM {_MODE.format(c="object")} JOIN {_MODE.format(c="action")} USING (track_id)) SELECT object || '_' || action AS event, count(*) AS count, string_agg(CAST(track_id AS VARCHAR), ',' ORDER BY track_id) AS track_ids FROM t GROUP BY 1""")
+def metadata_event_groups(spark, sf_dir):
+    return metadata.grouped_events(_tracks(spark, sf_dir)).withColumn("track_ids", csv(F.col("track_ids")))
+
+
+# Vectors
+
+
+@query("SELECT vec_id, label, round(1 - list_cosine_similarity(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)), 5) AS distance FROM embeddings ORDER BY 1 - list_cosine_similarity(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)), vec_id LIMIT 20")
+def knn_topk(spark, sf_dir):
+    e = D.table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id = 7").select("embedding").first()
+    return index.nearest(e, asked.embedding, 20, "vec_id").select("vec_id", "label", F.round("distance", 5).alias("distance"))
+
+
+@query(
+    """SELECT query_id, neighbor, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS neighbor, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE)), 12), e.vec_id) AS rank
+    FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE rank <= 5"""
+)
+def knn_batch(spark, sf_dir):
+    e = D.table(spark, sf_dir, "embeddings")
+    return index.nearest_for_all(e, e.where("vec_id % 100 = 0").withColumn("query_id", F.col("vec_id")), 5).select("query_id", "neighbor", "rank")
+
+
+# Search
+
+
+def _search(spark, sf_dir, text: str, k: int = 10):
+    """The search with the similarity left at 0, so that SQL can follow."""
+    rest, span = nlq.temporal(text)
+    c = nlq.constraints(rest)
+    d = ingest(spark, sf_dir).get("documents").withColumn("document", F.col("text"))
+    rows = retrieval.matching(d, c, span).withColumn("similarity", F.lit(0.0)).withColumn("distance", F.lit(1.0))
+    return retrieval.ranked(rows.withColumn("hybrid_score", retrieval.hybrid_score(F.col("similarity"), F.col("quality_score"), c)), k).select("event_id", "hybrid_score", "rank")
+
+
+_STILL = "(d LIKE '%stationary%' OR d LIKE '%standing%' OR d LIKE '%stopped%')"
+_MOVES = "((' ' || d || ' ') LIKE '% moved %' OR d LIKE '%moving%' OR d LIKE '%walking%' OR d LIKE '%walked%')"
+_TRACK = "event_type <> 'relationship_event'"
+
+
+def flagship(spark, sf_dir):
+    return _search(spark, sf_dir, "white car moving between 5 and 8 seconds", 20)
+
+
+@query(matched(f"class_names LIKE '%car%' AND regexp_matches(d, '\\bwhite\\b') AND {_TRACK} AND {_MOVES} AND NOT {_STILL} AND end_time_seconds >= 5 AND start_time_seconds <= 8", 0.12 + 0.12 + 0.10))
+def semantic_search_class_color_time(spark, sf_dir):
+    return _search(spark, sf_dir, "white car moving between 5 and 8 seconds")
+
+
+@query(matched(f"(class_names LIKE '%car%' OR class_names LIKE '%van%' OR class_names LIKE '%truck%' OR class_names LIKE '%bus%' OR class_names LIKE '%bicycle%') AND {_TRACK} AND {_STILL}", 0.08 + 0.10))
+def semantic_search_stationary_vehicle(spark, sf_dir):
+    return _search(spark, sf_dir, "stationary vehicles")
+
+
+@query(matched(f"{_TRACK} AND {_MOVES} AND NOT {_STILL} AND d LIKE '%left to right%'", 0.10 + 0.18))
+def semantic_search_direction(spark, sf_dir):
+    return _search(spark, sf_dir, "anything going left to right")
+
+
+@query(matched("(d LIKE '%left top region%' OR d LIKE '%left middle region%' OR d LIKE '%left bottom region%') AND start_time_seconds <= 30", 0.08))
+def semantic_search_region_before(spark, sf_dir):
+    return _search(spark, sf_dir, "objects on the left before 30 s")
+
+
+@query(matched("event_type = 'relationship_event' AND d LIKE '%near%' AND (class_names LIKE '%pedestrian%' OR class_names LIKE '%people%') AND end_time_seconds >= 10", 0.12 + 0.12))
+def semantic_search_relationship_after(spark, sf_dir):
+    return _search(spark, sf_dir, "person near something after 10 seconds")
+
+
+@query(from_chain("SELECT event_id FROM documents_of WHERE event_type LIKE '%relationship%'"))
+def intent_filter(spark, sf_dir):
+    return retrieval.by_intent(ingest(spark, sf_dir).get("documents"), nlq.intent("two cars next to each other")[0]).select("event_id")
+
+
+@query("SELECT event_type AS event_id, max(value) AS value FROM events GROUP BY event_type")
+def dedup_events(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events").select(F.col("event_type").alias("event_id"), "value", F.col("event_id").alias("n"))
+    return retrieval.first_of_each(e, [F.col("value").desc(), "n"]).select("event_id", "value")
+
+
+_BOTH_SQL = "a AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS event_id FROM events WHERE event_type = 'click'), b AS (SELECT CAST(user_id AS VARCHAR) AS event_id, round(max(value) / 500, 4) AS similarity FROM events WHERE event_type = 'error' GROUP BY 1)"
+
+
+def _both(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events").withColumn("id", F.col("user_id").cast("string"))
+    return e.where("event_type = 'click'").select(F.col("id").alias("event_id")).distinct(), e.where("event_type = 'error'").groupBy(F.col("id").alias("event_id")).agg(F.round(F.max("value") / 500, 4).alias("similarity"))
+
+
+@query(f"WITH {_BOTH_SQL} SELECT coalesce(a.event_id, b.event_id) AS event_id, round(CASE WHEN a.event_id IS NOT NULL AND b.event_id IS NOT NULL THEN 0.6 + 0.4 * similarity WHEN b.event_id IS NOT NULL THEN similarity ELSE 1.0 END, 6) AS ranking_score, CASE WHEN a.event_id IS NOT NULL AND b.event_id IS NOT NULL THEN 'hybrid' WHEN b.event_id IS NOT NULL THEN 'chromadb' ELSE 'sql' END AS source FROM a FULL JOIN b ON a.event_id = b.event_id")
+def hybrid_merge(spark, sf_dir):
+    return retrieval.merge_scores(*_both(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_BOTH_SQL}, parts AS (SELECT event_id AS id, 0.5 / (60 + row_number() OVER (ORDER BY event_id)) AS part FROM a UNION ALL SELECT event_id, 0.5 / (60 + row_number() OVER (ORDER BY similarity DESC, event_id)) FROM b)
+    SELECT id, round(sum(part::DOUBLE), 4) AS score FROM parts GROUP BY id ORDER BY round(sum(part::DOUBLE), 9) DESC, id LIMIT 5"""
+)
+def rrf_fusion(spark, sf_dir):
+    a, b = _both(spark, sf_dir)
+    number = lambda df, *o: df.orderBy(*o).withColumn("position", F.row_number().over(Window.orderBy(*o)) - 1)
+    return retrieval.fuse_ranks([(number(a, "event_id"), "event_id", "sql_"), (number(b, F.col("similarity").desc(), F.col("event_id")), "event_id", "vec_")])
+
+
+@query(f"WITH {_BOTH_SQL} SELECT event_id, round(0.40 * similarity + 0.30 + 0.20 + 0.10, 4) AS rerank_score FROM b")
+def rerank(spark, sf_dir):
+    return retrieval.rerank(_both(spark, sf_dir)[1].withColumnRenamed("similarity", "vector_score")).select("event_id", "rerank_score")
+
+
+@query("SELECT event_id FROM events WHERE lower(event_type) = 'click' AND strftime(ts, '%H:%M') >= '09:00' AND strftime(ts, '%H:%M') <= '10:00'")
+def metadata_filter(spark, sf_dir):
+    p = nlq.hybrid("anything between 09:00 and 10:00")
+    e = D.table(spark, sf_dir, "events").select("event_id", F.array("event_type").alias("actions"), F.date_format(F.col("ts").cast("timestamp_ntz"), "HH:mm").alias("start_time"))
+    return retrieval.metadata_filter(e.withColumn("end_time", F.col("start_time")), action="CLICK", time_range=p["time_range"]).select("event_id")
+
+
+_ASKED = ["blue bus between 5 and 8 seconds", "people from 1 min to 90 s on the left side", "cars in the first 10 seconds", "trucks after 2 minutes near a van", "stationary white van before 30s", "pedestrians moving left to right", "red car in the right top region", "anything between 5 and 2 mins", "two persons close to a grey bike"]
+_ASKED_SQL = ", ".join("('" + q + "')" for q in _ASKED)
+
+
+def _asked(spark, sf_dir):
+    """A fixed list of questions, times the regions of the driver's data."""
+    q = F.explode(F.array(*map(F.lit, _ASKED))).alias("q")
+    return D.table(spark, sf_dir, "region").select("r_regionkey", q)
+
+
+_U = "CASE WHEN lower(coalesce(nullif({}, ''), nullif({}, ''), 's')) LIKE 'min%' THEN 60.0 ELSE 1.0 END"
+_N, _UN = r"(\d+(?:\.\d+)?)\s*", r"(seconds?|secs?|s|minutes?|mins?|m)?"
+
+
+def _rx(pattern: str, group: int) -> str:
+    return f"regexp_extract(q, '(?i){pattern}', {group})"
+
+
+def _two(pattern: str, pick: str) -> str:
+    a = f"CAST({_rx(pattern, 1)} AS DOUBLE) * " + _U.format(_rx(pattern, 2), _rx(pattern, 4))
+    b = f"CAST({_rx(pattern, 3)} AS DOUBLE) * " + _U.format(_rx(pattern, 4), _rx(pattern, 2))
+    return f"{pick}({a}, {b})"
+
+
+_BT, _FT, _FI, _AF, _BE = [p for _, p in nlq.TEMPORAL]
+_ONE = lambda p: f"CAST({_rx(p, 1)} AS DOUBLE) * " + _U.format(_rx(p, 2), "''")
+
+
+@query(
+    f"""SELECT r_regionkey, q, CASE WHEN regexp_matches(q, '(?i){_BT}') OR regexp_matches(q, '(?i){_FT}') OR regexp_matches(q, '(?i){_FI}') THEN 'range' WHEN regexp_matches(q, '(?i){_AF}') THEN 'after' WHEN regexp_matches(q, '(?i){_BE}') THEN 'before' END AS temporal_type,
+    CASE WHEN regexp_matches(q, '(?i){_BT}') THEN {_two(_BT, "least")} WHEN regexp_matches(q, '(?i){_FT}') THEN {_two(_FT, "least")} WHEN regexp_matches(q, '(?i){_FI}') THEN 0.0 WHEN regexp_matches(q, '(?i){_AF}') THEN {_ONE(_AF)} END AS start_time,
+    CASE WHEN regexp_matches(q, '(?i){_BT}') THEN {_two(_BT, "greatest")} WHEN regexp_matches(q, '(?i){_FT}') THEN {_two(_FT, "greatest")} WHEN regexp_matches(q, '(?i){_FI}') THEN {_ONE(_FI)} WHEN regexp_matches(q, '(?i){_AF}') THEN NULL WHEN regexp_matches(q, '(?i){_BE}') THEN {_ONE(_BE)} END AS end_time
+    FROM region, (VALUES {_ASKED_SQL}) AS t(q)"""
+)
+def temporal_parse_batch(spark, sf_dir):
+    c = nlq.temporal_columns(F.col("q"))
+    return _asked(spark, sf_dir).select("r_regionkey", "q", *[c[k].alias(k) for k in ("temporal_type", "start_time", "end_time")])
+
+
+_ALIASES_SQL = ", ".join(f"CASE WHEN regexp_matches(q, '\\b{k}\\b') THEN '{v}' END" for k, v in V.CLASS_ALIASES.items())
+_COLORS_SQL = ", ".join(f"CASE WHEN regexp_matches(q, '\\b{c}\\b') THEN '{'gray' if c == 'grey' else c}' END" for c in V.COLORS)
+_DIRECTION_SQL = ", ".join(f"CASE WHEN q LIKE '%{d.replace('_', ' ')}%' THEN '{d}' END" for d in V.DIRECTIONS)
+_REL_SQL = " OR ".join(f"regexp_matches(q, '\\b{t}\\b')" if " " not in t else f"q LIKE '%{t}%'" for t in V.RELATIONSHIP_TERMS)
+_OBJ_SQL = " OR ".join(f"regexp_matches(q, '\\b{t}\\b')" for t in V.OBJECT_TERMS)
+
+
+@query(
+    f"""SELECT r_regionkey, q, array_to_string(list_sort(list_distinct(list_filter([{_ALIASES_SQL}], lambda x: x IS NOT NULL))), ',') AS classes, array_to_string(list_sort(list_distinct(list_filter([{_COLORS_SQL}], lambda x: x IS NOT NULL))), ',') AS colors,
+    coalesce({_DIRECTION_SQL}) AS direction, CASE WHEN {_REL_SQL} THEN 'relationship_event' WHEN {_OBJ_SQL} THEN 'object_event' ELSE 'general_event' END AS intent FROM region, (VALUES {_ASKED_SQL}) AS t(q)"""
+)
+def constraint_parse_batch(spark, sf_dir):
+    c = nlq.constraint_columns(F.col("q"))
+    return _asked(spark, sf_dir).select("r_regionkey", "q", csv(F.array_sort(c["classes"])).alias("classes"), csv(c["colors"]).alias("colors"), c["direction"].alias("direction"), nlq.intent_column(F.col("q")).alias("intent"))
+
+
+# Clips, stores, datasets
+
+
+@query(
+    from_chain(
+        """SELECT event_id, clip_start, clip_end, start_frame, end_frame, end_frame - start_frame + 1 AS frames_written, round((end_frame - start_frame + 1) / 30.0::DOUBLE, 4) AS actual_duration, printf('%s_%.3f_to_%.3f.mp4', event_id, clip_start, clip_end) AS filename FROM (
+        SELECT *, CAST(floor(clip_start * 30.0) AS BIGINT) AS start_frame, least(CAST(floor(clip_end * 30.0) AS BIGINT), 1439) AS end_frame FROM (
+        SELECT event_id, greatest(0.0, s - 2.0) AS clip_start, least(48.0, e + 2.0) AS clip_end FROM (SELECT event_id, round(start_time_seconds, 4) AS s, round(end_time_seconds, 4) AS e FROM documents_of)))"""
+    )
+)
+def clip_windows(spark, sf_dir):
+    d = ingest(spark, sf_dir).get("documents").select("event_id", F.round("start_time_seconds", 4).alias("start_time_seconds"), F.round("end_time_seconds", 4).alias("end_time_seconds"))
+    return clips.windows(d, 48.0, 30.0, 1440).select("event_id", "clip_start", "clip_end", "start_frame", "end_frame", "frames_written", "actual_duration", "filename")
+
+
+@query(
+    """WITH r AS (SELECT CAST(event_id AS VARCHAR) AS event_id, event_id AS rank FROM events WHERE event_id < 500), c AS (SELECT CAST(event_id % 300 AS VARCHAR) AS event_id, arg_max(event_id, event_id) AS n FROM events WHERE event_type = 'click' AND event_id < 900 GROUP BY 1), f AS (SELECT DISTINCT CAST(event_id AS VARCHAR) AS event_id FROM events WHERE event_type = 'error')
+    SELECT r.event_id, CASE WHEN c.event_id IS NOT NULL THEN 'generated' WHEN f.event_id IS NOT NULL THEN 'failed' WHEN rank <= 200 THEN 'missing' ELSE 'not_requested' END AS status, 'clip_' || c.n AS filename FROM r LEFT JOIN c USING (event_id) LEFT JOIN f USING (event_id)"""
+)
+def attach_clips(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events").withColumn("position", F.col("event_id"))
+    none = F.lit(0.0)
+    r = e.where("event_id < 500").select(F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("rank"))
+    c = e.where("event_type = 'click' AND event_id < 900").select((F.col("event_id") % 300).cast("string").alias("event_id"), "position", F.concat(F.lit("clip_"), F.col("position").cast("string")).alias("filename"), *[none.alias(x) for x in ("clip_start", "clip_end", "start_frame", "end_frame")])
+    f = e.where("event_type = 'error'").select(F.col("event_id").cast("string").alias("event_id"), "position", F.lit("failed").alias("error"))
+    return clips.attach(r, c, f, 200).select("event_id", F.col("evidence_clip.status").alias("status"), F.col("evidence_clip.filename").alias("filename"))
+
+
+@query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def insert_if_absent(spark, sf_dir):
+    have = D.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return sinks.absent(D.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), have, "id")
+
+
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey + 1000000, p_type FROM part WHERE p_partkey % 50 = 0")
+def index_upsert(spark, sf_dir):
+    p = D.table(spark, sf_dir, "part")
+    new = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name")).unionByName(p.where("p_partkey % 50 = 0").select((F.col("p_partkey") + 1000000).alias("id"), F.col("p_type").alias("name")))
+    return sinks.upsert(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), new, "id")
+
+
+@query(f"WITH {D.OBS_SQL} SELECT track_id, frame_index, round((x1 + (x2 - x1) / 2) / 1921, 6) AS cx, round((y1 + (y2 - y1) / 2) / 1083, 6) AS cy, round((x2 - x1) / 1921, 6) AS w, round((y2 - y1) / 1083, 6) AS h FROM obs")
+def bbox_to_yolo(spark, sf_dir):
+    o = D.observations(spark, sf_dir)
+    return o.select("track_id", "frame_index", *datasets.yolo_box(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(1921.0), F.lit(1083.0)))
+
+
+def _stems(spark, sf_dir):
+    split = F.when(F.col("p_partkey") % 5 == 0, "val").otherwise("train")
+    rows = D.table(spark, sf_dir, "part").select(split.alias("split"), F.format_string("img_%08d", "p_partkey").alias("stem"), (F.col("p_partkey") % 2).alias("half"), "p_partkey")
+    return rows
+
+
+@query("SELECT dataset, split, stem, dataset || '_' || split || '_' || lpad(CAST(row_number() OVER (PARTITION BY dataset, split ORDER BY stem) - 1 AS VARCHAR), 6, '0') AS new_name FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS dataset, CASE WHEN p_partkey % 5 = 0 THEN 'val' ELSE 'train' END AS split, printf('img_%08d', p_partkey) AS stem FROM part)")
+def dataset_union_renumber(spark, sf_dir):
+    s = _stems(spark, sf_dir)
+    return datasets.union({"a": s.where("half = 0").select("split", "stem"), "b": s.where("half = 1").select("split", "stem")}).select("dataset", "split", "stem", "new_name")
+
+
+@query(
+    """WITH s AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'val' ELSE 'train' END AS split, p_partkey AS k FROM part), i AS (SELECT * FROM s WHERE k % 7 <> 0 OR split = 'val'), l AS (SELECT * FROM s WHERE k % 11 <> 0 OR split = 'val')
+    SELECT coalesce(i.split, l.split) AS split, count(i.k) AS images, count(l.k) AS labels, count(*) FILTER (WHERE l.k IS NULL) AS images_without_label, count(*) FILTER (WHERE i.k IS NULL) AS labels_without_image, bool_and(i.k IS NOT NULL AND l.k IS NOT NULL) AS complete FROM i FULL JOIN l ON i.k = l.k GROUP BY 1"""
+)
+def label_pair_check(spark, sf_dir):
+    s = _stems(spark, sf_dir)
+    return datasets.pairing(s.where("p_partkey % 7 <> 0 OR split = 'val'"), s.where("p_partkey % 11 <> 0 OR split = 'val'"))
+
+
+@query("SELECT CASE WHEN p_partkey % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS boxes FROM part GROUP BY ROLLUP (CASE WHEN p_partkey % 5 = 0 THEN 'val' ELSE 'train' END)")
+def dataset_totals(spark, sf_dir):
+    return datasets.totals(_stems(spark, sf_dir))
+
+
+@query("SELECT DISTINCT l_linenumber AS class_id FROM lineitem")
+def dataset_class_ids(spark, sf_dir):
+    return datasets.class_ids(D.table(spark, sf_dir, "lineitem").select(F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.lit("0.1 0.2")).alias("line")))
+
+
+@query("SELECT event_id, CASE WHEN value * 20 >= 3600 THEN printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) ELSE printf('%02d:%02d.%03d', ms // 60000, ms // 1000 % 60, ms % 1000) END AS clock FROM (SELECT event_id, value, CAST(round(value * 20 * 1000) AS BIGINT) AS ms FROM events)")
+def timestamp_format(spark, sf_dir):
+    return D.table(spark, sf_dir, "events").select("event_id", T.clock(F.col("value") * 20).alias("clock"))
+
+
+@query("SELECT event_id, round(greatest(-1.0, least(1.0, 1 - value / 100)), 4) AS similarity FROM events")
+def distance_similarity(spark, sf_dir):
+    return D.table(spark, sf_dir, "events").select("event_id", S.similarity(F.col("value") / 100).alias("similarity"))
