@@ -129,7 +129,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Model:
         seen = np.zeros((BUCKETS + 1, len(languages)))
         letters = np.zeros((len(SCRIPT_NAMES), len(languages)))
         for whole in batches:
-            for b in common.slices(whole, "text", 4 << 20):
+            for b in common.slices(whole, "text", 2 << 20):
                 data, off = common.flat_text(b.column(1))
                 starts, ends = runs(data, off)
                 words, inverse, scripts = distinct_words(data, starts, ends)
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = share.value
         for whole in batches:
-            for b in common.slices(whole, "text", 16 << 20):
+            for b in common.slices(whole, "text", 3 << 20):
                 data, off = common.flat_text(b.column(1))
                 n = b.num_rows
                 starts, ends = runs(data, off)
