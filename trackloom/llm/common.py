@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -12,7 +13,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
+
+
+try:
+    _c = ctypes.CDLL(None)
+    # Large arrays go back to the system when they are freed. glibc raises the size from which
+    # that holds with every large array, and so keeps a worker at the most it ever had.
+    _c.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+except (OSError, AttributeError):  # another C library
+    _c = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    if _c is not None:
+        _c.malloc_trim(0)
+
+
+def tidy(run):
+    """The function over batches, that gives back freed memory at the end of its task: workers
+    are kept, and several may wait in an executor."""
+
+    def go(batches):
+        yield from run(batches)
+        trim()
+
+    return go
+
+
+def tidy_table(run):
+    """The same for a function over a group."""
+
+    def go(table):
+        out = run(table)
+        trim()
+        return out
+
+    return go
+
+
+def tidy_tables(run):
+    """The same for a function over two groups."""
+
+    def go(left, right):
+        out = run(left, right)
+        trim()
+        return out
+
+    return go
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -152,13 +152,13 @@ def find_items(docs: DataFrame, items: DataFrame, containment: float = 0.8) -> D
         def run(batches, index=index):
             x = index.value
             for whole in batches:
-                for b in common.slices(whole, "text", 2 << 20):
+                for b in common.slices(whole, "text", 1 << 20):
                     got = x.search(*common.flat_text(b.column(1)))
                     if got:
                         t, i, n = np.asarray(got, np.int64).T
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array(x.ids[i]), pa.array(x.n[i].astype(np.int64)), pa.array(n)], ["doc_id", "item_id", "n_shingles", "n_found"])
 
-        part = docs.mapInArrow(run, schema)
+        part = docs.mapInArrow(common.tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -171,11 +171,11 @@ def without_items(docs: DataFrame, items: DataFrame, containment: float = 0.8) -
         def run(batches, index=index):
             x = index.value
             for whole in batches:
-                for b in common.slices(whole, "text", 2 << 20):
+                for b in common.slices(whole, "text", 1 << 20):
                     held = {t for t, _, _ in x.search(*common.flat_text(b.column(b.schema.get_field_index("text"))))}
                     yield b.filter(pa.array([i not in held for i in range(b.num_rows)], pa.bool_())) if held else b
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(common.tidy(run), schema)
     return docs
 
 

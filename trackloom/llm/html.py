@@ -223,7 +223,7 @@ def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
             got = [main_text(h, rules) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return common.pick(pages, page_id="long", url="string", html="string").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return common.pick(pages, page_id="long", url="string", html="string").mapInArrow(common.tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_blocks(spark, sf_dir: str) -> DataFrame:

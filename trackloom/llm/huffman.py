@@ -184,7 +184,7 @@ def write_huffman(docs: DataFrame, path: str, vocabulary: str | None = None, end
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()), strict=True)], ["part", "block", "base", "n", "doc_ids", "counts", "ids", "width"])
                 block, at = block + 1, at + len(ids)
 
-    _sorted(common.pick(docs, doc_id="long", text="string")).mapInArrow(stage, STAGED).write.option("compression", "zstd").parquet(staged)
+    _sorted(common.pick(docs, doc_id="long", text="string")).mapInArrow(common.tidy(stage), STAGED).write.option("compression", "zstd").parquet(staged)
     common.forget_shuffles(spark)
     plain = spark.read.schema(STAGED).parquet(staged)
 
@@ -200,7 +200,7 @@ def write_huffman(docs: DataFrame, path: str, vocabulary: str | None = None, end
         yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array(sums[live], pa.int64())], ["id", "n"])
 
     # One row for each id of the vocabulary at most.
-    rows = plain.select("ids", "width").mapInArrow(tally, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = plain.select("ids", "width").mapInArrow(common.tidy(tally), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r.id for r in rows], default=0) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -216,7 +216,7 @@ def write_huffman(docs: DataFrame, path: str, vocabulary: str | None = None, end
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, 1) for c in ("part", "block", "base", "n")], pa.array([blob], pa.binary())], ["part", "block", "base", "n", "blob"])
 
     codebook = spark.createDataFrame([(-1, 0, 0, 0, bytearray(lengths.tobytes()))], BLOCKS)
-    plain.mapInArrow(code, BLOCKS).unionByName(codebook).write.option("compression", "none").parquet(path)
+    plain.mapInArrow(common.tidy(code), BLOCKS).unionByName(codebook).write.option("compression", "none").parquet(path)
     share.unpersist()
     common.delete_path(spark, staged)
 
@@ -248,7 +248,7 @@ def read_huffman(spark, path: str) -> DataFrame:
                 each = [raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([None if d == NULL else d for d in doc_ids.tolist()], pa.int64()), pa.array(base + ends - counts, pa.int64()), pa.array(counts.astype(np.int64), pa.int64()), pa.array(each, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    out = stored.where("part >= 0").select("part", "base", "blob").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    out = stored.where("part >= 0").select("part", "base", "blob").mapInArrow(common.tidy(decode), "doc_id long, start long, n_tokens long, ids binary")
     return out.withColumn("ids_crc32", F.crc32("ids"))
 
 

@@ -71,7 +71,7 @@ def gram_buckets(words: list[str]):
     text = np.frombuffer(("\n" + "\n".join(words) + "\n").encode(), np.uint8)
     mark = np.flatnonzero(text == 10)
     for n in GRAMS:
-        code = np.zeros(len(text) - n + 1, np.uint32)
+        code = np.zeros(max(0, len(text) - n + 1), np.uint32)
         for k in range(n):
             code = code * np.uint32(16777619) ^ (text[k : k + len(code)] + np.uint32(n * 257))
         code = (code ^ (code >> np.uint32(15))) * np.uint32(2654435761)
@@ -148,7 +148,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(live), kind), pa.int32()), pa.array(np.full(len(live), k), pa.int32()), pa.array(live, pa.int32()), pa.array(column[live])], ["kind", "lang", "place", "n"])
 
     # At most (BUCKETS + scripts) rows for each language.
-    rows = known.select("lang", "text").mapInArrow(count, "kind int, lang int, place int, n double").groupBy("kind", "lang", "place").agg(F.sum("n").alias("n")).toArrow()
+    rows = known.select("lang", "text").mapInArrow(common.tidy(count), "kind int, lang int, place int, n double").groupBy("kind", "lang", "place").agg(F.sum("n").alias("n")).toArrow()
     kind, lang, place, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("kind", "lang", "place", "n"))
     seen, letters = np.zeros((BUCKETS, len(languages))), np.zeros((len(SCRIPT_NAMES), len(languages)))
     seen[place[kind == 0], lang[kind == 0]] = n[kind == 0]
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 spans = pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays([pa.array(starts[new] - begin), pa.array(ends[last] - begin if len(new) else begin), names.take(pa.array(label[new]))], ["start", "end", "lang"]))
                 yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(pred)), pa.array(score), spans], ["doc_id", "lang_pred", "score", "spans"])
 
-    return common.pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+    return common.pick(docs, doc_id="long", text="string").mapInArrow(common.tidy(run), "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
 
 
 def op3_language_viterbi(spark, sf_dir: str) -> DataFrame:

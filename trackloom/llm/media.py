@@ -155,8 +155,7 @@ def parse(data: bytes) -> Stream:
             after = header(data[at + h.size : at + h.size + 4])
             fits = after is not None and (after.version, after.layer, after.hertz) == (h.version, h.layer, h.hertz)
         if not fits:
-            step = data.find(b"\xff", at + 1, end)
-            step = end if step < 0 else step
+            step = min(p if p >= 0 else end for p in (data.find(b"\xff", at + 1, end), data.find(b"ID3", at + 1, end)))
             out.skipped += step - at
             at = step
             continue
@@ -259,7 +258,7 @@ def store(docs: DataFrame) -> DataFrame:
                 media = [wrap(t + bytes(-len(t) % 64 if t else 64), len(t)) for t in raw]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return common.pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return common.pick(docs, doc_id="long", text="string").mapInArrow(common.tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, hertz int, seek array<long>"
@@ -279,7 +278,7 @@ def read(stored: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return stored.select("doc_id", "media").mapInArrow(run, READ)
+    return stored.select("doc_id", "media").mapInArrow(common.tidy(run), READ)
 
 
 def op5_mpeg_audio(spark, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, separator: i
                     columns.append(pa.array([x.tobytes() for x in parts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    return common.pick(docs, doc_id="long", text="string").mapInArrow(cut, schema)
+    return common.pick(docs, doc_id="long", text="string").mapInArrow(common.tidy(cut), schema)
 
 
 def pack(pieces: DataFrame, cap: Capacity = Capacity(), group: int = 512) -> DataFrame:
@@ -159,7 +159,7 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), group: int = 512) -> Dat
             nth = rank - row[:, 1]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(row[:, 3] + nth // row[:, 4]), pa.array(row[:, 5] + nth % row[:, 4] * length)], [*columns, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(common.tidy(place), schema)
 
 
 def packed(docs: DataFrame) -> DataFrame:

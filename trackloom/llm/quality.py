@@ -190,11 +190,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
 
     def statistics(batches):
         for whole in batches:
-            for b in common.slices(whole, "text", 4 << 20):
+            for b in common.slices(whole, "text", 1 << 20):
                 x = document_statistics(*common.flat_text(b.column(0)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], ["x", "quality"])
 
-    rows = common.pick(docs, doc_id="long", text="string").join(F.broadcast(known), "doc_id").select("text", "quality").mapInArrow(statistics, "x array<double>, quality int")
+    rows = common.pick(docs, doc_id="long", text="string").join(F.broadcast(known), "doc_id").select("text", "quality").mapInArrow(common.tidy(statistics), "x array<double>, quality int")
     got = rows.limit(2 * sample).toArrow()
     if got.num_rows == 0:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
@@ -211,11 +211,24 @@ def score_quality(docs: DataFrame, trees: Trees, text: str = "text") -> DataFram
 
     def run(batches):
         for whole in batches:
-            for b in common.slices(whole, text, 4 << 20):
+            for b in common.slices(whole, text, 1 << 20):
                 x = document_statistics(*common.flat_text(b.column(b.schema.get_field_index(text))))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(share.value.score(x))], [*b.schema.names, "quality_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidy(run), schema)
+
+
+def where_scored(docs: DataFrame, trees: Trees, threshold: float) -> DataFrame:
+    """The rows of docs (any columns, one of them text) scored at the threshold or more."""
+    share = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches):
+        for whole in batches:
+            for b in common.slices(whole, "text", 1 << 20):
+                x = document_statistics(*common.flat_text(b.column(b.schema.get_field_index("text"))))
+                yield b.filter(pa.array(share.value.score(x) >= threshold))
+
+    return docs.mapInArrow(common.tidy(run), docs.schema)
 
 
 def op6_quality_trees(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:

@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
             got = [majority(shingle_hashes(t, n)) for t in common.texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.asarray(got, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return common.pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
+    return common.pick(docs, doc_id="long", text="string").mapInArrow(common.tidy(run), "doc_id long, fp long")
 
 
 def distance(points: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
         linked = size[2][size[1]] > 1
         return pa.table({"fp": fp[linked], "label": label[linked]})
 
-    found = common.materialize(distinct.select("fp").mapInArrow(deal, "shard int, fp long").groupBy("shard").applyInArrow(labels, "fp long, label long"), "labels")
+    found = common.materialize(distinct.select("fp").mapInArrow(common.tidy(deal), "shard int, fp long").groupBy("shard").applyInArrow(common.tidy_table(labels), "fp long, label long"), "labels")
     low = found.withColumn("low", F.min("label").over(Window.partitionBy("fp")))
     roots = graph.components(low.where("label != low").select(F.col("label").alias("a"), F.col("low").alias("b")))
     of = found.groupBy("fp").agg(F.min("label").alias("label")).join(roots.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("root", "label").alias("root"))
@@ -307,7 +307,7 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
                 words, keys = sketches(*common.flat_text(b.column(1)), n)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())], ["doc_id", "print", "bands"])
 
-    whole = common.materialize(common.pick(docs, doc_id="long", text="string").mapInArrow(sketch, "doc_id long, print binary, bands binary"), "sketches")
+    whole = common.materialize(common.pick(docs, doc_id="long", text="string").mapInArrow(common.tidy(sketch), "doc_id long, print binary, bands binary"), "sketches")
     distinct = common.materialize(whole.groupBy("print", "bands").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
 
     def spread(batches):
@@ -347,8 +347,8 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
             yield linked(*held)
 
     parts = common.partitions_for(spark, distinct.count() * BANDS * 88, 16 << 20)
-    dealt = distinct.select("print", "bands", "rep").mapInArrow(spread, "bucket long, rep long, print binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    roots = graph.components(dealt.mapInArrow(join, "a long, b long"))
+    dealt = distinct.select("print", "bands", "rep").mapInArrow(common.tidy(spread), "bucket long, rep long, print binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    roots = graph.components(dealt.mapInArrow(common.tidy(join), "a long, b long"))
     own = distinct.join(roots, distinct.rep == roots.node, "left").select("print", "bands", F.coalesce("root", "rep").alias("component_id"))
     own = common.materialize(own, "groups")
     return whole.join(own, ["print", "bands"], "left").select("doc_id", "component_id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from trackloom.llm import contamination, packing, quality, simhash, suffix
 def keep_quality(spark, docs: DataFrame, sf_dir: str, threshold: float = 0.3) -> DataFrame:
     """Documents scored at the threshold or more; the trees learn from this input."""
     trees = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, trees).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    return quality.where_scored(docs, trees, threshold)
 
 
 def keep_one_of_near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +22,7 @@ def keep_one_of_near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     out = docs.join(kept, "doc_id", "left_semi")
     if kept.where("rows > 1").limit(1).count():
-        out = out.withColumn("nth_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("nth_row = 1")
+        out = out.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1")
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
@@ -33,14 +32,8 @@ def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     with white space only go, unless they had nothing else before."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest], F.col("text").isNull().alias("no_text"))).alias("carry"))
-    found = suffix.remove_repeats(packed)
-
-    def decode(batches):
-        for b in batches:
-            text = [x.decode("utf-8", "ignore") for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(text, pa.string())], ["doc_id", "carry", "n_removed", "text"])
-
-    texts = found.select("doc_id", "carry", "n_removed", "kept").mapInArrow(decode, "doc_id long, carry string, n_removed long, text string")
+    found = suffix.remove_repeats(packed, as_text=True)
+    texts = found.select("doc_id", "carry", "n_removed", F.col("kept").alias("text"))
     texts = texts.where((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
     kinds = dict(docs.dtypes)
     fields = ", ".join([*[f"`{c}` {kinds[c]}" for c in rest], "no_text boolean"])

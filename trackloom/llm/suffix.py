@@ -32,7 +32,7 @@ from trackloom.llm import common, tokens
 
 GRAM = 24
 #: Bytes of text in a batch and in a partition (about).
-BATCH, EACH = 4 << 20, 24 << 20
+BATCH, EACH = 2 << 20, 24 << 20
 _rng = np.random.default_rng(20)
 BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 FINISH = np.uint64(0xD6E8FEB86659FD93)
@@ -211,7 +211,7 @@ def batches_of(docs: DataFrame, table: str, parts: int, length: int) -> DataFram
         if ids:
             yield flush()
 
-    docs.mapInArrow(cut, BATCHES).write.option("compression", "zstd").bucketBy(parts, "batch").saveAsTable(table, format="parquet")
+    docs.mapInArrow(common.tidy(cut), BATCHES).write.option("compression", "zstd").bucketBy(parts, "batch").saveAsTable(table, format="parquet")
     return docs.sparkSession.table(table)
 
 
@@ -252,9 +252,10 @@ def _answers(batch, bucket: int, kind: int, bits) -> pa.Table:
 ANSWERS = "batch long, kind int, bucket int, blob binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) -> DataFrame:
     """docs (doc_id, text[, carry]) -> doc_id, carry, n_bytes, n_removed, n_spans, starts and
-    ends (of the removed runs, in bytes), kept (the remaining bytes).
+    ends (of the removed runs, in bytes), kept (the remaining bytes; as_text: a string of the
+    characters of which no byte was removed).
 
     Null and empty texts have nothing to remove. Rows that share a doc_id don't remove each
     other's bytes (none is smaller). A null doc_id comes before all others. An extra column
@@ -290,8 +291,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         flag[order] = np.r_[same, False] | np.r_[False, same]
         return _answers(rows.column("batch").to_pylist(), rows.column("bucket")[0].as_py(), 1, np.split(flag, np.cumsum([len(x) for x in blobs])[:-1]))
 
-    asked = batches.mapInArrow(first_round, SENT)
-    one = common.materialize(asked.groupBy("bucket").applyInArrow(shared, ANSWERS), "suffix-1")
+    asked = batches.mapInArrow(common.tidy(first_round), SENT)
+    one = common.materialize(asked.groupBy("bucket").applyInArrow(common.tidy_table(shared), ANSWERS), "suffix-1")
     del asked
     common.forget_shuffles(spark)
 
@@ -315,8 +316,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             bits.append(hit)
         return _answers(rows.column("batch").to_numpy()[order], rows.column("bucket")[0].as_py(), 2, bits)
 
-    asked = batches.groupBy("batch").cogroup(one.groupBy("batch")).applyInArrow(second_round, SENT)
-    two = common.materialize(asked.groupBy("bucket").applyInArrow(scanned, ANSWERS), "suffix-2")
+    asked = batches.groupBy("batch").cogroup(one.groupBy("batch")).applyInArrow(common.tidy_tables(second_round), SENT)
+    two = common.materialize(asked.groupBy("bucket").applyInArrow(common.tidy_table(scanned), ANSWERS), "suffix-2")
     del asked
     common.forget_shuffles(spark)
 
@@ -364,12 +365,12 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 "n_spans": pa.array(np.where(whole, 1, np.diff(cuts))),
                 "starts": pa.array([a for a, _ in spans], pa.list_(pa.int64())),
                 "ends": pa.array([b for _, b in spans], pa.list_(pa.int64())),
-                "kept": pa.array([raw[kept_off[i] : kept_off[i + 1]] for i in range(len(batch.ids))], pa.binary()),
+                "kept": pa.array([raw[a:b].decode("utf-8", "ignore") if as_text else raw[a:b] for a, b in zip(kept_off[:-1], kept_off[1:], strict=True)], pa.string() if as_text else pa.binary()),
             }
         )
 
     answers = one.unionByName(two)
-    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut, "doc_id long, carry string, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary")
+    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(common.tidy_tables(cut), "doc_id long, carry string, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept " + ("string" if as_text else "binary"))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             for b in common.slices(whole, "text", tokens.AT_ONCE):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.texts(*common.flat_text(b.column(1))))], ["doc_id", "n_tokens"])
 
-    return common.pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long")
+    return common.pick(docs, doc_id="long", text="string").mapInArrow(common.tidy(run), "doc_id long, n_tokens long")
 
 
 def op7_unigram_counts(spark, sf_dir: str) -> DataFrame:
