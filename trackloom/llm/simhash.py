@@ -247,6 +247,8 @@ def simhash_components(docs: DataFrame, n: int = 3, radius: int = 2) -> DataFram
 
 #: Bands of the similarity form, MinHash values in a band, and words of its fingerprints.
 BANDS, ROWS, WORDS = 14, 4, 8
+#: Documents in a bucket of which all pairs are looked at.
+SMALL = 32
 _rng = np.random.default_rng(1)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -293,13 +295,26 @@ def sketches(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return words, keys
 
 
+def shingle_set(text: bytes, n: int) -> np.ndarray:
+    """The distinct n-word shingles of a text as ascending hashes."""
+    return np.unique(shingle_hashes(text, n))
+
+
 def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of every document: components of the links between documents
-    whose sets of n-word shingles have about the similarity or more, which SimHashes of 512
-    bits decide (a similarity's standard error is 0.02). Null, empty and blank texts have
-    equal fingerprints and are one component. A bucket of a band may hold any number."""
+    whose sets of n-word shingles have the Jaccard similarity or more.
+
+    Documents that share a band's bucket are candidates. SimHashes of 512 bits, whose distance
+    has a standard error of 8 bits, settle those that are clearly near or clearly not; for the
+    others the sets themselves are compared. In a bucket of more than SMALL documents, which
+    may be any number, the expected distance decides alone, by `link`. Null, empty and blank
+    texts have equal fingerprints and are one component. Of rows that share a doc_id one text
+    is compared.
+    """
     spark = docs.sparkSession
-    radius = radius_of(similarity, 64 * WORDS)
+    docs = common.pick(docs, doc_id="long", text="string")
+    expected = radius_of(similarity, 64 * WORDS)
+    sure, open_to = expected - 28, expected + 26  # three standard errors and more on both sides
 
     def sketch(batches):
         for whole in batches:
@@ -307,7 +322,7 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
                 words, keys = sketches(*common.flat_text(b.column(1)), n)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())], ["doc_id", "print", "bands"])
 
-    whole = common.materialize(common.pick(docs, doc_id="long", text="string").mapInArrow(common.tidy(sketch), "doc_id long, print binary, bands binary"), "sketches")
+    whole = common.materialize(docs.mapInArrow(common.tidy(sketch), "doc_id long, print binary, bands binary"), "sketches")
     distinct = common.materialize(whole.groupBy("print", "bands").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
 
     def spread(batches):
@@ -317,21 +332,25 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
             row = np.repeat(np.arange(b.num_rows), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column(2).take(pa.array(row)), b.column(0).take(pa.array(row))], ["bucket", "rep", "print"])
 
-    def join(batches):
-        def linked(bucket, rep, points):
-            forest = graph.Forest(len(rep))
+    def candidates(batches):
+        def found(bucket, rep, points):
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             size = np.diff(np.r_[first, len(bucket)])
             of = np.repeat(size, size)
-            for step in range(1, 32):  # buckets of 32 and fewer, all at once
-                a = np.flatnonzero((of[step:] <= 32) & (bucket[step:] == bucket[:-step]))
+            rows = []
+            for step in range(1, SMALL):  # all pairs of small buckets, all buckets at once
+                a = np.flatnonzero((of[step:] <= SMALL) & (bucket[step:] == bucket[:-step]))
                 if len(a):
-                    d = np.bitwise_count(points[a] ^ points[a + step]).sum(axis=1)
-                    forest.join(a[d <= radius], a[d <= radius] + step)
-            for f, s in zip(first[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-                forest.join(np.arange(f, f + s), f + link(points[f : f + s], radius))
-            on = np.flatnonzero(rep[forest.parent] != rep)
-            return pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(rep[forest.parent[on]])], ["a", "b"])
+                    d = np.bitwise_count(points[a] ^ points[a + step]).sum(axis=1, dtype=np.int64)
+                    near = d <= open_to
+                    rows.append((rep[a[near]], rep[a[near] + step], d[near]))
+            for f, s in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                root = f + link(points[f : f + s], expected)  # labels, never pairs
+                on = np.flatnonzero(root != np.arange(f, f + s)) + f
+                rows.append((rep[on], rep[root[on - f]], np.zeros(len(on), np.int64)))
+            a, b, d = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
+            on = a != b
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[on]), pa.array(np.minimum(a, b)[on]), pa.array(d[on])], ["a", "b", "d"])
 
         held = None
         for b in batches:
@@ -342,13 +361,34 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
             last = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
             held = tuple(x[last:] for x in now)
             if last:
-                yield linked(*(x[:last] for x in now))
+                yield found(*(x[:last] for x in now))
         if held is not None:
-            yield linked(*held)
+            yield found(*held)
+
+    def hashed(batches):
+        for whole in batches:
+            for b in common.slices(whole, "text", 1 << 20):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, n).tobytes() for t in common.texts(b.column(1))], pa.binary())], ["id", "set"])
+
+    def alike(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     parts = common.partitions_for(spark, distinct.count() * BANDS * 88, 16 << 20)
     dealt = distinct.select("print", "bands", "rep").mapInArrow(common.tidy(spread), "bucket long, rep long, print binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    roots = graph.components(dealt.mapInArrow(common.tidy(join), "a long, b long"))
+    edges = common.materialize(dealt.mapInArrow(common.tidy(candidates), "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d")), "candidates")
+    unsure = edges.where(F.col("d") > sure).select("a", "b")
+    asked = unsure.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sets = common.materialize(texts.mapInArrow(common.tidy(hashed), "id long, set binary"), "sets")
+    pairs = unsure.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    links = pairs.mapInArrow(common.tidy(alike), "a long, b long").unionByName(edges.where(F.col("d") <= sure).select("a", "b"))
+    roots = graph.components(links)
     own = distinct.join(roots, distinct.rep == roots.node, "left").select("print", "bands", F.coalesce("root", "rep").alias("component_id"))
     own = common.materialize(own, "groups")
     return whole.join(own, ["print", "bands"], "left").select("doc_id", "component_id")
