@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import events, pairs, quality, tracks
-from trackloom.plans import encoders
+from trackloom.plans import encoders, staging
 
 
 @dataclass
 class Ingest:
-    """The products of observations; each is planned when it is first asked for."""
+    """The products of observations; each is planned when it is first asked for. Products of a
+    row per track, pair or event that several others use are written once they are asked for
+    (staged), so that no plan scans the observations more often than it must."""
 
     observations: DataFrame
     width: int
@@ -23,14 +25,17 @@ class Ingest:
     fps: float
     colors: DataFrame | None = None
     include_review: bool = True
+    staged: bool = True
     made: dict[str, DataFrame] = field(default_factory=dict)
     timings: dict[str, float] = field(default_factory=dict)
 
+    STAGED = ("temporal_bounds", "track_reliability", "motion", "relationships", "atomic_events")
     STAGES = ["temporal_bounds", "representative_crops", "track_reliability", "motion", "spatial", "relationships", "atomic_events", "composite_events", "quality", "documents"]
 
     def get(self, name: str) -> DataFrame:
         if name not in self.made:
-            self.made[name] = getattr(self, name)()
+            made = getattr(self, name)()
+            self.made[name] = staging.staged(made, name) if self.staged and name in self.STAGED else made
         return self.made[name]
 
     def temporal_bounds(self) -> DataFrame:
@@ -74,8 +79,7 @@ class Ingest:
     def run(self, folder: str) -> dict:
         """Write every product below folder, in order, each read again by the next ones; the
         name of the stage that fails is in the error. Returns the manifest."""
-        spark = self.observations.sparkSession
-        counts = {}
+        spark, self.staged, counts = self.observations.sparkSession, False, {}
         for name in self.STAGES:
             began = time.time()
             try:
