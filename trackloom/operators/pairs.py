@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
 from trackloom.functions import vocabulary as V
+from trackloom.operators.tracks import in_order
 
 
 def pair_rows(obs: DataFrame, width: int, height: int) -> DataFrame:
@@ -15,7 +16,7 @@ def pair_rows(obs: DataFrame, width: int, height: int) -> DataFrame:
     diag = G.diagonal(width, height)
     first = Window.partitionBy("frame_index")
     cx, cy = G.center(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    o = obs.withColumn("place", F.struct("track_pos", "obs_pos")).withColumn("frame_rank", F.min("place").over(first)).withColumn("cx", cx).withColumn("cy", cy)
+    o = obs.withColumn("place", in_order("track_pos", "obs_pos")).withColumn("frame_rank", F.min("place").over(first)).withColumn("cx", cx).withColumn("cy", cy)
     keep = ["track_id", "class_name", "place", "frame_index", "frame_rank", "timestamp_seconds", "x1", "y1", "x2", "y2", "cx", "cy"]
     a = o.select(*[F.col(c).alias(c if c in ("frame_index", "frame_rank") else f"a_{c}") for c in keep])
     b = o.select(*[F.col(c).alias(c if c == "frame_index" else f"b_{c}") for c in keep if c != "frame_rank"])

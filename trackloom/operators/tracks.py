@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
 from trackloom.functions import scoring as S
 
 
+def in_order(first: str, second: str) -> Column:
+    """One long that sorts as the two columns do (the second below 2^32, the first below
+    2^31): numbers keep aggregates in hash tables, structs would have them sorted."""
+    return F.shiftleft(F.col(first).cast("bigint"), 32) + F.col(second)
+
+
 def geometry(obs: DataFrame, width: int, height: int) -> DataFrame:
     """Centers, regions and clipped crops of single observations."""
     cx, cy = G.center(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
@@ -21,8 +27,8 @@ def geometry(obs: DataFrame, width: int, height: int) -> DataFrame:
 def temporal_bounds(obs: DataFrame, fps: float) -> DataFrame:
     """First and last frame and time of each track; a missing time follows from the frame."""
     time = F.coalesce(F.col("timestamp_seconds"), F.col("frame_index") / fps)
-    out = obs.groupBy("track_id").agg(
-        F.first("class_name").alias("class_name"), F.min("track_pos").alias("track_pos"), F.count("*").alias("observation_count"),
+    out = obs.groupBy("track_id", "class_name").agg(
+        F.min("track_pos").alias("track_pos"), F.count("*").alias("observation_count"),
         F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"), F.min(time).alias("s"), F.max(time).alias("e"),
     )
     return out.withColumn("duration", F.round(F.greatest(F.lit(0.0), F.col("e") - F.col("s")), 4)).withColumn("start_time", F.round("s", 4)).withColumn("end_time", F.round("e", 4)).drop("s", "e")
@@ -43,11 +49,11 @@ def motion(obs: DataFrame, width: int, height: int, fps: float) -> DataFrame:
     """Motion of each track. A track of one point has insufficient data. One exchange: the
     window and the aggregate share the partitioning by track."""
     diag = G.diagonal(width, height)
-    order = F.struct("frame_index", "obs_pos")
+    order = in_order("frame_index", "obs_pos")
     on = F.col("gap") > 0
     unit = on & (F.col("step") > 1e-8)
-    t = trajectory(obs, fps).groupBy("track_id").agg(
-        F.first("class_name").alias("class_name"), F.count("*").alias("points"), F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"),
+    t = trajectory(obs, fps).groupBy("track_id", "class_name").agg(
+        F.count("*").alias("points"), F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"),
         F.min_by("cx", order).alias("sx"), F.min_by("cy", order).alias("sy"), F.max_by("cx", order).alias("ex"), F.max_by("cy", order).alias("ey"),
         F.sum(F.when(on, F.col("step"))).alias("path"), F.max(F.when(on, F.try_divide("step", F.col("gap") / fps))).alias("top_speed"),
         F.avg(F.when(unit, F.try_divide("dx", "step"))).alias("ux"), F.avg(F.when(unit, F.try_divide("dy", "step"))).alias("uy"),

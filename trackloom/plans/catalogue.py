@@ -13,6 +13,7 @@ from trackloom.operators import colors as color_ops
 from trackloom.plans import nlq
 from trackloom.plans.ingest import Ingest
 from trackloom.plans.oracle import from_chain, matched
+from trackloom.plans.staging import staged
 from trackloom.sources import readers, sinks
 from trackloom.sources import testdata as D
 
@@ -33,7 +34,7 @@ def query(sql: str | None):
 
 
 def ingest(spark: SparkSession, sf_dir: str, colored: bool = True) -> Ingest:
-    return Ingest(D.observations(spark, sf_dir), D.WIDTH, D.HEIGHT, D.FPS, D.colors(spark, sf_dir) if colored else None)
+    return Ingest(staged(D.observations(spark, sf_dir), "observations"), D.WIDTH, D.HEIGHT, D.FPS, D.colors(spark, sf_dir) if colored else None)
 
 
 def csv(column):
