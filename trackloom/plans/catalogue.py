@@ -311,7 +311,7 @@ _TRACK = "event_type <> 'relationship_event'"
 
 
 def flagship(spark, sf_dir):
-    return _search(spark, sf_dir, "white car moving between 5 and 8 seconds", 20)
+    return _search(spark, sf_dir, "vehicles moving between 5 and 40 seconds", 20)
 
 
 @query(matched(f"class_names LIKE '%car%' AND regexp_matches(d, '\\bwhite\\b') AND {_TRACK} AND {_MOVES} AND NOT {_STILL} AND end_time_seconds >= 5 AND start_time_seconds <= 8", 0.12 + 0.12 + 0.10))
