@@ -337,20 +337,24 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             size = np.diff(np.r_[first, len(bucket)])
             of = np.repeat(size, size)
-            rows = []
-            for step in range(1, SMALL):  # all pairs of small buckets, all buckets at once
+            forest, pairs = graph.Forest(len(rep)), []
+            for step in range(1, SMALL):  # small buckets, all at once
                 a = np.flatnonzero((of[step:] <= SMALL) & (bucket[step:] == bucket[:-step]))
                 if len(a):
                     d = np.bitwise_count(points[a] ^ points[a + step]).sum(axis=1, dtype=np.int64)
-                    near = d <= open_to
-                    rows.append((rep[a[near]], rep[a[near] + step], d[near]))
+                    forest.join(a[d <= sure], a[d <= sure] + step)
+                    a = a[(d > sure) & (d <= open_to)]
+                    pairs.append((a, a + step))
             for f, s in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                root = f + link(points[f : f + s], expected)  # labels, never pairs
-                on = np.flatnonzero(root != np.arange(f, f + s)) + f
-                rows.append((rep[on], rep[root[on - f]], np.zeros(len(on), np.int64)))
-            a, b, d = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
-            on = a != b
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[on]), pa.array(np.minimum(a, b)[on]), pa.array(d[on])], ["a", "b", "d"])
+                forest.join(np.arange(f, f + s), f + link(points[f : f + s], expected))
+            # Labels for what is sure, and pairs for what is open between two labels only.
+            root = forest.parent
+            on = np.flatnonzero(rep[root] != rep)
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+            open_ = root[a] != root[b]
+            a, b = a[open_], b[open_]
+            a, b, known = rep[np.r_[on, a]], rep[np.r_[root[on], b]], np.r_[np.ones(len(on), bool), np.zeros(len(a), bool)]
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(known)], ["a", "b", "known"])
 
         held = None
         for b in batches:
@@ -381,13 +385,14 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
 
     parts = common.partitions_for(spark, distinct.count() * BANDS * 88, 16 << 20)
     dealt = distinct.select("print", "bands", "rep").mapInArrow(common.tidy(spread), "bucket long, rep long, print binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    edges = common.materialize(dealt.mapInArrow(common.tidy(candidates), "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d")), "candidates")
-    unsure = edges.where(F.col("d") > sure).select("a", "b")
+    edges = common.materialize(dealt.mapInArrow(common.tidy(candidates), "a long, b long, known boolean").where("a != b").groupBy("a", "b").agg(F.bool_or("known").alias("known")), "candidates")
+    unsure = edges.where("not known").select("a", "b")
+    # A sort-merge join at every size: the ids grow with the input and aren't to be broadcast.
     asked = unsure.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = docs.join(asked.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     sets = common.materialize(texts.mapInArrow(common.tidy(hashed), "id long, set binary"), "sets")
     pairs = unsure.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    links = pairs.mapInArrow(common.tidy(alike), "a long, b long").unionByName(edges.where(F.col("d") <= sure).select("a", "b"))
+    links = pairs.mapInArrow(common.tidy(alike), "a long, b long").unionByName(edges.where("known").select("a", "b"))
     roots = graph.components(links)
     own = distinct.join(roots, distinct.rep == roots.node, "left").select("print", "bands", F.coalesce("root", "rep").alias("component_id"))
     own = common.materialize(own, "groups")

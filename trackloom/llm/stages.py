@@ -20,7 +20,7 @@ def keep_one_of_near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays; rows without a doc_id all stay."""
     groups = simhash.near_groups(docs)
     kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    out = docs.join(kept, "doc_id", "left_semi")
+    out = docs.join(kept.hint("merge"), "doc_id", "left_semi")  # the ids grow with the input: never broadcast
     if kept.where("rows > 1").limit(1).count():
         out = out.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1")
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
