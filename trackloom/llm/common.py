@@ -138,8 +138,9 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
 
 
 def partitions_for(spark: SparkSession, size: int, each: int) -> int:
-    """So many partitions of about `each` bytes for `size` bytes, 2 at least."""
-    return max(2, -(-int(size) // each))
+    """So many partitions of about `each` bytes for `size` bytes, 2 at least, and 50,000 at
+    most: beyond 1 TB or so they grow instead (what is dealt out is taken up in slices)."""
+    return min(50_000, max(2, -(-int(size) // each)))
 
 
 def crc_fold(column="doc_id", folds: int = 5):

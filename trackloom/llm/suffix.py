@@ -161,7 +161,7 @@ class Family:
                 self.levels.append(both)
 
 
-BATCHES = "batch long, ids binary, sizes binary, copied binary, carry array<string>, data binary"
+BATCHES = "batch long, nth int, doc_id long, copied long, carry string, data binary"
 SENT = "bucket int, batch long, blob binary"
 #: How a null doc_id stands in a batch: before all others.
 NULL = -(1 << 63)
@@ -176,48 +176,41 @@ def batches_of(docs: DataFrame, table: str, parts: int, length: int) -> DataFram
     # Rows that say which texts also stand at a smaller doc_id come right before them.
     print_of = F.md5(F.col("text").cast("binary"))
     prints = common.materialize(docs.where("text is not null").select("doc_id", print_of.alias("print")), "prints")
-    least = prints.groupBy("print").agg(F.min(F.coalesce("doc_id", F.lit(NULL))).alias("least"), F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join is one of plain scans and a print with a third of all rows can be split.
+    least = common.materialize(prints.groupBy("print").agg(F.min(F.coalesce("doc_id", F.lit(NULL))).alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
     copies = prints.join(least, "print").where("coalesce(doc_id, least) > least").select("doc_id", F.lit(None).cast("string").alias("text"), F.col("print").alias("carry"), F.lit(0).alias("kind"))
     docs = docs.withColumn("kind", F.lit(1)).unionByName(copies).repartitionByRange(parts, by).sortWithinPartitions(by, "kind")
 
     def cut(rows):
-        part, number = TaskContext.get().partitionId(), 0
-        ids, sizes, copied, carry, data, held = [], [], [], [], [], 0
+        part, number, nth, held, before = TaskContext.get().partitionId(), 0, 0, 0, None
         of, marked = None, set()
-
-        def flush():
-            row = [[(part << 32) + number], [np.asarray(ids, "<i8").tobytes()], [np.asarray(sizes, "<i8").tobytes()], [np.asarray(copied, "<i8").tobytes()], [carry], [b"".join(data)]]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary()), strict=True)], ["batch", "ids", "sizes", "copied", "carry", "data"])
-
         for whole in rows:
-            for b in common.slices(whole, "text", BATCH):
+            for b in common.slices(whole, "text", 1 << 20):
+                out = []
                 for d, c, kind, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), common.texts(b.column(1)), strict=True):
-                    d = NULL if d is None else d
                     if not kind:
                         of, marked = d, {c, *marked} if of == d else {c}
                         continue
-                    if held + len(t) > BATCH and ids and ids[-1] != d:
-                        yield flush()
-                        number += 1
-                        ids, sizes, copied, carry, data, held = [], [], [], [], [], 0
                     copy = of == d and len(t) >= length and hashlib.md5(t).hexdigest() in marked
-                    ids.append(d)
-                    sizes.append(0 if copy else len(t))
-                    copied.append(len(t) if copy else -1)
-                    carry.append(c)
-                    if not copy:
-                        data.append(t)
-                        held += len(t)
-        if ids:
-            yield flush()
+                    n = 0 if copy else len(t)
+                    if nth and held + n > BATCH and before != d:  # rows with one doc_id stay together
+                        number, nth, held = number + 1, 0, 0
+                    out.append(((part << 32) + number, nth, d, len(t) if copy else -1, c, b"" if copy else t))
+                    nth, held, before = nth + 1, held + n, d
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                columns = zip(*out, strict=True) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["batch", "nth", "doc_id", "copied", "carry", "data"])
 
     docs.mapInArrow(common.tidy(cut), BATCHES).write.option("compression", "zstd").bucketBy(parts, "batch").saveAsTable(table, format="parquet")
     return docs.sparkSession.table(table)
 
 
-def _opened(table: pa.Table, length: int) -> Batch:
-    row = table.slice(0, 1).to_pylist()[0]
-    return Batch(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["data"], np.uint8), length)
+def _opened(table: pa.Table, length: int) -> tuple[Batch, pa.Table]:
+    """The batch that the rows of a group make, and these rows in their order."""
+    table = table.take(pa.array(np.argsort(table.column("nth").to_numpy()))).combine_chunks()
+    data, off = common.flat_text(table.column("data"))
+    ids = np.asarray(table.column("doc_id").combine_chunks().fill_null(NULL))
+    return Batch(ids, np.diff(off), data, length), table
 
 
 def _bits(answers: pa.Table, kind: int, keys: np.ndarray, low: int) -> np.ndarray:
@@ -267,20 +260,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) ->
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col("carry") if "carry" in docs.columns else F.lit(None)).cast("string").alias("carry"))
     size = docs.select(F.sum(F.length(F.col("text").cast("binary")))).first()[0] or 0
     parts = common.partitions_for(spark, size, EACH)
-    # Buckets of 4 MB or so in either round; powers of two, as the top bits name the bucket.
-    b1 = max(4, int(np.ceil(np.log2(max(1, size / 14 * 4 / (4 << 20))))))
-    b2 = max(8, int(np.ceil(np.log2(max(1, size * 0.2 * 7 / (4 << 20))))))
+    # Buckets of 4 MB or so in either round, larger for larger inputs (a batch sends a blob to
+    # each bucket, so that blobs would become ever smaller); powers of two, as the top bits
+    # name the bucket. Beyond some TB batches should be larger as well (BATCH, EACH).
+    bucket = min(64 << 20, max(4 << 20, int((4 << 20) * (size / (1 << 30)) ** 0.5)))
+    b1 = max(4, int(np.ceil(np.log2(max(1, size / 14 * 4 / bucket)))))
+    b2 = max(8, int(np.ceil(np.log2(max(1, size * 0.2 * 7 / bucket)))))
     shift = 64 - b1 - 32  # representatives keep 32 bits beside those of the bucket
     table = f"trackloom_batches_{uuid.uuid4().hex[:10]}"
     batches = batches_of(docs, table, parts, length)
     common.forget_shuffles(spark)
 
-    def first_round(rows):
-        for b in rows:
-            for i in range(b.num_rows):
-                one = pa.Table.from_batches([b.slice(i, 1)])
-                reps, _ = _opened(one, length).representatives(shift)
-                yield from _sent(one.column("batch")[0].as_py(), reps, 32, 4).to_batches()
+    def first_round(rows: pa.Table) -> pa.Table:
+        reps, _ = _opened(rows, length)[0].representatives(shift)
+        return _sent(rows.column("batch")[0].as_py(), reps, 32, 4)
 
     def shared(rows: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x, "<u4") for x in rows.column("blob").to_pylist()]
@@ -291,19 +284,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) ->
         flag[order] = np.r_[same, False] | np.r_[False, same]
         return _answers(rows.column("batch").to_pylist(), rows.column("bucket")[0].as_py(), 1, np.split(flag, np.cumsum([len(x) for x in blobs])[:-1]))
 
-    asked = batches.mapInArrow(common.tidy(first_round), SENT)
+    asked = batches.groupBy("batch").applyInArrow(common.tidy_table(first_round), SENT)
     one = common.materialize(asked.groupBy("bucket").applyInArrow(common.tidy_table(shared), ANSWERS), "suffix-1")
     del asked
     common.forget_shuffles(spark)
 
     def prepared(rows: pa.Table, answers: pa.Table):
-        batch = _opened(rows, length)
+        batch, rows = _opened(rows, length)
         reps, local = batch.representatives(shift)
         abroad = _bits(answers, 1, reps, 32)
-        return batch, reps, local, abroad
+        return batch, rows, reps, local, abroad
 
     def second_round(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        batch, reps, _, abroad = prepared(rows, answers)
+        batch, _, reps, _, abroad = prepared(rows, answers)
         prints = batch.suffixes(reps, abroad, shift)[1]
         return _sent(rows.column("batch")[0].as_py(), np.unique(prints), 64 - b2, 7)
 
@@ -322,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) ->
     common.forget_shuffles(spark)
 
     def cut(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        batch, reps, local, abroad = prepared(rows, answers)
+        batch, rows, reps, local, abroad = prepared(rows, answers)
         at, prints, rep = batch.suffixes(reps, local | abroad, shift)
         order = np.argsort(prints)
         at, prints, rep = at[order], prints[order], rep[order]
@@ -352,14 +345,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) ->
         total = np.r_[0, np.cumsum(gone)]
         removed = total[batch.off[1:]] - total[batch.off[:-1]]
         cuts = np.searchsorted(start, batch.off)
-        copied = np.frombuffer(rows.column("copied")[0].as_py(), "<i8")
+        copied = rows.column("copied").to_numpy()
         whole = copied >= 0
         raw, kept_off = batch.data[~gone].tobytes(), batch.off - total[batch.off]
         spans = [(start[a:b] - o, stop[a:b] - o) if c < 0 else ([0], [c]) for a, b, o, c in zip(cuts[:-1], cuts[1:], batch.off[:-1], copied.tolist(), strict=True)]
         return pa.table(
             {
-                "doc_id": pa.array([None if d == NULL else d for d in batch.ids.tolist()], pa.int64()),
-                "carry": pa.array(rows.column("carry")[0].as_py(), pa.string()),
+                "doc_id": rows.column("doc_id"),
+                "carry": rows.column("carry"),
                 "n_bytes": pa.array(np.where(whole, copied, np.diff(batch.off))),
                 "n_removed": pa.array(np.where(whole, copied, removed)),
                 "n_spans": pa.array(np.where(whole, 1, np.diff(cuts))),
@@ -373,6 +366,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) ->
     return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(common.tidy_tables(cut), "doc_id long, carry string, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept " + ("string" if as_text else "binary"))
 
 
+def drop_batches(spark) -> None:
+    """Drop the stored batches of all calls; for when their results have been written."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("trackloom_batches_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+
+
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
