@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 
 #: Slots of a worker's table of words (18 bytes each, half of them used at most).
-SLOTS = 1 << 21
+SLOTS = 1 << 22
 #: Bytes of text taken up at a time (a long text is still taken whole).
 AT_ONCE = 1 << 20
 #: The splitting pattern of the vocabulary file, for characters below U+0250 in lower case.
