@@ -32,7 +32,7 @@ from trackloom.llm import common, tokens
 
 GRAM = 24
 #: Bytes of text in a batch and in a partition (about).
-BATCH, EACH = 2 << 20, 24 << 20
+BATCH, EACH = 1 << 20, 24 << 20
 _rng = np.random.default_rng(20)
 BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 FINISH = np.uint64(0xD6E8FEB86659FD93)
