@@ -207,6 +207,7 @@ def batches_of(docs: DataFrame, table: str, parts: int, length: int) -> DataFram
 
 def _opened(table: pa.Table, length: int) -> tuple[Batch, pa.Table]:
     """The batch that the rows of a group make, and these rows in their order."""
+    tokens.forget()  # workers outlive stages
     table = table.take(pa.array(np.argsort(table.column("nth").to_numpy()))).combine_chunks()
     data, off = common.flat_text(table.column("data"))
     ids = np.asarray(table.column("doc_id").combine_chunks().fill_null(NULL))

@@ -218,6 +218,11 @@ def word_ids(path: str) -> WordIds:
     return _made[path]
 
 
+def forget() -> None:
+    """Drop the tables of this process: for stages that need the room and no ids."""
+    _made.clear()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
