@@ -1,6 +1,7 @@
 """Operators on texts against brute force, with the odd cases of each."""
 
 import hashlib
+import itertools
 import zlib
 from fractions import Fraction
 
@@ -100,6 +101,31 @@ def test_near_groups(spark, sf):
     assert simhash.near_groups(docs(spark, [])).count() == 0
 
 
+def set_components(rows, n=5):
+    """Components over all pairs by definition, for texts of n words or more."""
+    grams = {d: {tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for d, t in rows}
+    label = {d: d for d in grams}
+    for a, b in itertools.combinations(sorted(grams), 2):
+        if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = {d: new if c == old else c for d, c in label.items()}
+    return label
+
+
+def test_near_groups_of_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 100)
+    rng, base, rows = np.random.default_rng(5), [f"w{i}" for i in range(300)], []
+    for d in range(500):  # one template, of which each document changes a few words
+        text = list(base)
+        for at in rng.choice(296, rng.integers(1, 14), replace=False):
+            text[at] = f"x{d}_{at}"
+        rows.append((d, " ".join(text)))
+    want = set_components(rows)
+    sizes = np.bincount(list(want.values()))
+    assert sizes.max() > 100 and (sizes == 1).sum() > 20  # linked ones and others in one bucket
+    assert dict(table(simhash.near_groups(docs(spark, rows))).values.tolist()) == want
+
+
 # op2
 
 

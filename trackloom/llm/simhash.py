@@ -249,6 +249,8 @@ def simhash_components(docs: DataFrame, n: int = 3, radius: int = 2) -> DataFram
 BANDS, ROWS, WORDS = 14, 4, 8
 #: Documents in a bucket of which all pairs are looked at.
 SMALL = 32
+#: Documents, and shingles in all, of a block of a larger bucket.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 _rng = np.random.default_rng(1)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -259,10 +261,10 @@ def radius_of(similarity: float, bits: int) -> int:
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5)
 
 
-def sketches(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, WORDS) fingerprints and (documents, BANDS) keys of the n-word shingles."""
+def sketches(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, WORDS) fingerprints, (documents, BANDS) keys and the numbers of the n-word shingles."""
     docs = len(off) - 1
-    words, keys = np.zeros((docs, WORDS), np.uint64), np.zeros((docs, BANDS), np.uint64)
+    words, keys, sizes = np.zeros((docs, WORDS), np.uint64), np.zeros((docs, BANDS), np.uint64), np.zeros(docs, np.int64)
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).astype(np.uint8)
     starts, ends = tokens.words(data, off)
     prints, place = tokens.word_prints(data, starts, ends), np.searchsorted(starts, off)
@@ -279,8 +281,9 @@ def sketches(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.
     hashes, doc = hashes[keep], doc[keep]
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
     if not len(first):
-        return words, keys
+        return words, keys, sizes
     own = doc[first]
+    sizes[own] = np.diff(np.r_[first, len(doc)])
     for j, f in enumerate(_FACTORS):
         x = hashes * f
         least = np.minimum.reduceat(x ^ (x >> np.uint64(32)), first)
@@ -292,7 +295,7 @@ def sketches(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.
         x ^= x >> np.uint64(29)
         for d, a, b in zip(own.tolist(), first.tolist(), np.r_[first[1:], len(x)].tolist(), strict=True):
             words[d, w] = majority(x[a:b])
-    return words, keys
+    return words, keys, sizes
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
@@ -300,80 +303,142 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, n))
 
 
+def blocks(root: np.ndarray, size: np.ndarray):
+    """Ordered rows of a crowd cut into blocks, for each two blocks that may hold a link between
+    two labels: (i, j, rows of i, rows of j). Rows of large labels stand together, others by size."""
+    _, of, count = np.unique(root, return_inverse=True, return_counts=True)
+    many = np.where(count[of] > 1, of, len(count))
+    order = np.lexsort((size, many))
+    cuts, rows, held = [0], 0, 0
+    for at, n in enumerate(size[order].tolist()):
+        if rows and (rows == BLOCK or held + n > BLOCK_SHINGLES):
+            cuts.append(at)
+            rows = held = 0
+        rows, held = rows + 1, held + n
+    parts = np.split(order, cuts[1:])
+    label = np.asarray([of[x[0]] if (of[x] == of[x[0]]).all() else -1 for x in parts])
+    for i, mine in enumerate(parts):
+        j = np.arange(i, len(parts))
+        j = j[((label[j] != label[i]) | (label[i] < 0))]
+        for k in j.tolist():
+            yield i, k, mine, parts[k]
+
+
+def meet(sets: list, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many hashes the sets of rows on the left and of rows on the right have in common."""
+    both = np.zeros((len(left), len(right)), np.int64)
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count[of] > 1)  # a hash in one set only is common to none
+    rank = np.cumsum(count > 1) - 1
+    rows, of = rows[shared], rank[of[shared]]
+    order = np.argsort(of, kind="stable")
+    rows, of = rows[order], of[order]
+    for first in range(0, int(of[-1]) + 1 if len(of) else 0, 4096):
+        a, b = np.searchsorted(of, [first, first + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[rows[a:b], of[a:b] - first] = 1
+        both += (m[left] @ m[right].T).astype(np.int64)
+    return both
+
+
 def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of every document: components of the links between documents
     whose sets of n-word shingles have the Jaccard similarity or more.
 
-    Documents that share a band's bucket are candidates. SimHashes of 512 bits, whose distance
-    has a standard error of 8 bits, settle those that are clearly near or clearly not; for the
-    others the sets themselves are compared. In a bucket of more than SMALL documents, which
-    may be any number, the expected distance decides alone, by `link`. Null, empty and blank
-    texts have equal fingerprints and are one component. Of rows that share a doc_id one text
-    is compared.
+    Documents that share a band's bucket are candidates, and no link stands without a
+    comparison of the sets. First SimHashes of 512 bits propose one link for each document that
+    is clearly near another. Then the candidates that these links leave apart are compared:
+    pair by pair in buckets of SMALL documents or less, and in larger ones, which may be of any
+    size, block by block. Null, empty and blank texts have equal fingerprints and are one
+    component. Of rows that share a doc_id one text is compared.
     """
     spark = docs.sparkSession
     docs = common.pick(docs, doc_id="long", text="string")
-    expected = radius_of(similarity, 64 * WORDS)
-    sure, open_to = expected - 28, expected + 26  # three standard errors and more on both sides
+    sure = radius_of(similarity, 64 * WORDS) - 28  # three standard errors and more
 
     def sketch(batches):
         for whole in batches:
             for b in common.slices(whole, "text", 1 << 20):
-                words, keys = sketches(*common.flat_text(b.column(1)), n)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())], ["doc_id", "print", "bands"])
+                words, keys, sizes = sketches(*common.flat_text(b.column(1)), n)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(sizes)], ["doc_id", "print", "bands", "size"])
 
-    whole = common.materialize(docs.mapInArrow(common.tidy(sketch), "doc_id long, print binary, bands binary"), "sketches")
-    distinct = common.materialize(whole.groupBy("print", "bands").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
+    whole = common.materialize(docs.mapInArrow(common.tidy(sketch), "doc_id long, print binary, bands binary, size long"), "sketches")
+    distinct = common.materialize(whole.groupBy("print", "bands").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size")).where("rep is not null"), "distinct")
 
     def spread(batches):
         salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for b in batches:
-            keys = np.frombuffer(common.flat_text(b.column(1))[0].tobytes(), np.uint64).reshape(-1, BANDS) ^ salt
-            row = np.repeat(np.arange(b.num_rows), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column(2).take(pa.array(row)), b.column(0).take(pa.array(row))], ["bucket", "rep", "print"])
-
-    def candidates(batches):
-        def found(bucket, rep, points):
-            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            size = np.diff(np.r_[first, len(bucket)])
-            of = np.repeat(size, size)
-            forest, pairs = graph.Forest(len(rep)), []
-            for step in range(1, SMALL):  # small buckets, all at once
-                a = np.flatnonzero((of[step:] <= SMALL) & (bucket[step:] == bucket[:-step]))
-                if len(a):
-                    d = np.bitwise_count(points[a] ^ points[a + step]).sum(axis=1, dtype=np.int64)
-                    forest.join(a[d <= sure], a[d <= sure] + step)
-                    a = a[(d > sure) & (d <= open_to)]
-                    pairs.append((a, a + step))
-            for f, s in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                forest.join(np.arange(f, f + s), f + link(points[f : f + s], expected))
-            # Labels for what is sure, and pairs for what is open between two labels only.
-            root = forest.parent
-            on = np.flatnonzero(rep[root] != rep)
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-            open_ = root[a] != root[b]
-            a, b = a[open_], b[open_]
-            a, b, known = rep[np.r_[on, a]], rep[np.r_[root[on], b]], np.r_[np.ones(len(on), bool), np.zeros(len(a), bool)]
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(known)], ["a", "b", "known"])
-
-        held = None
-        for b in batches:
-            if not b.num_rows:
+            keys = np.frombuffer(common.flat_text(b.column(0))[0].tobytes(), np.uint64).reshape(-1, BANDS) ^ salt
+            row = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[c.take(row) for c in b.columns[1:]]], ["bucket", *b.schema.names[1:]])
+
+    def buckets(of):
+        """The function over columns of whole buckets: bucket, and the others."""
+
+        def run(batches):
+            held = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                now = [np.asarray(c) if pa.types.is_integer(c.type) else common.flat_text(c)[0].copy().view(np.uint64).reshape(-1, WORDS) for c in b.columns]
+                now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+                last = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
+                held = [x[last:] for x in now]
+                if last:
+                    yield from of(*(x[:last] for x in now))
+            if held is not None:
+                yield from of(*held)
+
+        return common.tidy(run)
+
+    def sizes_of(bucket):
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        return first, np.diff(np.r_[first, len(bucket)])
+
+    def proposals(bucket, rep, points):
+        first, size = sizes_of(bucket)
+        of = np.repeat(size, size)
+        forest = graph.Forest(len(rep))
+        for step in range(1, SMALL):  # small buckets, all at once
+            a = np.flatnonzero((of[step:] <= SMALL) & (bucket[step:] == bucket[:-step]))
+            a = a[distance(points[a], points[a + step]) <= sure] if len(a) else a
+            forest.join(a, a + step)
+        for f, s in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            forest.join(np.arange(f, f + s), f + link(points[f : f + s], sure))
+        on = np.flatnonzero(forest.parent != np.arange(len(rep)))
+        yield pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(rep[forest.parent[on]])], ["a", "b"])
+
+    def rest(bucket, rep, size, root):
+        first, rows = sizes_of(bucket)
+        of = np.repeat(rows, rows)
+        for step in range(1, SMALL):
+            a = np.flatnonzero((of[step:] <= SMALL) & (bucket[step:] == bucket[:-step]) & (root[step:] != root[:-step]))
+            b = a + step
+            a, b = rep[a], rep[b]
+            if len(a):
+                yield pair_rows(None, None, None, None, np.maximum(a, b), np.minimum(a, b))
+        for f, s in zip(first[rows > SMALL].tolist(), rows[rows > SMALL].tolist(), strict=True):
+            if (root[f : f + s] == root[f]).all():
                 continue
-            now = (np.asarray(b.column(0)), np.asarray(b.column(1)), common.flat_text(b.column(2))[0].copy().view(np.uint64).reshape(-1, WORDS))
-            now = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
-            held = tuple(x[last:] for x in now)
-            if last:
-                yield found(*(x[:last] for x in now))
-        if held is not None:
-            yield found(*held)
+            for i, j, x, y in blocks(root[f : f + s], size[f : f + s]):
+                for side, z in ((0, x),) if i == j else ((0, x), (1, y)):
+                    yield pair_rows(bucket[f], i, j, side, rep[f + z], root[f + z])
+
+    def pair_rows(bucket, i, j, side, a, b):
+        fixed = [pa.nulls(len(a), k) if v is None else pa.array(np.full(len(a), v), k) for v, k in ((bucket, pa.int64()), (i, pa.int32()), (j, pa.int32()), (side, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*fixed, pa.array(a), pa.array(b)], ["bucket", "i", "j", "side", "a", "b"])
 
     def hashed(batches):
         for whole in batches:
             for b in common.slices(whole, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, n).tobytes() for t in common.texts(b.column(1))], pa.binary())], ["id", "set"])
 
+    def sets_of(ids):
+        # A sort-merge join at every size: the ids grow with the input and aren't to be broadcast.
+        texts = docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+        return common.materialize(texts.mapInArrow(common.tidy(hashed), "id long, set binary"), "sets")
+
     def alike(batches):
         for b in batches:
             keep = []
@@ -383,17 +448,34 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def verified(pairs, sets):
+        pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+        return pairs.mapInArrow(common.tidy(alike), "a long, b long")
+
+    def joined(table: pa.Table) -> pa.Table:
+        side, rep, root = (np.asarray(table.column(c).combine_chunks()) for c in ("side", "a", "b"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").combine_chunks()]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+        both, size = meet(sets, left, right), np.asarray([len(x) for x in sets])
+        x, y = np.nonzero((both >= similarity * (size[left][:, None] + size[right][None, :] - both)) & (root[left][:, None] != root[right][None, :]))
+        forest = graph.Forest(len(rep))
+        forest.join(left[x], right[y])
+        on = np.flatnonzero(forest.parent != np.arange(len(rep)))
+        return pa.table({"a": rep[on], "b": rep[forest.parent[on]]})
+
     parts = common.partitions_for(spark, distinct.count() * BANDS * 88, 16 << 20)
-    dealt = distinct.select("print", "bands", "rep").mapInArrow(common.tidy(spread), "bucket long, rep long, print binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    edges = common.materialize(dealt.mapInArrow(common.tidy(candidates), "a long, b long, known boolean").where("a != b").groupBy("a", "b").agg(F.bool_or("known").alias("known")), "candidates")
-    unsure = edges.where("not known").select("a", "b")
-    # A sort-merge join at every size: the ids grow with the input and aren't to be broadcast.
-    asked = unsure.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(asked.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    sets = common.materialize(texts.mapInArrow(common.tidy(hashed), "id long, set binary"), "sets")
-    pairs = unsure.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    links = pairs.mapInArrow(common.tidy(alike), "a long, b long").unionByName(edges.where("known").select("a", "b"))
-    roots = graph.components(links)
+    dealt = distinct.select("bands", "rep", "print").mapInArrow(common.tidy(spread), "bucket long, rep long, print binary").repartition(parts, "bucket").sortWithinPartitions("bucket", "rep")
+    proposed = common.materialize(dealt.mapInArrow(buckets(proposals), "a long, b long").groupBy("a").agg(F.min("b").alias("b")), "proposed")
+    links = common.materialize(verified(proposed, sets_of(proposed.select(F.explode(F.array("a", "b")).alias("doc_id")))), "links")
+    labels = graph.components(links)
+    # All candidates that these links leave apart.
+    labelled = distinct.join(labels, distinct.rep == labels.node, "left").select("bands", "rep", "size", F.coalesce("root", "rep").alias("root"))
+    dealt = labelled.mapInArrow(common.tidy(spread), "bucket long, rep long, size long, root long").repartition(parts, "bucket").sortWithinPartitions("bucket", "rep")
+    apart = common.materialize(dealt.mapInArrow(buckets(rest), "bucket long, i int, j int, side int, a long, b long"), "apart")
+    pairs, crowds = apart.where("bucket is null").select("a", "b").distinct(), apart.where("bucket is not null")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowds.select(F.col("a").alias("doc_id"))))
+    found = verified(pairs, sets).unionByName(crowds.join(sets, crowds.a == sets.id).drop("id").groupBy("bucket", "i", "j").applyInArrow(common.tidy_table(joined), "a long, b long"))
+    roots = graph.components(links.unionByName(common.materialize(found, "links")))
     own = distinct.join(roots, distinct.rep == roots.node, "left").select("print", "bands", F.coalesce("root", "rep").alias("component_id"))
     own = common.materialize(own, "groups")
     return whole.join(own, ["print", "bands"], "left").select("doc_id", "component_id")
