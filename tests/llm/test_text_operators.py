@@ -126,6 +126,17 @@ def test_near_groups_of_a_crowd(spark, monkeypatch):
     assert dict(table(simhash.near_groups(docs(spark, rows))).values.tolist()) == want
 
 
+def test_near_groups_of_repeated_lines(spark):
+    one = " ".join(f"a{i}" for i in range(200))
+    block = " ".join(f"b{i}" for i in range(110))
+    rows = [(1, one), (2, one + " " + " ".join([" ".join(f"a{i}" for i in range(185, 200))] * 12)), (3, one + " " + one)]
+    # Half of the shingles shared and repeated: the counts are alike, the sets aren't.
+    rows += [(10 + d, " ".join([block] * 8) + " " + " ".join(f"{d}c{i}" for i in range(60))) for d in range(20)]
+    # Short texts, where a distance says little.
+    rows += [(100 + 2 * d + k, " ".join(f"s{d}_{i}" for i in range(8 + k))) for d in range(60) for k in range(2)]
+    assert dict(table(simhash.near_groups(docs(spark, rows))).values.tolist()) == set_components(rows)
+
+
 # op2
 
 

@@ -279,6 +279,10 @@ def sketches(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.
         hashes[on] ^= hashes[on] >> np.uint64(29)
     keep = (np.arange(len(prints)) + n <= last) | ((count[doc] < n) & (np.arange(len(prints)) == place[:-1][doc]))
     hashes, doc = hashes[keep], doc[keep]
+    order = np.lexsort((hashes, doc))  # repeats go: similarity is that of sets
+    hashes, doc = hashes[order], doc[order]
+    once = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, bool)
+    hashes, doc = hashes[once], doc[once]
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
     if not len(first):
         return words, keys, sizes
@@ -303,7 +307,7 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, n))
 
 
-def blocks(root: np.ndarray, size: np.ndarray):
+def blocks(root: np.ndarray, size: np.ndarray, similarity: float):
     """Ordered rows of a crowd cut into blocks, for each two blocks that may hold a link between
     two labels: (i, j, rows of i, rows of j). Rows of large labels stand together, others by size."""
     _, of, count = np.unique(root, return_inverse=True, return_counts=True)
@@ -316,10 +320,11 @@ def blocks(root: np.ndarray, size: np.ndarray):
             rows = held = 0
         rows, held = rows + 1, held + n
     parts = np.split(order, cuts[1:])
+    low, high = np.asarray([size[x].min() for x in parts]), np.asarray([size[x].max() for x in parts])
     label = np.asarray([of[x[0]] if (of[x] == of[x[0]]).all() else -1 for x in parts])
     for i, mine in enumerate(parts):
         j = np.arange(i, len(parts))
-        j = j[((label[j] != label[i]) | (label[i] < 0))]
+        j = j[((label[j] != label[i]) | (label[i] < 0)) & (high[j] >= similarity * low[i]) & (high[i] >= similarity * low[j])]
         for k in j.tolist():
             yield i, k, mine, parts[k]
 
@@ -415,13 +420,14 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
         for step in range(1, SMALL):
             a = np.flatnonzero((of[step:] <= SMALL) & (bucket[step:] == bucket[:-step]) & (root[step:] != root[:-step]))
             b = a + step
-            a, b = rep[a], rep[b]
+            fit = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+            a, b = rep[a[fit]], rep[b[fit]]
             if len(a):
                 yield pair_rows(None, None, None, None, np.maximum(a, b), np.minimum(a, b))
         for f, s in zip(first[rows > SMALL].tolist(), rows[rows > SMALL].tolist(), strict=True):
             if (root[f : f + s] == root[f]).all():
                 continue
-            for i, j, x, y in blocks(root[f : f + s], size[f : f + s]):
+            for i, j, x, y in blocks(root[f : f + s], size[f : f + s], similarity):
                 for side, z in ((0, x),) if i == j else ((0, x), (1, y)):
                     yield pair_rows(bucket[f], i, j, side, rep[f + z], root[f + z])
 
