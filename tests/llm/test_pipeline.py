@@ -56,6 +56,13 @@ def test_stages_on_odd_rows(spark, sf):
     assert near == [1, 3, 5, None]
 
 
+def test_near_duplicates_with_a_shared_id(spark, sf):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(100)) for c in "abc")
+    rows = [(1, one), (2, one + " end"), (2, two), (2, three), (3, two + " end"), (4, three + " end"), (4, "alone with its words"), (4, "alone with its words")]
+    got = [(r.doc_id, r.text) for r in stages.keep_one_of_near(spark, docs(spark, rows), sf).collect()]
+    assert sorted(got) == sorted([(1, one), (2, two), (2, three), (4, "alone with its words")])
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

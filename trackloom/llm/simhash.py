@@ -347,7 +347,12 @@ def meet(sets: list, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return both
 
 
-def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
+def text_key():
+    """The hash that a text is known by; null and empty texts share one."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, keyed: bool = False) -> DataFrame:
     """doc_id, component_id of every document: components of the links between documents
     whose sets of n-word shingles have the Jaccard similarity or more.
 
@@ -356,20 +361,22 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
     is clearly near another. Then the candidates that these links leave apart are compared:
     pair by pair in buckets of SMALL documents or less, and in larger ones, which may be of any
     size, block by block. Null, empty and blank texts have equal fingerprints and are one
-    component. Of rows that share a doc_id one text is compared.
+    component. Texts are known by their 64-bit hashes, so rows that share a doc_id may be in
+    several components; a component's id is its least doc_id. In `keyed` form: doc_id, key,
+    component, where key is the hash of the row's text and component that of one of its texts.
     """
     spark = docs.sparkSession
-    docs = common.pick(docs, doc_id="long", text="string")
+    docs = common.pick(docs, doc_id="long", text="string").withColumn("key", text_key())
     sure = radius_of(similarity, 64 * WORDS) - 28  # three standard errors and more
 
     def sketch(batches):
         for whole in batches:
             for b in common.slices(whole, "text", 1 << 20):
                 words, keys, sizes = sketches(*common.flat_text(b.column(1)), n)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(sizes)], ["doc_id", "print", "bands", "size"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(sizes)], ["doc_id", "key", "print", "bands", "size"])
 
-    whole = common.materialize(docs.mapInArrow(common.tidy(sketch), "doc_id long, print binary, bands binary, size long"), "sketches")
-    distinct = common.materialize(whole.groupBy("print", "bands").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size")).where("rep is not null"), "distinct")
+    whole = common.materialize(docs.mapInArrow(common.tidy(sketch), "doc_id long, key long, print binary, bands binary, size long"), "sketches")
+    distinct = common.materialize(whole.where("doc_id is not null").groupBy("print", "bands").agg(F.min("key").alias("rep"), F.max("size").alias("size")), "distinct")
 
     def spread(batches):
         salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -442,7 +449,7 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
 
     def sets_of(ids):
         # A sort-merge join at every size: the ids grow with the input and aren't to be broadcast.
-        texts = docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+        texts = docs.join(ids.distinct().hint("merge"), "key", "left_semi").groupBy("key").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
         return common.materialize(texts.mapInArrow(common.tidy(hashed), "id long, set binary"), "sets")
 
     def alike(batches):
@@ -472,19 +479,24 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
     parts = common.partitions_for(spark, distinct.count() * BANDS * 88, 16 << 20)
     dealt = distinct.select("bands", "rep", "print").mapInArrow(common.tidy(spread), "bucket long, rep long, print binary").repartition(parts, "bucket").sortWithinPartitions("bucket", "rep")
     proposed = common.materialize(dealt.mapInArrow(buckets(proposals), "a long, b long").groupBy("a").agg(F.min("b").alias("b")), "proposed")
-    links = common.materialize(verified(proposed, sets_of(proposed.select(F.explode(F.array("a", "b")).alias("doc_id")))), "links")
+    links = common.materialize(verified(proposed, sets_of(proposed.select(F.explode(F.array("a", "b")).alias("key")))), "links")
     labels = graph.components(links)
     # All candidates that these links leave apart.
     labelled = distinct.join(labels, distinct.rep == labels.node, "left").select("bands", "rep", "size", F.coalesce("root", "rep").alias("root"))
     dealt = labelled.mapInArrow(common.tidy(spread), "bucket long, rep long, size long, root long").repartition(parts, "bucket").sortWithinPartitions("bucket", "rep")
     apart = common.materialize(dealt.mapInArrow(buckets(rest), "bucket long, i int, j int, side int, a long, b long"), "apart")
     pairs, crowds = apart.where("bucket is null").select("a", "b").distinct(), apart.where("bucket is not null")
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowds.select(F.col("a").alias("doc_id"))))
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowds.select(F.col("a").alias("key"))))
     found = verified(pairs, sets).unionByName(crowds.join(sets, crowds.a == sets.id).drop("id").groupBy("bucket", "i", "j").applyInArrow(common.tidy_table(joined), "a long, b long"))
     roots = graph.components(links.unionByName(common.materialize(found, "links")))
-    own = distinct.join(roots, distinct.rep == roots.node, "left").select("print", "bands", F.coalesce("root", "rep").alias("component_id"))
+    own = distinct.join(roots, distinct.rep == roots.node, "left").select("print", "bands", F.coalesce("root", "rep").alias("component"))
     own = common.materialize(own, "groups")
-    return whole.join(own, ["print", "bands"], "left").select("doc_id", "component_id")
+    found = whole.join(own, ["print", "bands"], "left").select("doc_id", "key", "component")
+    if keyed:
+        return found
+    found = common.materialize(found, "found")
+    least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component", "left").select("doc_id", "component_id")
 
 
 def op1_simhash_vptree(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm import contamination, packing, quality, simhash, suffix
+from trackloom.llm import common, contamination, packing, quality, simhash, suffix
 
 
 def keep_quality(spark, docs: DataFrame, sf_dir: str, threshold: float = 0.3) -> DataFrame:
@@ -16,13 +16,17 @@ def keep_quality(spark, docs: DataFrame, sf_dir: str, threshold: float = 0.3) ->
 
 def keep_one_of_near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the
-    document with the smallest doc_id. Of rows that share a doc_id the one with the least text
-    stays; rows without a doc_id all stay."""
-    groups = simhash.near_groups(docs)
-    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    out = docs.join(kept.hint("merge"), "doc_id", "left_semi")  # the ids grow with the input: never broadcast
-    if kept.where("rows > 1").limit(1).count():
-        out = out.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1")
+    document with the smallest doc_id, and of its texts the least. Rows that share a doc_id and
+    are near-duplicates of nothing all stay; so do rows without a doc_id."""
+    groups = simhash.near_groups(docs, keyed=True).where("doc_id is not null")
+    first = groups.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
+    kept = common.materialize(groups.join(first, ["component", "doc_id"]).groupBy("doc_id", "key", "component").agg(F.count("*").alias("rows")), "kept")
+    # The ids grow with the input: never broadcast.
+    out = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", simhash.text_key())
+    out = out.join(kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("component").alias("__of")).hint("merge"), ["__id", "__key"])
+    # One row of a component: only components with several rows of the id need an order.
+    if kept.groupBy("doc_id", "component").agg(F.sum("rows").alias("rows")).where("rows > 1").limit(1).count():
+        out = out.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__of").orderBy("text"))).where("__nth = 1")
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
