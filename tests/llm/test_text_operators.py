@@ -164,6 +164,14 @@ def test_containment(spark, sf):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 7] and "bucket" in kept.columns
 
 
+def test_items_without_an_id(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    items = spark.createDataFrame([(None, item), (1, "some other item of seven words here")], "item_id long, text string")
+    rows = docs(spark, [(1, "before " + item), (2, "nothing of it in here")])
+    assert [r.doc_id for r in contamination.without_items(rows, items).collect()] == [2]
+    assert contamination.find_items(rows, items).count() == 0  # as in the SQL
+
+
 def test_containment_in_blocks(spark, sf, monkeypatch):
     whole = sorted(map(tuple, contamination.op2_benchmark_containment(spark, sf).collect()))
     monkeypatch.setattr(contamination, "BLOCK", 4000)

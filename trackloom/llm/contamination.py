@@ -123,11 +123,13 @@ class Index:
         return found
 
 
-def indexes(items: DataFrame, containment: float) -> list:
-    """Broadcast indexes of all items, each over a block of bounded size."""
+def indexes(items: DataFrame, containment: float, unnamed: bool = False) -> list:
+    """Broadcast indexes of all items, each over a block of bounded size; unnamed: also of
+    those without an item_id, which then reads 0."""
     spark = items.sparkSession
     share = Fraction(containment).limit_denominator(1000)
-    items = common.materialize(common.pick(items, item_id="long", text="string").where("item_id is not null and text is not null").distinct(), "items")
+    items = common.pick(items, item_id="long", text="string").where("text is not null")
+    items = common.materialize((items.fillna(0, "item_id") if unnamed else items.where("item_id is not null")).distinct(), "items")
     size = items.select(F.sum(F.length(F.col("text").cast("binary")))).first()[0] or 0
     blocks = max(1, -(-2 * size // BLOCK))
     out = []
@@ -142,7 +144,7 @@ def find_items(docs: DataFrame, items: DataFrame, containment: float = 0.8) -> D
 
     Null and empty texts hold nothing and are found nowhere. An item of fewer than five words
     is found only as a whole document. Repeated rows of documents each give their rows; rows
-    of items that share item_id and text count once.
+    of items that share item_id and text count once, those without an item_id not at all.
     """
     docs = common.pick(docs, doc_id="long", text="string")
     schema = "doc_id long, item_id long, n_shingles long, n_found long"
@@ -164,9 +166,10 @@ def find_items(docs: DataFrame, items: DataFrame, containment: float = 0.8) -> D
 
 
 def without_items(docs: DataFrame, items: DataFrame, containment: float = 0.8) -> DataFrame:
-    """The rows of docs (any columns, one of them text) that hold no item."""
+    """The rows of docs (any columns, one of them text) that hold no item, be it one with an item_id
+    or without."""
     schema = docs.schema
-    for index in indexes(items, containment):
+    for index in indexes(items, containment, unnamed=True):
 
         def run(batches, index=index):
             x = index.value
