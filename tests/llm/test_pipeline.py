@@ -56,6 +56,17 @@ def test_stages_on_odd_rows(spark, sf):
     assert near == [1, 3, 5, None]
 
 
+def test_other_columns_come_through(spark):
+    rows = [(1, "a" * 60, "x"), (2, "b " + "a" * 60, "y"), (3, None, "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, no_text string")
+    d = d.selectExpr("*", "timestamp'2020-01-02 03:04:05.123456' AS at", "1L AS carry", "binary('q') AS `print`", "named_struct('text', 1.5D) AS kept", "2 AS `a.b`")
+    got = {r.doc_id: r for r in stages.cut_repeats(spark, d, "").collect()}
+    assert stages.cut_repeats(spark, d, "").dtypes == d.dtypes
+    want = {r.doc_id: r for r in d.collect()}
+    assert {k: r.text for k, r in got.items()} == {1: "a" * 60, 2: "b ", 3: None}
+    assert all(got[k].asDict() | {"text": 0} == want[k].asDict() | {"text": 0} for k in want)
+
+
 def test_near_duplicates_with_a_shared_id(spark, sf):
     one, two, three = (" ".join(f"{c}{i}" for i in range(100)) for c in "abc")
     rows = [(1, one), (2, one + " end"), (2, two), (2, three), (3, two + " end"), (4, three + " end"), (4, "alone with its words"), (4, "alone with its words")]

@@ -210,6 +210,13 @@ def test_viterbi_is_the_best_path():
         assert score(got.tolist()) == pytest.approx(max(score(p) for p in itertools.product(range(k), repeat=n)))
 
 
+def test_very_many_languages(spark):
+    rows = [(d, " ".join(f"{chr(97 + d % 26)}{chr(97 + d // 26 % 26)}w{i}q" for i in range(8)), f"l{d % 300}") for d in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(d)
+    assert len(model.languages) == 300 and len(set(r.lang_pred for r in language.identify(d, model).collect())) > 256
+
+
 def test_language(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     model = language.train(d)
@@ -359,6 +366,17 @@ def test_quality(spark, sf):
     assert quality.score_quality(docs(spark, []), trees).count() == 0
 
 
+def test_training_reads_each_id_once(spark):
+    good, bad = "The words of a text, and then some more of them.", "$$$ 1 2 3 | | buy"
+    rows = [(d % 40, (good if d % 2 else bad) + f" {d % 40}") for d in range(400)]
+    labels = spark.createDataFrame([(d, d % 2) for d in range(40)], "doc_id long, quality int")
+    some = quality.train(docs(spark, rows), labels, sample=30, trees=3, least=2)
+    once = quality.train(docs(spark, rows[:40]), labels, sample=30, trees=3, least=2)
+    assert all(np.array_equal(getattr(some, f), getattr(once, f)) for f in ("feature", "threshold", "value"))
+    clash = docs(spark, rows[:4], extra=True)
+    assert quality.score_quality(clash, some).columns.count("quality_score") == 1
+
+
 def test_statistics_by_document():
     parts = ["", "ABC!! DEF!! abc", "a | b | c\na | b | c\n", "é%%% x*** \n\n", LONG]
     raw = [p.encode() for p in parts]
@@ -472,10 +490,75 @@ def test_repeats(spark, sf, monkeypatch, batch):
 
 def test_family_levels():
     f, rng, seen = suffix.Family(), np.random.default_rng(0), set()
-    for _ in range(40):
-        batch = np.unique(rng.integers(0, 5000, 100, dtype=np.uint64))
-        hit = f.scan(batch)
-        assert hit.tolist() == [int(x) in seen for x in batch]
-        f.add(batch[~hit])
-        seen |= set(batch.tolist())
-        assert len(f.levels) <= 12
+    for k in range(40):
+        data = rng.integers(97, 100, 300, dtype=np.uint8)
+        order, found, new = suffix.suffix_array(data, np.arange(251), 8)
+        assert found.tolist() == sorted(data[i : i + 8].tobytes() for i in range(251)) and [data[i : i + 8].tobytes() for i in order] == found.tolist()
+        found = found[new]
+        known, owner = f.scan(found)
+        assert known.tolist() == [x in seen for x in found.tolist()] and (owner[known] < k).all()
+        f.add(found[~known], np.full((~known).sum(), k))
+        seen |= set(found.tolist())
+        assert len(f.levels) <= 12 and all((x[1:] > x[:-1]).all() for x, _, _ in f.levels)
+    assert set().union(*(set(x.tolist()) for x, _, _ in f.levels)) == seen
+
+
+def repeating(n, seed=3):
+    """Documents that share passages, lines and whole texts, and long runs of one character."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 5))
+    shared = [" ".join(word() for _ in range(30)) for _ in range(6)] + ["A line that stands in very many of the documents here\n", "=" * 200, "ab" * 90]
+    rows = []
+    for d in range(n):
+        parts = [" ".join(word() for _ in range(rng.integers(1, 30)))]
+        for _ in range(rng.integers(0, 4)):
+            parts += [shared[rng.integers(0, len(shared))], word()]
+        rows.append((d // 2 if d % 17 == 0 else d, rows[rng.integers(0, d)][1] if d and d % 11 == 0 else " ".join(parts)))
+    return rows
+
+
+def digest(got):
+    return sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=str)
+
+
+@pytest.mark.parametrize("hot", [0, 2, 64])
+def test_repeats_in_many_batches(spark, monkeypatch, hot):
+    """Also where windows of frequent representatives go one by one, runs in short pieces."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "BATCH", 700)
+    monkeypatch.setattr(suffix, "EACH", 9_000)
+    monkeypatch.setattr(suffix, "LONGEST", 5 if hot else 64)
+    monkeypatch.setattr(suffix, "TURN", 500)
+    rows = repeating(200)
+    assert digest(suffix.remove_repeats(docs(spark, rows)).collect()) == removed(rows)
+
+
+def test_one_id_for_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BATCH", 700)
+    rows = [(5 if d > 3 else d, t) for d, t in repeating(120)]
+    assert digest(suffix.remove_repeats(docs(spark, rows)).collect()) == removed(rows)
+
+
+def test_index_takes_batches_as_they_come(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix, "BATCH", 2_000)
+    monkeypatch.setattr(suffix, "ROW", 1_000)
+    rows = sorted(repeating(200), key=lambda r: r[0])
+    index, got = suffix.SuffixIndex(spark, str(tmp_path / "index"), buckets=4), []
+    for part in (rows[:90], rows[90:120], [], rows[120:150], rows[150:]):
+        got += digest(index.add(docs(spark, part)).collect())
+    assert sorted(got, key=str) == removed(rows)
+    live = index.levels().groupBy("bucket").agg({"level": "count"}).collect()
+    assert len(index.versions()) == 5 and live
+    again = suffix.SuffixIndex(spark, str(tmp_path / "index"), buckets=4)
+    assert digest(again.add(docs(spark, rows[150:])).collect()) == [x for x in removed(rows) if x in got and x[0] in {d for d, _ in rows[150:]}]
+    suffix.drop_batches(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("trackloom_batches_")]
+
+
+def test_long_text_of_repeats(spark):
+    rows = [(1, LONG), (2, "x " + LONG), (3, LONG), (4, "q" * 300_000), (5, "q" * 200_000 + "r")]
+    got = {r.doc_id: r for r in suffix.remove_repeats(docs(spark, rows)).collect()}
+    n = len(LONG)
+    # The space before "word0" goes too: LONG has it where its words begin again.
+    assert [got[d].n_removed for d in range(1, 6)] == [0, n + 1, n, 0, 200_000]
+    assert bytes(got[2].kept) == b"x" and bytes(got[5].kept) == b"r"

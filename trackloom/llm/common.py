@@ -64,11 +64,14 @@ def tidy_tables(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is
-    unset (tests on one machine) a temporary folder that is then set for the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset
+    and all runs in one process (tests) a temporary folder that is then set for the session.
+    On a cluster such a folder would be seen by one machine alone, so there it must be set."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         sc.setCheckpointDir(found)
@@ -91,9 +94,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a path through the file system that Spark itself uses for it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _folder(spark, path)
+    fs.delete(p, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _folder(spark, path)
+    return fs.exists(p)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if there is no such folder."""
+    p, fs = _folder(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

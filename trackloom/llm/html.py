@@ -7,9 +7,11 @@ share of its characters within links, its length, its share of stop words. Block
 don't settle (short ones above all) stay open, and pass two gives them the label of the
 nearest settled neighbours in their region: good if those on both sides are good, or the only
 one is; between a good and a bad one, the nearer counts, and the good one at a tie. A page that
-marks its article (article, main, role=main, itemprop=articleBody) has two regions, and
-nothing outside the article is good; inside it an open block without settled neighbours is
-kept.
+marks its article (article, main, role=main, itemprop=articleBody) has two regions: nothing
+outside the article is good, and inside it all is but for what is out by its element or by a
+name that says no other thing (a share bar, reader comments). Blocks inside it whose name could
+mean either (a notice, something related, a discussion) are decided on by the two passes;
+there an open block goes only if its settled neighbours are bad.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ BLOCK = frozenset(
 ) - {"br"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never main text.
-OUT = frozenset("nav footer aside form menu dialog button fieldset".split())
+OUT = frozenset("nav footer aside form menu dialog button".split())
 #: Containers that are followed on a stack.
-HELD = OUT | frozenset("article main section div header ul ol li table td body span p".split())
+HELD = OUT | frozenset("article main section div header fieldset ul ol li table td body span p".split())
 #: Words in class, id or role that name what isn't main text.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert "
@@ -42,6 +44,15 @@ NAMES = frozenset(
     "related recommended recommendations newsletter subscribe subscription signup login masthead header footer copyright complementary contentinfo search "
     "comment comments commentlist disqus replies reply respond discussion widget pagination pager skip paywall disclaimer tagcloud".split()
 )
+#: Those of them that may also name a part of an article.
+EITHER = frozenset(
+    "notice notices alert banner related recommended recommendations discussion widget search rail header masthead footer copyright disclaimer complementary "
+    "contentinfo overlay follow social skip respond reply replies subscription sponsor consent".split()
+)
+#: Names of what is no article though its element says so.
+TEASER = frozenset("comment comments commentlist disqus replies reply ad ads advert adverts advertisement sponsored promo related recommended".split())
+#: What notices speak of.
+SAID = re.compile(r"\b(cookies?|privacy policy|terms of (use|service)|all rights reserved|newsletter|subscribe|sign (up|in)|log ?in|advertisement|sponsored)\b|©", re.I)
 STOP = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were her all their there been "
     "if more when will would who so no out up into than them can only other some could time these two may then do first any my now such like our over "
@@ -65,13 +76,19 @@ WORD = re.compile(r"[^\W\d_]+")
 @dataclass
 class Rules:
     """Thresholds of pass one: share of linked characters, words of a short and of a long
-    block, share of stop words."""
+    block, share of stop words, characters of a long block in an unknown language."""
 
     linked: float = 0.4
     short: int = 8
     long: int = 25
     stop_low: float = 0.12
     stop_high: float = 0.25
+    wide: int = 120
+
+
+#: What an element says about its content: nothing, that its name may be that of a part of an
+#: article, that its name isn't, that the element itself isn't.
+PLAIN, MAYBE, NAME, TAG = range(4)
 
 
 @dataclass
@@ -81,6 +98,7 @@ class Block:
     links: int
     out: bool  # decided against by where it stands
     inside: bool  # of a marked article
+    either: bool  # inside it, by a name that could mean a part of it
     tag: str
     label: str = ""
     near: list = field(default_factory=list)  # (label, distance) of the settled neighbours
@@ -89,26 +107,29 @@ class Block:
 def blocks(html: str) -> list[Block]:
     """The blocks with any text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # (element, 0 plain 1 by name 2 by tag, opens an article)
+    stack: list[tuple[str, int, bool]] = []  # (element, weight, opens an article)
     parts: list[str] = []
     state = {"linked": 0, "links": 0, "tag": ""}
     in_link, at = False, 0
 
-    def standing() -> tuple[bool, bool]:
-        out = inside = False
-        for _, weight, article in stack:
-            if article and not any(w == 2 for _, w, _ in stack[: stack.index((_, weight, article))]):
-                inside, out = True, False  # an article isn't undone by the names around it
-            if weight:
-                out = True
-        return out, inside
+    def standing() -> tuple[bool, bool, bool]:
+        """(out, inside an article, either). An article isn't undone by the names around it, nor
+        by a form around the whole page, but by an element or an attribute that hides it."""
+        out = inside = either = closed = False
+        for element, weight, article in stack:
+            closed |= weight == TAG and element != "form"
+            if article and not closed:
+                inside, out, either = True, False, False
+            out |= weight in (TAG, NAME) or (weight == MAYBE and not inside)
+            either |= weight == MAYBE
+        return out, inside, either and inside and not out
 
     def flush():
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out, inside = standing()
-            found.append(Block(text, min(state["linked"], len(text)), state["links"], out, inside, state["tag"]))
+            out, inside, either = standing()
+            found.append(Block(text, min(state["linked"], len(text)), state["links"], out, inside, either, state["tag"]))
         state["linked"] = 0
         state["links"] = 1 if in_link else 0
 
@@ -144,13 +165,19 @@ def blocks(html: str) -> list[Block]:
             words = set(NAME_WORDS.findall(" ".join(attrs.get(k, "") for k in ("class", "id", "role"))))
             hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
             article = name in ("article", "main") or attrs.get("role") in ("main", "article") or "articlebody" in attrs.get("itemprop", "")
-            named = bool(words & NAMES) and name != "body"
-            inside = any(a for _, _, a in stack)
-            weight = 2 if name in OUT or hidden or (article and named) else 1 if named or (name == "header" and not inside) else 0
+            named = words & NAMES if name != "body" else set()
+            if name in OUT or hidden or (article and words & TEASER):
+                weight = TAG
+            elif article:
+                weight = PLAIN  # classes of an article speak of the page's layout
+            elif named:
+                weight = MAYBE if named <= EITHER else NAME
+            else:
+                weight = NAME if name == "header" and not any(a for _, _, a in stack) else PLAIN
             if name == "p":  # a paragraph ends where the next one or any block begins
                 stack[:] = [s for s in stack if s[0] != "p"]
             if weight or article or name not in ("p", "span", "li"):
-                stack.append((name, weight, article and not named))
+                stack.append((name, weight, article and weight == PLAIN))
         if block:
             state["tag"] = name
     say(html[at:])
@@ -160,21 +187,22 @@ def blocks(html: str) -> list[Block]:
 
 def label(found: list[Block], rules: Rules) -> None:
     marked = any(b.inside and not b.out for b in found)
-    for b in found:
+    words = [WORD.findall(b.text.lower()) for b in found]
+    share = [sum(w in STOP for w in x) / len(x) if x else 0.0 for x in words]
+    # A page in a language whose common words aren't known goes by length and links alone.
+    known = any(s >= rules.stop_low for s, x in zip(share, words, strict=True) if len(x) >= rules.short)
+    for b, x, stop in zip(found, words, share, strict=True):
+        n, linked = len(x), b.linked / len(b.text)
         if b.out or (marked and not b.inside):
             b.label = "bad"
-            continue
-        words = WORD.findall(b.text.lower())
-        n = len(words)
-        stop = sum(w in STOP for w in words) / n if n else 0.0
-        linked = b.linked / len(b.text)
-        if marked:
-            if linked > rules.linked and (b.tag == "li" or b.links > 2):
-                b.label = "bad"
-            elif stop >= rules.stop_low and n >= rules.short and linked <= rules.linked:
-                b.label = "good"
-        elif linked > rules.linked or "©" in b.text:
+        elif marked and not b.either:
+            b.label = "good"
+        elif linked > rules.linked or (n < rules.long and SAID.search(b.text)):
             b.label = "bad"
+        elif marked:
+            b.label = "good" if n >= rules.short and (stop >= rules.stop_low or not known) else ""
+        elif not known:
+            b.label = "good" if n >= rules.long or len(b.text) >= rules.wide else "bad" if b.linked else ""
         elif n < rules.short:
             b.label = "bad" if b.linked else ""
         elif stop >= rules.stop_high:
@@ -201,6 +229,8 @@ def label(found: list[Block], rules: Rules) -> None:
             b.label = "good" if marked else "bad"
         elif len(set(known)) == 1:
             b.label = known[0]
+        elif marked:
+            b.label = "good"
         elif d1 == d2:
             b.label = "good"
         else:
@@ -216,7 +246,11 @@ def main_text(html: str | None, rules: Rules = Rules()) -> str:
 
 
 def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """page_id, url, text, n_chars (code points) of every page; null or empty html: empty text."""
+    """page_id, url, text, n_chars (code points) of every page.
+
+    Null or empty html: empty text. Pages of any length are read whole, repeated rows each give
+    their row, extra columns aren't read, an empty table gives none.
+    """
 
     def run(batches):
         for b in batches:

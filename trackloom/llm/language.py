@@ -88,10 +88,12 @@ def gram_buckets(words: list[str]):
 def word_sums(words: list[str], table: np.ndarray) -> np.ndarray:
     """(words, languages): sums of a table (BUCKETS + 1, languages) over each word's grams."""
     out = np.zeros((len(words), table.shape[1]), np.float32)
-    for bucket, mark in gram_buckets(words):
-        total = np.concatenate([np.zeros((1, table.shape[1]), np.float64), np.cumsum(table[bucket], axis=0, dtype=np.float64)])
-        last = len(bucket)
-        out += total[np.minimum(mark[1:], last)] - total[np.minimum(mark[:-1], last)]
+    each = max(64, (1 << 21) // max(1, table.shape[1]))  # words at once: fewer where languages are many
+    for a in range(0, len(words), each):
+        for bucket, mark in gram_buckets(words[a : a + each]):
+            total = np.concatenate([np.zeros((1, table.shape[1]), np.float64), np.cumsum(table[bucket], axis=0, dtype=np.float64)])
+            last = len(bucket)
+            out[a : a + each] += total[np.minimum(mark[1:], last)] - total[np.minimum(mark[:-1], last)]
     return out
 
 
@@ -114,17 +116,20 @@ class Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Model:
-    """Learn from text and lang of at most `sample` documents outside the held-out fold."""
+    """Learn from text and lang of at most `sample` documents outside the held-out fold (those
+    with the least hash of doc_id), and so of all languages that these have, any number of them."""
     spark = docs.sparkSession
     known = common.pick(docs, doc_id="long", lang="string", text="string").where("lang is not null and text is not null").where(common.crc_fold(folds=folds) != 0)
     total = known.count()
     if total > sample:  # the share of all hashes that leaves about the sample, and no more than it
         cut = known.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
         known = known.where(F.xxhash64("doc_id") <= cut)
-    languages = sorted(r.lang for r in known.select("lang").distinct().limit(255).collect())
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())  # of `sample` documents at most
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0)), np.zeros((len(SCRIPT_NAMES), 0), bool))
 
+    place = {x: k for k, x in enumerate(languages)}
+
     def count(batches):
         seen = np.zeros((BUCKETS + 1, len(languages)))
         letters = np.zeros((len(SCRIPT_NAMES), len(languages)))
@@ -134,7 +139,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Model:
                 starts, ends = runs(data, off)
                 words, inverse, scripts = distinct_words(data, starts, ends)
                 doc = np.searchsorted(off, starts, side="right") - 1
-                lang = np.asarray([languages.index(x) for x in b.column(0).to_pylist()], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
+                lang = np.asarray([place[x] for x in b.column(0).to_pylist()], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
                 for k in np.unique(lang).tolist():
                     times = np.bincount(inverse[lang == k], minlength=len(words)).astype(float)
                     for bucket, mark in gram_buckets(words):
@@ -163,16 +168,17 @@ def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Model:
 def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word. Document i has the words first[i] to first[i] + count[i];
     all documents go side by side, a word of each at a time."""
-    label = np.zeros(len(scores), np.uint8)
+    kind = np.min_scalar_type(max(1, scores.shape[1] - 1))
+    label = np.zeros(len(scores), kind)
     order = np.argsort(-count, kind="stable")
     first, count = first[order], count[order]
     if not len(count) or count[0] == 0:
         return label
     width = np.searchsorted(-count, -np.arange(count[0]), side="left")  # documents with more than t words
-    back = np.zeros(scores.shape, np.uint8)
-    own = np.arange(scores.shape[1], dtype=np.uint8)[None, :]
+    back = np.zeros(scores.shape, kind)
+    own = np.arange(scores.shape[1], dtype=kind)[None, :]
     v = scores[first[: width[0]]].astype(np.float64)
-    end = np.zeros(len(count), np.uint8)
+    end = np.zeros(len(count), kind)
     for t in range(1, count[0]):
         n = width[t]
         if n < len(v):
@@ -209,7 +215,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = share.value
         for whole in batches:
-            for b in common.slices(whole, "text", 3 << 20):
+            for b in common.slices(whole, "text", max(1 << 14, (3 << 20) * 8 // max(8, und))):
                 data, off = common.flat_text(b.column(1))
                 n = b.num_rows
                 starts, ends = runs(data, off)

@@ -191,11 +191,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     def statistics(batches):
         for whole in batches:
             for b in common.slices(whole, "text", 1 << 20):
-                x = document_statistics(*common.flat_text(b.column(0)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], ["x", "quality"])
+                x = document_statistics(*common.flat_text(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64())), b.column(2)], ["doc_id", "x", "quality"])
 
-    rows = common.pick(docs, doc_id="long", text="string").join(F.broadcast(known), "doc_id").select("text", "quality").mapInArrow(common.tidy(statistics), "x array<double>, quality int")
-    got = rows.limit(2 * sample).toArrow()
+    rows = common.pick(docs, doc_id="long", text="string").join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
+    rows = rows.mapInArrow(common.tidy(statistics), "doc_id long, x array<double>, quality int")
+    # One row for each labelled id, so `sample` at most: of rows that share an id the one with the least statistics.
+    got = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("least")).select("least.*").toArrow()
     if got.num_rows == 0:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = np.asarray(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
@@ -205,7 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
 
 
 def score_quality(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """docs with a column quality_score (0 to 1). Null texts count as empty."""
+    """docs with a column quality_score (0 to 1), which takes the place of one that they have.
+    Null texts count as empty; each of repeated rows keeps its row; an empty table stays empty."""
+    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c != "quality_score"])
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", quality_score double"
     share = docs.sparkSession.sparkContext.broadcast(trees)
 

@@ -35,18 +35,16 @@ def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id. Characters that lose some of their bytes go as a whole; documents that are left
     with white space only go, unless they had nothing else before."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest], F.col("text").isNull().alias("no_text"))).alias("carry"))
-    found = suffix.remove_repeats(packed, as_text=True)
-    texts = found.select("doc_id", "carry", "n_removed", F.col("kept").alias("text"))
-    texts = texts.where((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
+    # Names of its own, so that no column can clash; values stay as they are.
+    held = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)] + [F.col("text").isNull().alias("none")]
+    found = suffix.remove_repeats(docs.select("doc_id", "text", F.struct(*held).alias("carry")), as_text=True)
+    found = found.where((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("kept", r"\s+", " "))) > 0))
     kinds = dict(docs.dtypes)
-    fields = ", ".join([*[f"`{c}` {kinds[c]}" for c in rest], "no_text boolean"])
-    wide = texts.withColumn("row", F.from_json("carry", fields))
-    values = {c: F.col("row").getField(c) for c in rest}
+    values = {c: F.col("carry").getField(f"c{i}") for i, c in enumerate(rest)}
     if "n_chars" in values:
-        values["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(values["n_chars"]).cast(kinds["n_chars"])
-    values |= {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.when(~F.col("row.no_text"), F.col("text"))}
-    return wide.select(*[values[c].alias(c) for c in docs.columns])
+        values["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(values["n_chars"]).cast(kinds["n_chars"])
+    values |= {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.when(~F.col("carry.none"), F.col("kept"))}
+    return found.select(*[values[c].alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
