@@ -128,7 +128,8 @@ class Batch:
                 first = np.flatnonzero(new)
                 last = np.r_[first[1:], e - s]
                 on = good[first]
-                found.append((first[on] + s, m[first[on]], last[on] + s, doc[first[on] + s]))
+                # Least hashes are small numbers; mixed again they fill all buckets alike.
+                found.append((first[on] + s, finish(m[first[on]]), last[on] + s, doc[first[on] + s]))
             none = np.zeros(0, np.int64)
             self.runs = tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none.astype(np.uint64), none, none.astype(np.int32))
         return self.runs
