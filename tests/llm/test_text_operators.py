@@ -256,6 +256,48 @@ def test_packing_keeps_every_limit(cap):
     assert cap.documents or bins <= -(-lengths.sum() // 64) + 1
 
 
+def fewest(lengths, cap):
+    """The fewest bins, by trying every bin for every piece."""
+    best, limits, demands = [len(lengths)], cap.limits(), [cap.demand(x) for x in sorted(lengths, reverse=True)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(demands):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if tuple(bins[k]) not in {tuple(x) for x in bins[:k]} and (bins[k] + demands[i] <= limits).all():
+                go(i + 1, [*bins[:k], bins[k] + demands[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, demands[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_is_near_the_fewest():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        cap = packing.Capacity(40, int(rng.integers(2, 6)), int(rng.integers(110, 140)), tile=4, rule=str(rng.choice(["norm", "dot"])))
+        lengths = [int(x) for x in rng.choice([1, 2, 3, 5, 8, 13, 21, 34, 40], 9)]
+        _, bins = packing.solve(dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)], strict=True)), cap)
+        assert fewest(lengths, cap) <= bins <= fewest(lengths, cap) + 1
+
+
+@pytest.mark.parametrize("histogram, bound", [({2048: 3, 1024: 8}, 0), ({1: 1000, 3: 500}, 1), ({1925: 10, 1: 500}, 2)])
+def test_each_capacity_binds(histogram, bound):
+    cap = packing.PRODUCTION
+    plan, bins = packing.solve(histogram, cap)
+    used = np.zeros((bins, 3), np.int64)
+    for length, a, z, s, m, _ in plan.tolist():
+        for r in range(a, z):
+            used[s + (r - a) // m] += cap.demand(length)
+    left, least = cap.limits() - used, cap.demand(min(histogram))
+    assert (left >= 0).all() and used[:, 0].sum() == sum(k * n for k, n in histogram.items())
+    full = (left[:, bound] < least[bound]) & (np.delete(left, bound, 1) >= np.delete(least, bound)).all(axis=1) if bound else left[:, 0] < least[0]
+    assert full.any()
+
+
 def check_packing(rows, got, enc):
     want = []
     for d, t in rows:

@@ -1,14 +1,15 @@
 """Best-fit packing of token pieces into sequences under several capacities at once.
 
-A piece demands (tokens, 1 document, tokens squared of attention), so its length says it
-all, and lengths are few: 1 to the capacity. The packing is solved on the histogram of
-lengths (at most `capacity` rows, whatever the input), longest first. Bins in the same state
-form a class and are kept as runs of sequence numbers; a step gives one length to one class
-as a whole. The classes are chosen by vector best fit: the least weighted norm of what
-would be left, or the largest weighted dot product of demand and residual. The outcome is a
-table of rank ranges, "pieces of length L ranked a to b go m to a bin from bin s at offset o",
-which every piece looks up by its rank among the pieces of its length. Nothing but the
-histogram reaches the driver, and the result is the packing one machine would make.
+A piece demands (tokens, 1 document, attention cost), so its length says it all, and lengths are
+few: 1 to the capacity. The cost of attention within a piece is counted in tiles, ceil(length /
+tile) squared; tile 1 is length squared. The packing is solved on the histogram of lengths (at
+most `capacity` rows, whatever the input), longest first. Bins in the same state form a class
+and are kept as runs of sequence numbers; a step gives one length to one class as a whole. The
+classes are chosen by vector best fit: the least weighted norm of what would be left of every
+capacity, or the largest weighted dot product of demand and residual. The outcome is a table of
+rank ranges, "pieces of length L ranked a to b go m to a bin from bin s at offset o", which every
+piece looks up by its rank among the pieces of its length. Nothing but the histogram reaches the
+driver, and the result is the packing one machine would make.
 """
 
 from __future__ import annotations
@@ -25,21 +26,59 @@ from trackloom.llm import common, tokens
 
 @dataclass(frozen=True)
 class Capacity:
-    """Limits of a sequence and the weights of the three residuals. A limit that can't bind
-    (a piece has one token at least) is left out of the state."""
+    """Limits of a sequence and the weights of the three residuals. A limit that isn't set is
+    left out of the state."""
 
     tokens: int = 2048
     documents: int | None = None
     attention: int | None = None
     weights: tuple[float, float, float] = (1.0, 0.25, 0.25)
     rule: str = "norm"  # or "dot"
+    tile: int = 1
 
     def limits(self) -> np.ndarray:
-        docs = self.documents if self.documents and self.documents < self.tokens else 0
-        cost = self.attention if self.attention and self.attention < self.tokens**2 else 0
-        if cost and cost < 1:
-            raise ValueError("no piece fits")
-        return np.asarray([self.tokens, docs, cost], np.int64)
+        return np.asarray([self.tokens, self.documents or 0, self.attention or 0], np.int64)
+
+    def demand(self, length: int) -> np.ndarray:
+        return np.asarray([length, 1, (-(-length // self.tile)) ** 2], np.int64)
+
+
+#: Limits of the registered query and of the pipeline: 2048 tokens, 128 pieces (an entry each in
+#: the table of a variable-length attention kernel), and 272 tiles of 128 by 128 tokens, 16 more
+#: than one full piece has. Very short pieces bind the second, such ones beside a long one the third.
+PRODUCTION = Capacity(2048, documents=128, attention=272, tile=128)
+
+
+class Classes:
+    """States that bins are in, in arrays, with the runs of bins in each."""
+
+    def __init__(self):
+        self.place: dict[tuple[int, int, int], int] = {}
+        self.state, self.runs = np.zeros((64, 3), np.int64), []
+
+    def add(self, state: np.ndarray, start: int, count: int) -> None:
+        key = tuple(state.tolist())
+        at = self.place.get(key)
+        if at is None:
+            at = self.place[key] = len(self.runs)
+            if at == len(self.state):
+                self.state = np.concatenate([self.state, np.zeros_like(self.state)])
+            self.state[at] = state
+            self.runs.append([])
+        runs = self.runs[at]
+        if runs and sum(runs[-1]) == start:
+            runs[-1] = (runs[-1][0], runs[-1][1] + count)
+        else:
+            runs.append((start, count))
+
+    def tidy(self, least: np.ndarray) -> None:
+        """Without empty states and those in which nothing more fits; runs that touch are one."""
+        alive = [i for i, r in enumerate(self.runs) if r and (self.state[i] >= least).all()]
+        state, runs = self.state[alive], [self.runs[i] for i in alive]
+        self.place, self.state, self.runs = {}, np.zeros((max(64, 2 * len(alive)), 3), np.int64), []
+        for x, parts in zip(state, runs, strict=True):
+            for start, count in sorted(parts):
+                self.add(x, start, count)
 
 
 def solve(histogram: dict[int, int], cap: Capacity) -> tuple[np.ndarray, int]:
@@ -48,62 +87,60 @@ def solve(histogram: dict[int, int], cap: Capacity) -> tuple[np.ndarray, int]:
     on = limits > 0
     scale = np.where(on, limits, 1).astype(float)
     weight = np.asarray(cap.weights) * on
-    classes: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-    rows, bins = [], 0
-    for length in sorted(histogram, reverse=True):
+    classes, rows, bins = Classes(), [], 0
+    shortest = cap.demand(min(histogram, default=1)) * on
+    for step, length in enumerate(sorted(histogram, reverse=True)):
         left, rank = histogram[length], 0
-        demand = np.asarray([length, 1, length * length], np.int64) * on
+        demand = cap.demand(length) * on
         if (demand > limits).any():
             raise ValueError(f"a piece of {length} tokens exceeds the capacity")
+        if step % 16 == 0:
+            classes.tidy(shortest)
+        empty = np.asarray([not r for r in classes.runs], bool)
         while left:
-            key = None
-            if classes:
-                keys = list(classes)
-                state = np.asarray(keys, np.int64)
-                fits = (state >= demand).all(axis=1)
-                if fits.any():
-                    if cap.rule == "dot":
-                        value = -((state / scale) * (demand / scale) * weight).sum(axis=1)
-                    else:
-                        value = ((((state - demand) / scale) ** 2) * weight).sum(axis=1)
-                    key = keys[int(np.where(fits, value, np.inf).argmin())]
-            if key is None:
-                free, runs = limits, [(bins, left)]  # as many as may be needed; the rest isn't opened
+            state = classes.state[: len(classes.runs)]
+            empty = np.concatenate([empty, np.zeros(len(state) - len(empty), bool)])
+            fits = (state >= demand).all(axis=1) & ~empty
+            if fits.any():
+                if cap.rule == "dot":
+                    value = -((state / scale) * (demand / scale) * weight).sum(axis=1)
+                else:
+                    value = ((((state - demand) / scale) ** 2) * weight).sum(axis=1)
+                at = int(np.where(fits, value, np.inf).argmin())
+                free, runs = state[at].copy(), classes.runs[at]
+                classes.runs[at] = []
+                empty[at] = True
             else:
-                free, runs = np.asarray(key, np.int64), classes.pop(key)
+                at, free, runs = None, limits, [(bins, left)]  # as many as may be needed; the rest isn't opened
             each = int(min(f // d for f, d, o in zip(free, demand, on, strict=True) if o))
             offset = cap.tokens - int(free[0])
             for start, count in runs:
                 full = min(count, left // each)
                 if full:
                     rows.append((length, rank, rank + full * each, start, each, offset))
-                    classes.setdefault(tuple((free - each * demand).tolist()), []).append((start, full))
+                    classes.add(free - each * demand, start, full)
                     rank, left = rank + full * each, left - full * each
                 used = full
                 if used < count and 0 < left < each:
                     rows.append((length, rank, rank + left, start + used, left, offset))
-                    classes.setdefault(tuple((free - left * demand).tolist()), []).append((start + used, 1))
+                    classes.add(free - left * demand, start + used, 1)
                     rank, left, used = rank + left, 0, used + 1
-                if key is None:
+                if at is None:
                     bins += used
                 elif used < count:
-                    classes.setdefault(key, []).append((start + used, count - used))
-        # Runs that touch are one run.
-        for k, runs in classes.items():
-            if len(runs) > 8:
-                joined = []
-                for s, c in sorted(runs):
-                    if joined and sum(joined[-1]) == s:
-                        joined[-1] = (joined[-1][0], joined[-1][1] + c)
-                    else:
-                        joined.append((s, c))
-                classes[k] = joined
+                    classes.runs[at].append((start + used, count - used))
+                    empty[at] = False
     return np.asarray(rows, np.int64).reshape(-1, 6), bins
 
 
 def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, separator: int = 0, most: int = 2048, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids as uint32 bytes).
-    A null text counts as empty: its only id is the separator. Longer documents are cut."""
+
+    A null text counts as empty: its only id is the separator. Documents of more than `most` ids,
+    of any length, are cut into pieces of `most`, the last of which may be shorter. Repeated rows
+    each give their pieces; a null doc_id stays null; an empty table gives none. Extra columns
+    aren't read.
+    """
     vocabulary = vocabulary or tokens.default_vocabulary()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
@@ -128,21 +165,28 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, separator: i
     return common.pick(docs, doc_id="long", text="string").mapInArrow(common.tidy(cut), schema)
 
 
-def pack(pieces: DataFrame, cap: Capacity = Capacity(), group: int = 512) -> DataFrame:
+def pack(pieces: DataFrame, cap: Capacity = PRODUCTION, group: int = 512) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset.
 
-    Ranks are counted within (length, salt); a length gets a salt for every `group` pieces,
-    so a length that a third of all pieces share is many small groups.
+    Ranks are counted within (length, salt); a length gets a salt for every `group` pieces, so
+    a length that a third of all pieces share is many small groups, and so is the running count
+    over its salts, which goes by blocks of 1,024 of them. Equal rows (repeated documents) get
+    different places, in any order. No pieces: no rows.
     """
     spark = pieces.sparkSession
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # cap.tokens rows at most
     plan, _ = solve(histogram, cap)
     salts = spark.createDataFrame([(k, max(1, -(-n // group))) for k, n in histogram.items()], "length long, salts long")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("block", F.expr("salt div 1024"))
+    within = Window.partitionBy("length", "block").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy("length", "block").agg(F.sum("n").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(over), F.lit(0))).drop("n")
+    before = counts.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0))).join(blocks, ["length", "block"])
+    before = before.select("length", "salt", (F.col("own") + F.col("above")).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("rank", F.col("rank") - 1 + F.col("before")).drop("salt", "salts", "before")
+    ranked = salted.withColumn("rank", F.row_number().over(order)).join(before, ["length", "salt"])
+    ranked = ranked.withColumn("rank", F.col("rank") - 1 + F.col("before")).drop("salt", "salts", "before")
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     share = spark.sparkContext.broadcast(plan)  # bounded by the lengths there can be
     columns = [c for c in pieces.columns]
@@ -163,7 +207,7 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), group: int = 512) -> Dat
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """The pieces of all documents (tokenised once) with their sequences."""
+    """The pieces of all documents (tokenised once) with their sequences of PRODUCTION limits."""
     return pack(common.materialize(tokenize_pieces(docs), "pieces")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
