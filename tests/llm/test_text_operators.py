@@ -141,27 +141,38 @@ def test_near_groups_of_repeated_lines(spark):
 
 
 def contained(text, item):
-    def grams(t):
+    """(shingles of the item, how many of them the text has); an item of fewer than five words is
+    sought in runs of as many words."""
+
+    def words(t):
         w = "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in t).encode().lower().split(b" ")
-        w = [x for x in w if x]
-        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return [x for x in w if x]
+
+    def grams(w, n):
+        return {b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
 
-    a, b = grams(text or ""), grams(item or "")
+    w = words(item or "")
+    n = min(5, len(w))
+    a, b = grams(words(text or ""), n), grams(w, n)
     return len(b), len(a & b)
 
 
-def test_containment(spark, sf):
+@pytest.mark.parametrize("block", [1 << 20, 10])
+def test_containment(spark, sf, monkeypatch, block):
+    """With a broadcast index, and with joins of sketches."""
     item = " ".join(f"q{i}" for i in range(30))
     cut = " ".join(f"q{i}" for i in range(25))
-    rows = [(1, LONG + " " + item.upper().replace(" ", ", ") + " " + LONG), (2, cut), (3, " ".join(f"q{i}" for i in range(20))), (4, None), (5, ""), (6, "Two words!"), (7, "some two words more and more"), (8, item), (8, item), (None, item)]
-    items = spark.createDataFrame([(1, item, "x"), (1, item, "y"), (2, "two words", "x"), (3, None, "x"), (4, "", "x"), (5, "...", "x")], "item_id long, text string, doc_id string")
+    rows = [(1, LONG + " " + item.upper().replace(" ", ", ") + " " + LONG), (2, cut), (3, " ".join(f"q{i}" for i in range(20))), (4, None), (5, ""), (6, "Two words!"), (7, "some two words more and more"), (8, item), (8, item), (None, item), (9, "the capital of France is where it is"), (10, "capital of all France is")]
+    items = spark.createDataFrame([(1, item, "x"), (1, item, "y"), (2, "two words", "x"), (3, None, "x"), (4, "", "x"), (5, "...", "x"), (6, "capital of France is", "x"), (7, "q28", "x")], "item_id long, text string, doc_id string")
     got = sorted(map(tuple, contamination.find_items(docs(spark, rows, extra=True), items).collect()), key=str)
-    want = sorted([(d, i, *contained(t, x)) for d, t in rows for i, x in ((1, item), (2, "two words")) if contained(t, x)[1] * 5 >= contained(t, x)[0] * 4], key=str)
-    assert got == want and {d for d, *_ in got} == {1, 2, 6, 8, None}
+    want = sorted([(d, i, *contained(t, x)) for d, t in rows for i, x in ((1, item), (2, "two words"), (6, "capital of France is"), (7, "q28")) if contained(t, x)[1] * 5 >= contained(t, x)[0] * 4], key=str)
+    assert got == want and {d for d, *_ in got} == {1, 2, 6, 7, 8, 9, None}
     assert contamination.find_items(docs(spark, []), items).count() == 0
     assert contamination.find_items(docs(spark, rows), items.limit(0)).count() == 0
+    monkeypatch.setattr(contamination, "BLOCK", block)
+    assert sorted(map(tuple, contamination.find_items(docs(spark, rows, extra=True), items).collect()), key=str) == want
     kept = contamination.without_items(docs(spark, rows, extra=True), items)
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 7] and "bucket" in kept.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 10] and "bucket" in kept.columns
 
 
 def test_items_without_an_id(spark):
@@ -172,7 +183,7 @@ def test_items_without_an_id(spark):
     assert contamination.find_items(rows, items).count() == 0  # as in the SQL
 
 
-def test_containment_in_blocks(spark, sf, monkeypatch):
+def test_containment_by_joins(spark, sf, monkeypatch):
     whole = sorted(map(tuple, contamination.op2_benchmark_containment(spark, sf).collect()))
     monkeypatch.setattr(contamination, "BLOCK", 4000)
     assert sorted(map(tuple, contamination.op2_benchmark_containment(spark, sf).collect())) == whole
