@@ -78,6 +78,22 @@ def test_tree_finds_every_link(bits, n):
     assert all(at[a] & at[b] for a, b in near.tolist())
 
 
+@pytest.mark.parametrize("shard, shards", [(40, 8), (40, 1024), (8, 4)])
+def test_shards_follow_the_input(spark, monkeypatch, shard, shards):
+    """One tree, or a second one below each of its leaves: links are the same, shards stay small."""
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "SHARDS", shards)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    near = base[rng.integers(0, 500, 500)] ^ (np.uint64(1) << rng.integers(0, 63, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 500).astype(np.uint64))
+    prints = np.concatenate([base, near])
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(prints.view(np.int64))], "doc_id long, fp long")
+    sizes = [r["count"] for r in simhash.deal_out(df.select("fp").distinct(), 1000, 2).groupBy("shard").count().collect()]
+    assert len(sizes) > (8 if (shard, shards) == (40, 8) else 20) and max(sizes) < 1000 / 3
+    got = {r.fp: r.component_id for r in simhash.link_fingerprints(df).collect()}
+    assert [got[int(x)] for x in prints.view(np.int64)] == components(prints, np.arange(1000)).tolist()
+
+
 def test_crowds_are_linked_exactly():
     rng = np.random.default_rng(5)
     base = np.unpackbits(rng.integers(0, 256, 64, dtype=np.uint8))

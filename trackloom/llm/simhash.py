@@ -2,7 +2,7 @@
 
 Exact form (`link_fingerprints`): all 64-bit fingerprints at Hamming distance <= radius are
 linked. A vantage-point tree fitted on a bounded sample deals the distinct fingerprints out
-to shards: at a node with vantage v and bound m, fingerprints with d(x, v) <= m go inside,
+to shards, as many as their number asks for: at a node with vantage v and bound m, fingerprints with d(x, v) <= m go inside,
 the others outside. By the triangle inequality the ends of a link differ by radius at most
 in d(., v), so those with m - radius < d(x, v) <= m are sent outside as well. Any two linked
 fingerprints thus meet in some shard, whatever the sample: the index is exact. Within a
@@ -18,6 +18,8 @@ the longer fingerprints are linked as above.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import common, graph, tokens
 
-#: Fingerprints that a tree is fitted on at most; fingerprints aimed at in a shard; most shards.
+#: Fingerprints that a tree is fitted on at most; fingerprints aimed at in a shard; most shards
+#: of a tree. Inputs for more shards get a second tree below each shard of the first.
 SAMPLE, SHARD, SHARDS = 32_768, 8_192, 1_024
 
 
@@ -199,21 +202,64 @@ def link(points: np.ndarray, radius: int, block: int = 384) -> np.ndarray:
     return forest.parent
 
 
+def _sampled(df: DataFrame, share: float, salt: int) -> DataFrame:
+    """About a share of the rows, by a hash of the fingerprint."""
+    return df.where(F.pmod(F.xxhash64("fp", F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, share)))
+
+
+def _points(column) -> np.ndarray:
+    return np.sort(np.asarray(column)).view(np.uint64).reshape(-1, 1)
+
+
+def deal_out(distinct: DataFrame, n: int, radius: int) -> DataFrame:
+    """(shard, fp) of n different fingerprints: each in its own shard and in those over whose
+    bounds it reaches. The number of shards follows n: one tree of up to SHARDS leaves, or one
+    more below each of its leaves, fitted on a bounded sample of the shard by one task each."""
+    spark = distinct.sparkSession
+    shards = max(1, -(-n // SHARD))
+    sample = _sampled(distinct, SAMPLE / max(1, n), 0).select("fp").limit(2 * SAMPLE).toPandas()["fp"]
+    tree = build(_points(sample.to_numpy(np.int64)), min(SHARDS, shards), radius) if len(sample) else [-1, []]
+
+    def dealt(tree, below):
+        share = spark.sparkContext.broadcast((tree, below))  # SHARDS squared nodes at most
+
+        def deal(batches):
+            tree, below = share.value
+            for b in batches:
+                points = np.asarray(b.column(0)).view(np.uint64).reshape(-1, 1)
+                rows, own = route(points, tree, radius)
+                own = own.astype(np.int64) << 32
+                if below:
+                    parts = []
+                    order = np.argsort(own, kind="stable")
+                    for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+                        sub = below.get(int(own[part[0]]))
+                        at, inner = route(points[rows[part]], sub, radius) if sub else (np.arange(len(part)), np.zeros(len(part), np.int64))
+                        parts.append((rows[part[at]], own[part[at]] + inner))
+                    rows, own = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (rows, own)
+                yield pa.RecordBatch.from_arrays([pa.array(own), b.column(0).take(pa.array(rows))], ["shard", "fp"])
+
+        return distinct.select("fp").mapInArrow(common.tidy(deal), "shard long, fp long")
+
+    first = dealt(tree, {})
+    if shards <= SHARDS or not tree[1]:
+        return first
+
+    def fitted(table: pa.Table) -> pa.Table:
+        points = _points(table.column("fp").combine_chunks())[:SAMPLE]
+        found = build(points, min(SHARDS, -(-len(points) * n // (SHARD * max(1, int(n * each))))), radius)
+        return pa.table({"shard": table.column("shard")[:1], "tree": pa.array([json.dumps(found)])})
+
+    each = min(1.0, SHARDS * SAMPLE / 8 / n)  # of every shard, some 4,096 fingerprints at the mean
+    rows = _sampled(first, each, 1).groupBy("shard").applyInArrow(common.tidy_table(fitted), "shard long, tree string").collect()  # SHARDS rows at most
+    return dealt(tree, {r.shard: json.loads(r.tree) for r in rows})
+
+
 def link_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(doc_id, fp) -> (fp, component_id) for every distinct fingerprint; component_id is the
     smallest doc_id among the documents of all fingerprints reachable over links."""
-    spark = fps.sparkSession
     distinct = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    n = distinct.count()
-    sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int((1 << 20) * min(1, SAMPLE / max(1, n)))).select("fp").limit(2 * SAMPLE).toPandas()["fp"]
-    tree = build(np.sort(sample.to_numpy(np.int64)).view(np.uint64).reshape(-1, 1), min(SHARDS, -(-n // SHARD)), radius) if len(sample) else [-1, []]
-    share = spark.sparkContext.broadcast(tree)
-
-    def deal(batches):
-        for b in batches:
-            fp = np.asarray(b.column(0))
-            rows, shards = route(fp.view(np.uint64).reshape(-1, 1), share.value, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(fp[rows])], ["shard", "fp"])
+    dealt = deal_out(distinct, distinct.count(), radius)
 
     def labels(table: pa.Table) -> pa.Table:
         fp = np.sort(np.asarray(table.column("fp").combine_chunks()))
@@ -222,7 +268,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
         linked = size[2][size[1]] > 1
         return pa.table({"fp": fp[linked], "label": label[linked]})
 
-    found = common.materialize(distinct.select("fp").mapInArrow(common.tidy(deal), "shard int, fp long").groupBy("shard").applyInArrow(common.tidy_table(labels), "fp long, label long"), "labels")
+    found = common.materialize(dealt.groupBy("shard").applyInArrow(common.tidy_table(labels), "fp long, label long"), "labels")
     low = found.withColumn("low", F.min("label").over(Window.partitionBy("fp")))
     roots = graph.components(low.where("label != low").select(F.col("label").alias("a"), F.col("low").alias("b")))
     of = found.groupBy("fp").agg(F.min("label").alias("label")).join(roots.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("root", "label").alias("root"))
@@ -389,18 +435,21 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, keyed: boo
         """The function over columns of whole buckets: bucket, and the others."""
 
         def run(batches):
-            held = None
+            held = []  # what has come of the last bucket, which may go on in the next batch
             for b in batches:
                 if not b.num_rows:
                     continue
                 now = [np.asarray(c) if pa.types.is_integer(c.type) else common.flat_text(c)[0].copy().view(np.uint64).reshape(-1, WORDS) for c in b.columns]
-                now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-                last = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
-                held = [x[last:] for x in now]
+                if held and now[0][-1] == held[0][0][0]:
+                    held.append(now)
+                    continue
+                now = [np.concatenate(x) for x in zip(*held, now, strict=True)]
+                last = int(np.searchsorted(now[0], now[0][-1]))
+                held = [[x[last:] for x in now]]
                 if last:
                     yield from of(*(x[:last] for x in now))
-            if held is not None:
-                yield from of(*held)
+            if held:
+                yield from of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
         return common.tidy(run)
 
