@@ -1,4 +1,5 @@
 import pandas as pd
+import pytest
 
 from trackloom.sources import sinks  # noqa: F401
 from trackloom.streaming import tracks
@@ -32,4 +33,11 @@ def test_upserts(spark, tmp_path):
     write = tracks.upsert_batches(str(tmp_path / "t"), "k")
     for epoch, rows in enumerate(([(1, "a"), (2, "a")], [(2, "b")], [(3, "c")])):
         write(spark.createDataFrame(rows, "k int, v string"), epoch)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t" / "0")).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    assert sorted(map(tuple, tracks.latest(spark, str(tmp_path / "t")).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    write(spark.createDataFrame([(3, "d")], "k int, v string"), 2)  # an epoch that comes again
+    assert sorted(map(tuple, tracks.latest(spark, str(tmp_path / "t")).collect())) == [(1, "a"), (2, "b"), (3, "d")]
+    assert tracks.versions(spark, str(tmp_path / "t")) == [1, 2]
+    for f in (tmp_path / "t" / "2").glob("*.parquet"):  # a table that can't be read isn't an empty one
+        f.write_bytes(b"none")
+    with pytest.raises(Exception):
+        write(spark.createDataFrame([(4, "e")], "k int, v string"), 3)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.events import positions
+
 
 def yolo_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> list[Column]:
     """Center and size by the frame's."""
@@ -30,8 +32,19 @@ def union(datasets: dict[str, DataFrame]) -> DataFrame:
     for prefix, df in datasets.items():
         one = df.withColumn("dataset", F.lit(prefix))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    n = F.row_number().over(Window.partitionBy("dataset", "split").orderBy("stem"))
-    return out.withColumn("new_name", F.concat_ws("_", "dataset", "split", F.lpad((n - 1).cast("string"), 6, "0")))
+    out = positions(out, [F.col("stem")], ["dataset", "split"], "_n")  # a split may be of any size
+    number = (F.col("_n") - 1).cast("string")
+    return out.withColumn("new_name", F.concat_ws("_", "dataset", "split", F.lpad(number, F.greatest(F.lit(6), F.length(number)), F.lit("0")))).drop("_n")
+
+
+def presence(datasets: dict[str, DataFrame], splits: tuple[str, ...] = ("train", "val")) -> DataFrame:
+    """Which of the datasets have images in which splits: dataset, split, images, present."""
+    out = None
+    for name, df in datasets.items():
+        wanted = df.sparkSession.createDataFrame([(name, s) for s in splits], "dataset string, split string")
+        one = wanted.join(df.groupBy("split").agg(F.count("*").alias("images")), "split", "left")
+        out = one if out is None else out.unionByName(one)
+    return out.select("dataset", "split", F.coalesce("images", F.lit(0)).alias("images"), F.col("images").isNotNull().alias("present"))
 
 
 def pairing(images: DataFrame, labels: DataFrame) -> DataFrame:

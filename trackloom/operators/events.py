@@ -7,19 +7,33 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
 from trackloom.functions import vocabulary as V
+from trackloom.operators.tracks import KEY, keyed
+from trackloom.plans import staging
 
 
-def numbered(df: DataFrame, prefix: str, *order) -> DataFrame:
-    """event_id in one sequence over the given total order. Numbers within ranges of the first
-    key come from a window of each range plus what the ranges before it hold, so that no task
-    sees all rows."""
+def positions(df: DataFrame, order: list, within: list[str] = (), name: str = "position") -> DataFrame:
+    """The rows with their place (from 1) in a total order, in all or within groups of any size.
+
+    The rows are dealt out by ranges and written once, with the number of their range; a place
+    is that within the range plus what the ranges before it hold, so no task sees all rows.
+    """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_nth", nth).join(F.broadcast(before), "_part").withColumn("event_number", F.col("_nth") + F.col("_before")).withColumn("event_id", F.format_string(prefix + "%06d", "event_number")).drop("_part", "_nth", "_before")
+    groups = [F.col(f"`{c}`") for c in within]
+    ranged = staging.staged(df.repartitionByRange(parts, *groups, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*groups, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_part", *groups).orderBy(*order))
+    on = [F.col("r._part") == F.col("s._part")] + [F.col(f"r.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in within]
+    out = ranged.withColumn("_nth", nth).alias("r").join((sizes if within else F.broadcast(sizes)).alias("s"), on)
+    return out.select("r.*", "s._before").withColumn(name, F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before")
+
+
+def numbered(df: DataFrame, prefix: str, *order) -> DataFrame:
+    """event_id in one sequence over the given total order, unique over all videos."""
+    out = positions(df, list(order), name="event_number")
+    return out.withColumn("event_id", F.format_string(prefix + "%06d", "event_number"))
 
 
 def subject(class_name: Column, color: Column, upper: Column, lower: Column) -> Column:
@@ -32,11 +46,12 @@ def subject(class_name: Column, color: Column, upper: Column, lower: Column) ->
 
 def atomic(bounds: DataFrame, rated: DataFrame, colors: DataFrame | None = None, include_review: bool = True) -> DataFrame:
     """Three events of each usable track: observed over an interval, entered, exited. Numbers
-    follow the order of tracks."""
-    good = rated.where(F.col("status").isin(["reliable", "review"] if include_review else ["reliable"])).select("track_id", F.col("status").alias("reliability_status"), F.col("score").alias("reliability_score"))
-    t = bounds.join(good, "track_id")
+    follow the order of videos and of their tracks."""
+    good = keyed(rated).where(F.col("status").isin(["reliable", "review"] if include_review else ["reliable"]))
+    good = good.select(*KEY, F.col("status").alias("reliability_status"), F.col("score").alias("reliability_score"))
+    t = keyed(bounds).join(good, KEY)
     if colors is not None:
-        t = t.join(colors.select("track_id", "object_color", "upper_color", "lower_color"), "track_id", "left")
+        t = t.join(keyed(colors).select(*KEY, "object_color", "upper_color", "lower_color"), KEY, "left")
     else:
         t = t.withColumns({c: F.lit(None).cast("string") for c in ("object_color", "upper_color", "lower_color")})
     who = subject(F.col("class_name"), F.col("object_color"), F.col("upper_color"), F.col("lower_color"))
@@ -49,8 +64,8 @@ def atomic(bounds: DataFrame, rated: DataFrame, colors: DataFrame | None = None,
         one(F.lit(1), F.lit("object_entered"), none_d, none_d, none_d, s, F.col("first_frame"), F.format_string("%s entered the scene at %.2fs", who, s)),
         one(F.lit(2), F.lit("object_exited"), none_d, none_d, none_d, e, F.col("last_frame"), F.format_string("%s exited the scene at %.2fs", who, e)),
     )
-    rows = t.select("track_id", "track_pos", "class_name", "reliability_status", "reliability_score", "object_color", "upper_color", "lower_color", F.explode(kinds).alias("e")).select("*", "e.*").drop("e")
-    return numbered(rows, "event_", "track_pos", "track_id", "k").drop("k")
+    rows = t.select(*KEY, "track_pos", "class_name", "reliability_status", "reliability_score", "object_color", "upper_color", "lower_color", F.explode(kinds).alias("e")).select("*", "e.*").drop("e")
+    return numbered(rows, "event_", "video_id", "track_pos", "track_id", "k").drop("k")
 
 
 def ordered(events: DataFrame) -> DataFrame:
@@ -99,14 +114,15 @@ def pair_sentence(a: Column, b: Column, kinds: Column) -> Column:
 
 
 def composite(observed: DataFrame, moved: DataFrame, placed: DataFrame, related: DataFrame) -> DataFrame:
-    """What each observed track did, then what each related pair did, in one numbering."""
-    m = moved.select("track_id", "motion_state", F.col("direction").alias("motion_direction"))
-    p = placed.select("track_id", "start_region", "end_region", "region_transition")
-    t = observed.where("event_type = 'object_observed'").join(m, "track_id").join(p, "track_id")
+    """What each observed track did, then what each related pair did, in one numbering over
+    the videos."""
+    m = keyed(moved).select(*KEY, "motion_state", F.col("direction").alias("motion_direction"))
+    p = keyed(placed).select(*KEY, "start_region", "end_region", "region_transition")
+    t = keyed(observed).where("event_type = 'object_observed'").join(m, KEY).join(p, KEY)
     t = t.withColumn("colour_attributes", color_attributes(F.col("object_color"), F.col("upper_color"), F.col("lower_color")))
     none = lambda kind: F.lit(None).cast(kind)
     tracks = t.select(
-        F.lit(0).alias("part"), F.coalesce("start_time", F.lit(-1.0)).alias("o1"), F.col("event_number").cast("bigint").alias("o2"), F.lit(0).cast("bigint").alias("o3"),
+        "video_id", F.lit(0).alias("part"), F.coalesce("start_time", F.lit(-1.0)).alias("o1"), F.col("event_number").cast("bigint").alias("o2"), F.lit(0).cast("bigint").alias("o3"),
         F.lit("track_semantic_event").alias("event_type"), F.array("track_id").alias("track_ids"), F.array("class_name").alias("class_names"),
         F.col("start_time").alias("start_time_seconds"), F.col("end_time").alias("end_time_seconds"), F.coalesce("duration", F.greatest(F.lit(0.0), F.col("end_time") - F.col("start_time"))).alias("duration_seconds"),
         "reliability_status", "colour_attributes", "motion_state", "motion_direction", "start_region", "end_region", "region_transition",
@@ -116,15 +132,15 @@ def composite(observed: DataFrame, moved: DataFrame, placed: DataFrame, related:
     lo, hi = F.least("first_timestamp", "last_timestamp"), F.greatest("first_timestamp", "last_timestamp")
     known = F.col("first_timestamp").isNotNull() & F.col("last_timestamp").isNotNull()
     place = tracks.schema["start_region"].dataType.simpleString()
-    pairs = related.select(
-        F.lit(1).alias("part"), F.lit(0.0).alias("o1"), F.col("track_a_id").alias("o2"), F.col("track_b_id").alias("o3"),
+    pairs = keyed(related).select(
+        "video_id", F.lit(1).alias("part"), F.lit(0.0).alias("o1"), F.col("track_a_id").alias("o2"), F.col("track_b_id").alias("o3"),
         F.lit("relationship_event").alias("event_type"), F.array("track_a_id", "track_b_id").alias("track_ids"), F.array("track_a_class", "track_b_class").alias("class_names"),
         F.when(known, lo).otherwise(F.col("first_timestamp")).alias("start_time_seconds"), F.when(known, hi).otherwise(F.col("last_timestamp")).alias("end_time_seconds"), F.when(known, hi - lo).alias("duration_seconds"),
         none("string").alias("reliability_status"), none("map<string,string>").alias("colour_attributes"), none("string").alias("motion_state"), none("string").alias("motion_direction"),
         none(place).alias("start_region"), none(place).alias("end_region"), none("string").alias("region_transition"),
         "relationship_types", "shared_frames", "near_ratio", "overlap_ratio", pair_sentence(F.col("track_a_class"), F.col("track_b_class"), F.col("relationship_types")).alias("description"),
     )
-    return numbered(tracks.unionByName(pairs), "composite_event_", "part", "o1", "o2", "o3").drop("part", "o1", "o2", "o3")
+    return numbered(tracks.unionByName(pairs), "composite_event_", "video_id", "part", "o1", "o2", "o3").drop("part", "o1", "o2", "o3")
 
 
 def type_counts(events: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import scoring as S
 from trackloom.functions import text as T
+from trackloom.plans import staging
 
 
 def records(documents: DataFrame, vectors: DataFrame, on: str = "document_id") -> DataFrame:
@@ -37,19 +38,22 @@ def nearest(index: DataFrame, query: list[float], k: int, key: str = "document_i
     return index.withColumn("distance", d).orderBy("distance", key).limit(k)
 
 
-def nearest_for_all(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", block: int = 256) -> DataFrame:
-    """The k nearest rows for each of a stated set of queries, in blocks of queries: each
-    block is one pass over the index, and a task keeps k candidates for each query."""
+def nearest_for_all(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", block: int = 4096) -> DataFrame:
+    """The k nearest rows for each of a stated set of queries, in blocks of about `block`
+    queries: a block is one pass over the index, in which a task keeps k candidates for each
+    query. One block at a time is on the driver, and its results are written before the next."""
     import numpy as np
     import pandas as pd
     import pyarrow as pa
 
     spark, out = index.sparkSession, None
-    asked = queries.select(F.col(query_key).alias("query_id"), "embedding").orderBy("query_id").toPandas()
-    for at in range(0, max(1, len(asked)), block):
-        part = asked.iloc[at : at + block]
+    asked = queries.select(F.col(query_key).alias("query_id"), "embedding")
+    blocks = max(1, -(-asked.count() // block))
+    w = Window.partitionBy("query_id").orderBy(F.round("distance", 12), "neighbor")
+    for at in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).toPandas()
         if not len(part):
-            break
+            continue
         q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
         share = spark.sparkContext.broadcast((part["query_id"].to_numpy(), q))
@@ -71,13 +75,12 @@ def nearest_for_all(index: DataFrame, queries: DataFrame, k: int, key: str = "ve
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": np.repeat(ids, n), "neighbor": best_i.ravel(), "distance": best_d.ravel()}), preserve_index=False)
 
         found = index.select(F.col(key).cast("long"), "embedding").mapInArrow(run, "query_id long, neighbor long, distance double")
+        found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        if blocks > 1:
+            found = staging.staged(found, "nearest")
+            share.unpersist()
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, neighbor long, distance double, rank int")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy(F.round("distance", 12), "neighbor")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return spark.createDataFrame([], "query_id long, neighbor long, distance double, rank int") if out is None else out
 
 
 def image_records(images: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -78,12 +78,13 @@ def statistics(tracks: DataFrame) -> DataFrame:
 
 
 def fuse(tracks: DataFrame, semantic: DataFrame, objects: DataFrame, events: DataFrame) -> DataFrame:
-    """The four products of a video as one document."""
+    """The four products of each video as one document; rows without a video_id are of one video."""
     parts = None
     for name, df in (("tracks", tracks), ("semantic", semantic), ("objects", objects), ("events", events)):
-        one = df.select(F.lit(name).alias("part"), F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("row"))
+        video = F.col("video_id") if "video_id" in df.columns else F.lit("")
+        one = df.select(video.alias("video_id"), F.lit(name).alias("part"), F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("row"))
         parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy().pivot("part", ["tracks", "semantic", "objects", "events"]).agg(F.array_sort(F.collect_list("row")))
+    return parts.groupBy("video_id").pivot("part", ["tracks", "semantic", "objects", "events"]).agg(F.array_sort(F.collect_list("row")))
 
 
 def track_context(vlm: DataFrame, tracking: DataFrame) -> DataFrame:

@@ -1,34 +1,81 @@
-"""Relationships of tracks that share frames."""
+"""Relationships of tracks that share frames of a video."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
 from trackloom.functions import vocabulary as V
-from trackloom.operators.tracks import in_order
+from trackloom.operators.tracks import KEY, keyed
+from trackloom.plans import staging
 
+#: Shares of the shared frames that near and overlapping pairs need; frames and mean distance
+#: of those that move together.
+NEAR, OVER, TOGETHER_FRAMES, TOGETHER = 0.50, 0.30, 5, 0.06
 
-def pair_rows(obs: DataFrame, width: int, height: int) -> DataFrame:
-    """One row for each two tracks in a frame: an equi-join on the frame, the order of the
-    file deciding which is a. A track is never paired with itself."""
-    diag = G.diagonal(width, height)
-    first = Window.partitionBy("frame_index")
+
+def framed(obs: DataFrame) -> DataFrame:
+    """Observations with their centers and the number of their frame in the order in which the
+    frames of a video came in."""
+    o = keyed(obs).where("frame_index IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
+    came = Window.partitionBy("video_id").orderBy("first", "frame_index")
+    frames = o.groupBy("video_id", "frame_index").agg(F.min(F.struct("track_pos", "obs_pos")).alias("first"))
+    frames = frames.select("video_id", "frame_index", F.row_number().over(came).alias("frame_rank"))
     cx, cy = G.center(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    o = obs.withColumn("place", in_order("track_pos", "obs_pos")).withColumn("frame_rank", F.min("place").over(first)).withColumn("cx", cx).withColumn("cy", cy)
-    keep = ["track_id", "class_name", "place", "frame_index", "frame_rank", "timestamp_seconds", "x1", "y1", "x2", "y2", "cx", "cy"]
-    a = o.select(*[F.col(c).alias(c if c in ("frame_index", "frame_rank") else f"a_{c}") for c in keep])
-    b = o.select(*[F.col(c).alias(c if c == "frame_index" else f"b_{c}") for c in keep if c != "frame_rank"])
-    p = a.join(b, "frame_index").where("a_place < b_place AND a_track_id <> b_track_id")
-    box = lambda s: tuple(F.col(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2"))
-    low, high = F.least("a_track_id", "b_track_id"), F.greatest("a_track_id", "b_track_id")
-    swap = F.col("a_track_id") > F.col("b_track_id")
+    return o.join(frames, ["video_id", "frame_index"]).withColumn("cx", cx).withColumn("cy", cy)
+
+
+def _box(side: str) -> tuple[Column, ...]:
+    return tuple(F.col(f"{side}_{c}") for c in ("x1", "y1", "x2", "y2"))
+
+
+def _side(o: DataFrame, side: str, shared: list[str], *more: str) -> DataFrame:
+    keep = ["track_id", "class_name", "track_pos", "obs_pos", "timestamp_seconds", "x1", "y1", "x2", "y2", "cx", "cy", *more]
+    return o.select(*shared, *[F.col(c).alias(f"{side}_{c}") for c in keep])
+
+
+def candidates(o: DataFrame, reach: float, near_frames: int, over_frames: int) -> DataFrame:
+    """Two tracks of a video (track_a_id < track_b_id) that are within `reach` of one another, or
+    overlap, in so many frames: what any relationship needs.
+
+    A frame is cut into cells of the size of the reach. An observation stands in the cells of
+    its box and of what lies within half the reach of its center, so two of them that are near
+    or overlap share a cell; the pair is taken in the first cell they share. The join thus goes
+    by (video, frame, cell), and its rows follow the number of neighbours.
+    """
+    low = lambda c, x: F.floor(F.least(F.col(x), F.col(c) - reach / 2) / reach)
+    high = lambda c, x: F.floor(F.greatest(F.col(x), F.col(c) + reach / 2) / reach)
+    o = o.withColumns({"left": low("cx", "x1"), "right": high("cx", "x2"), "top": low("cy", "y1"), "bottom": high("cy", "y2")})
+    o = o.withColumn("across", F.explode(F.sequence("left", "right"))).withColumn("down", F.explode(F.sequence("top", "bottom")))
+    shared = ["video_id", "frame_index", "across", "down"]
+    p = _side(o, "a", shared, "left", "top").join(_side(o, "b", shared, "left", "top"), shared)
+    p = p.where("a_track_id < b_track_id AND across = greatest(a_left, b_left) AND down = greatest(a_top, b_top)")
+    near = G.distance(F.col("a_cx"), F.col("a_cy"), F.col("b_cx"), F.col("b_cy")) <= reach
+    over = G.iou(_box("a"), _box("b")) > 0
+    per = p.groupBy("video_id", F.col("a_track_id").alias("track_a_id"), F.col("b_track_id").alias("track_b_id")).agg(F.count_if(near).alias("n"), F.count_if(over).alias("o"))
+    return per.where((F.col("n") >= near_frames) | (F.col("o") >= over_frames)).drop("n", "o")
+
+
+def pair_rows(obs: DataFrame, width: int, height: int, near: float = 0.08, shared: int = 3) -> DataFrame:
+    """One row for each frame that two tracks share, of tracks that come near or overlap in as
+    many frames as a relationship needs at least. A track is never paired with itself."""
+    diag = G.diagonal(width, height)
+    o = staging.staged(framed(obs), "framed")  # four sides of joins read it
+    # Pairs that move together are nearer than `near` in a share of their frames, as their mean is lower.
+    least = [math.ceil(NEAR * shared), math.ceil(TOGETHER_FRAMES * (1 - TOGETHER / near)) if near > TOGETHER else 0]
+    # Cells of a little more than the reach, so that rounding loses no pair at its end.
+    found = candidates(o, near * diag * (1 + 1e-9), max(1, min(least)), max(1, math.ceil(OVER * shared)))
+    a = _side(o, "a", ["video_id", "frame_index", "frame_rank"]).withColumn("track_a_id", F.col("a_track_id"))
+    b = _side(o, "b", ["video_id", "frame_index"]).withColumn("track_b_id", F.col("b_track_id"))
+    p = found.join(a, ["video_id", "track_a_id"]).join(b, ["video_id", "track_b_id", "frame_index"])
+    first = (F.col("a_track_pos") < F.col("b_track_pos")) | ((F.col("a_track_pos") == F.col("b_track_pos")) & (F.col("a_obs_pos") < F.col("b_obs_pos")))
     return p.select(
-        low.alias("track_a_id"), high.alias("track_b_id"),
-        F.when(swap, F.col("b_class_name")).otherwise(F.col("a_class_name")).alias("track_a_class"), F.when(swap, F.col("a_class_name")).otherwise(F.col("b_class_name")).alias("track_b_class"),
-        "frame_index", "frame_rank", F.col("a_timestamp_seconds").alias("seconds"),
-        (G.distance(F.col("a_cx"), F.col("a_cy"), F.col("b_cx"), F.col("b_cy")) / diag).alias("distance"), G.iou(box("a"), box("b")).alias("iou"),
+        "video_id", "track_a_id", "track_b_id", F.col("a_class_name").alias("track_a_class"), F.col("b_class_name").alias("track_b_class"),
+        "frame_index", "frame_rank", F.when(first, F.col("a_timestamp_seconds")).otherwise(F.col("b_timestamp_seconds")).alias("seconds"),
+        (G.distance(F.col("a_cx"), F.col("a_cy"), F.col("b_cx"), F.col("b_cy")) / diag).alias("distance"), G.iou(_box("a"), _box("b")).alias("iou"),
     )
 
 
@@ -36,16 +83,16 @@ def statistics(pairs: DataFrame, near: float = 0.08, shared: int = 3, order: str
     """Pairs with enough shared frames. First and last follow the order in which frames came
     in ("insertion"), or time."""
     by = F.col("frame_rank") if order == "insertion" else F.col("frame_index")
-    s = pairs.groupBy("track_a_id", "track_b_id", "track_a_class", "track_b_class").agg(
+    s = keyed(pairs).groupBy("video_id", "track_a_id", "track_b_id", "track_a_class", "track_b_class").agg(
         F.count("*").alias("shared_frames"), F.count_if(F.col("distance") <= near).alias("near_frames"), F.count_if(F.col("iou") > 0).alias("overlap_frames"),
         F.avg("distance").alias("average"), F.least(F.lit(1.0), F.min("distance")).alias("least"), F.max("iou").alias("iou"),
-        F.min_by("frame_index", by).alias("first_frame"), F.max_by("frame_index", by).alias("last_frame"), F.min_by("seconds", by).alias("first_timestamp"), F.max_by("seconds", by).alias("last_timestamp"),
-        F.min("frame_rank").alias("came"),
+        F.min_by("frame_index", by).alias("first_frame"), F.max_by("frame_index", by).alias("last_frame"),
+        F.min_by("seconds", by).alias("first_timestamp"), F.max_by("seconds", by).alias("last_timestamp"), F.min("frame_rank").alias("came"),
     )
     return s.where(F.col("shared_frames") >= shared)
 
 
-def relationships(pairs: DataFrame, moved: DataFrame | None = None, together: float = 0.06, **options) -> DataFrame:
+def relationships(pairs: DataFrame, moved: DataFrame | None = None, together: float = TOGETHER, **options) -> DataFrame:
     """Named relationships of pairs; pairs without any are dropped. moved: motion of tracks,
     for those that move together (in one direction, close, five frames or more)."""
     s = statistics(pairs, **options)
@@ -54,16 +101,18 @@ def relationships(pairs: DataFrame, moved: DataFrame | None = None, together: fl
     mixed = (a.isin(V.HUMAN) & b.isin(V.VEHICLE_PAIRS)) | (b.isin(V.HUMAN) & a.isin(V.VEHICLE_PAIRS))
     alike = F.lit(False)
     if moved is not None:
-        ways = moved.select("track_id", "direction")
-        s = s.join(ways.select(F.col("track_id").alias("track_a_id"), F.col("direction").alias("way_a")), "track_a_id", "left").join(ways.select(F.col("track_id").alias("track_b_id"), F.col("direction").alias("way_b")), "track_b_id", "left")
+        ways = keyed(moved).select(*KEY, "direction")
+        for side in ("a", "b"):
+            one = ways.select("video_id", F.col("track_id").alias(f"track_{side}_id"), F.col("direction").alias(f"way_{side}"))
+            s = s.join(one, ["video_id", f"track_{side}_id"], "left")
         alike = (F.col("way_a") == F.col("way_b")) & ~F.col("way_a").isin("unknown", "stationary")
-    near = F.col("near_ratio") >= 0.50
+    near = F.col("near_ratio") >= NEAR
     kinds = F.array_compact(F.array(
-        F.when(near, "near"), F.when(F.col("overlap_ratio") >= 0.30, "overlapping"), F.when(mixed & near, "human_near_vehicle"),
-        F.when(alike & (F.col("average") <= together) & (F.col("shared_frames") >= 5), "moving_together"),
+        F.when(near, "near"), F.when(F.col("overlap_ratio") >= OVER, "overlapping"), F.when(mixed & near, "human_near_vehicle"),
+        F.when(alike & (F.col("average") <= together) & (F.col("shared_frames") >= TOGETHER_FRAMES), "moving_together"),
     ))
     return s.withColumn("relationship_types", kinds).where(F.size("relationship_types") > 0).select(
-        "track_a_id", "track_a_class", "track_b_id", "track_b_class", "relationship_types", "shared_frames", "near_frames", "overlap_frames",
+        "video_id", "track_a_id", "track_a_class", "track_b_id", "track_b_class", "relationship_types", "shared_frames", "near_frames", "overlap_frames",
         F.round("near_ratio", 4).alias("near_ratio"), F.round("overlap_ratio", 4).alias("overlap_ratio"), F.round("average", 6).alias("average_normalized_distance"),
         F.round("least", 6).alias("minimum_normalized_distance"), F.round("iou", 4).alias("maximum_iou"), "first_frame", "last_frame", "first_timestamp", "last_timestamp", "came",
     )

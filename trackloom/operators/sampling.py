@@ -30,17 +30,30 @@ def sample(frames: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """frames (video_id, frame_index, timestamp_seconds, motion_score) -> those emitted.
 
     A frame is emitted if the interval of its own rate has gone by since the last emitted one,
-    so each decision hangs on the last: a fold over a video's frames in order, within a task
-    for each video and without Python.
+    so each decision hangs on the last: the frames of a video stream by in order, and only the
+    time of the last emitted one and the number of those before are held.
     """
-    f = scored(frames).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", "timestamp_seconds", "motion_score", "motion_level", "sampling_fps"))).alias("frames"))
-    kind = f.schema["frames"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(kind).alias("kept"))
-
-    def step(acc, x):
-        due = acc["last"].isNull() | (x["timestamp_seconds"] - acc["last"] >= 1 / x["sampling_fps"] - tolerance)
-        return F.struct(F.when(due, x["timestamp_seconds"]).otherwise(acc["last"]).alias("last"), F.when(due, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = f.select("video_id", F.aggregate("frames", start, step)["kept"].alias("kept"))
-    out = kept.select("video_id", F.posexplode("kept").alias("n", "x")).select("video_id", (F.col("n") + 1).alias("sample_number"), "x.*")
+    import numpy as np
+    import pyarrow as pa
+
+    rows = scored(frames).select("video_id", "frame_index", "timestamp_seconds", "motion_score", "motion_level", "sampling_fps")
+    schema = "video_id string, sample_number int, frame_index long, timestamp_seconds double, motion_score double, motion_level string, sampling_fps double"
+
+    def run(batches):
+        video, last, number = None, None, 0
+        for b in batches:
+            keep, numbers = [], []
+            for i, (v, t, rate) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                if v != video or not number:
+                    video, last, number = v, None, 0
+                if last is None or (t is not None and t - last >= 1 / rate - tolerance):
+                    last, number = t, number + 1
+                    keep.append(i)
+                    numbers.append(number)
+            mine = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([mine.column(0), pa.array(np.asarray(numbers), pa.int32()), *mine.columns[1:]], ["video_id", "sample_number", *b.schema.names[1:]])
+
+    types = {"video_id": "string", "frame_index": "long", "timestamp_seconds": "double", "motion_score": "double", "sampling_fps": "double"}
+    rows = rows.withColumns({c: F.col(c).cast(k) for c, k in types.items()})
+    out = rows.repartition("video_id").sortWithinPartitions("video_id", "frame_index").mapInArrow(run, schema)
     return out.withColumn("image_name", F.format_string("frame_%06d_src_%06d.jpg", "sample_number", "frame_index"))

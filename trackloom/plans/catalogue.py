@@ -10,10 +10,9 @@ from trackloom.functions import text as T
 from trackloom.functions import vocabulary as V
 from trackloom.operators import clips, datasets, events, index, metadata, pairs, quality, retrieval, sampling, tracks
 from trackloom.operators import colors as color_ops
-from trackloom.plans import nlq
+from trackloom.plans import nlq, staging
 from trackloom.plans.ingest import Ingest
 from trackloom.plans.oracle import from_chain, matched
-from trackloom.plans.staging import staged
 from trackloom.sources import readers, sinks
 from trackloom.sources import testdata as D
 
@@ -33,8 +32,19 @@ def query(sql: str | None):
     return add
 
 
-def ingest(spark: SparkSession, sf_dir: str, colored: bool = True) -> Ingest:
-    return Ingest(staged(D.observations(spark, sf_dir), "observations"), D.WIDTH, D.HEIGHT, D.FPS, D.colors(spark, sf_dir) if colored else None)
+_INGESTS: dict = {}
+
+
+def ingest(spark: SparkSession, sf_dir: str, colored: bool = True, videos: int = 1) -> Ingest:
+    """The products of the observations of a folder. They are shared by all queries of an
+    application for as long as the folder's events are those they were made of."""
+    made_of = staging.stamp(spark, f"{sf_dir}/events.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, colored, videos)
+    if _INGESTS.get(key, (None, None))[0] != made_of:
+        observations = staging.staged(D.observations(spark, sf_dir, videos), "observations")
+        colors = D.colors(spark, sf_dir, videos) if colored else None
+        _INGESTS[key] = made_of, Ingest(observations, D.WIDTH, D.HEIGHT, D.FPS, colors)
+    return _INGESTS[key][1]
 
 
 def csv(column):
@@ -51,7 +61,7 @@ def obs_bbox_geometry(spark, sf_dir):
 
 @query(from_chain("SELECT track_id, class_name, observation_count, first_frame, last_frame, start_time, end_time, duration FROM bounds"))
 def track_temporal_bounds(spark, sf_dir):
-    return tracks.temporal_bounds(D.observations(spark, sf_dir), D.FPS).drop("track_pos")
+    return tracks.temporal_bounds(D.observations(spark, sf_dir), D.FPS).drop("video_id", "track_pos")
 
 
 @query(from_chain("SELECT track_id, class_name, rank, frame_index, round(final_score, 6) AS final_score FROM crops"))
@@ -61,7 +71,7 @@ def top3_crops(spark, sf_dir):
 
 @query(from_chain("SELECT track_id, class_name, observation_count, crop_count, status, score, round(p, 4) AS persistence_score, round(cc, 4) AS crop_consistency_score, round(d, 4) AS confidence_score, round(n, 4) AS crop_count_score, reasons FROM rel"))
 def track_reliability(spark, sf_dir):
-    return ingest(spark, sf_dir).get("track_reliability").withColumn("reasons", csv(F.col("reasons"))).drop("track_pos", "penalty")
+    return ingest(spark, sf_dir).get("track_reliability").withColumn("reasons", csv(F.col("reasons"))).drop("video_id", "track_pos", "penalty")
 
 
 @query(from_chain("SELECT class_name, count(*) FILTER (WHERE status = 'reliable') AS reliable, count(*) FILTER (WHERE status = 'review') AS review, count(*) FILTER (WHERE status = 'reject') AS reject FROM rel GROUP BY class_name"))
@@ -107,7 +117,7 @@ def region_counts(spark, sf_dir):
     )
 )
 def pair_relationships(spark, sf_dir):
-    return ingest(spark, sf_dir).get("relationships").withColumn("relationship_types", csv(F.col("relationship_types"))).drop("came", "first_timestamp", "last_timestamp")
+    return ingest(spark, sf_dir).get("relationships").withColumn("relationship_types", csv(F.col("relationship_types"))).drop("video_id", "came", "first_timestamp", "last_timestamp")
 
 
 @query(from_chain("SELECT unnest(relationship_types) AS relationship_type, count(*) AS pairs FROM related GROUP BY 1"))
@@ -152,6 +162,32 @@ def retrieval_documents(spark, sf_dir):
     return ingest(spark, sf_dir).get("documents").select("document_id", "text", "event_type", "quality_score", "quality_label")
 
 
+# Several videos whose tracks have the same numbers
+
+VIDEOS = 4
+
+
+@query(from_chain("SELECT video_id, track_id, class_name, observation_count, first_frame, last_frame, start_time, end_time, duration FROM bounds", VIDEOS))
+def videos_track_bounds(spark, sf_dir):
+    return ingest(spark, sf_dir, videos=VIDEOS).get("temporal_bounds").drop("track_pos")
+
+
+@query(from_chain(f"SELECT video_id, {', '.join(_MOTION)} FROM motion", VIDEOS))
+def videos_track_motion(spark, sf_dir):
+    return ingest(spark, sf_dir, videos=VIDEOS).get("motion").select("video_id", *_MOTION)
+
+
+@query(from_chain("SELECT video_id, track_a_id, track_b_id, track_a_class, track_b_class, array_to_string(relationship_types, ',') AS relationship_types, shared_frames, near_frames, overlap_frames, round(average, 6) AS average_normalized_distance, first_frame, last_frame FROM related", VIDEOS))
+def videos_pair_relationships(spark, sf_dir):
+    r = ingest(spark, sf_dir, videos=VIDEOS).get("relationships").withColumn("relationship_types", csv(F.col("relationship_types")))
+    return r.select("video_id", "track_a_id", "track_b_id", "track_a_class", "track_b_class", "relationship_types", "shared_frames", "near_frames", "overlap_frames", "average_normalized_distance", "first_frame", "last_frame")
+
+
+@query(from_chain("SELECT video_id, document_id, text, event_type, quality_score, quality_label FROM documents_of", VIDEOS))
+def videos_retrieval_documents(spark, sf_dir):
+    return ingest(spark, sf_dir, videos=VIDEOS).get("documents").select("video_id", "document_id", "text", "event_type", "quality_score", "quality_label")
+
+
 # Sampling and colours
 
 _FRAMES_SQL = "fr AS (SELECT track_id % 4 AS video, frame_index AS frame_index, frame_index / 30.0::DOUBLE AS t, min(obs_pos * 37 % 200) / 10.0::DOUBLE AS m FROM obs GROUP BY ALL)"
@@ -296,13 +332,28 @@ def knn_batch(spark, sf_dir):
 # Search
 
 
+#: The vector that stands for the words of a question: searches rank by real distances to it.
+ASKED_VECTOR = 7
+
+
+def _vectored(spark, sf_dir, documents: DataFrame) -> DataFrame:
+    """Documents with a vector each, taken from the driver's by the number of the event."""
+    e = D.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    number = F.substring_index("document_id", "_", -1).cast("bigint")
+    return documents.withColumn("vec_id", number * 37 % e.count()).join(e, "vec_id").drop("vec_id")
+
+
 def _search(spark, sf_dir, text: str, k: int = 10):
-    """The search with the similarity left at 0, so that SQL can follow."""
+    """The search over the documents that match, by similarity, quality and what matched."""
     rest, span = nlq.temporal(text)
     c = nlq.constraints(rest)
     d = ingest(spark, sf_dir).get("documents").withColumn("document", F.col("text"))
-    rows = retrieval.matching(d, c, span).withColumn("similarity", F.lit(0.0)).withColumn("distance", F.lit(1.0))
-    return retrieval.ranked(rows.withColumn("hybrid_score", retrieval.hybrid_score(F.col("similarity"), F.col("quality_score"), c)), k).select("event_id", "hybrid_score", "rank")
+    asked = D.table(spark, sf_dir, "embeddings").where(f"vec_id = {ASKED_VECTOR}").select("embedding").first()
+    rows = _vectored(spark, sf_dir, retrieval.matching(d, c, span))
+    rows = rows.withColumn("distance", S.cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in asked.embedding])))
+    rows = rows.withColumn("similarity", S.similarity(F.col("distance")))
+    rows = rows.withColumn("hybrid_score", retrieval.hybrid_score(F.col("similarity"), F.col("quality_score"), c))
+    return retrieval.ranked(rows, k).select("event_id", "similarity", "hybrid_score", "rank")
 
 
 _STILL = "(d LIKE '%stationary%' OR d LIKE '%standing%' OR d LIKE '%stopped%')"
@@ -369,8 +420,9 @@ def hybrid_merge(spark, sf_dir):
 )
 def rrf_fusion(spark, sf_dir):
     a, b = _both(spark, sf_dir)
-    number = lambda df, *o: df.orderBy(*o).withColumn("position", F.row_number().over(Window.orderBy(*o)) - 1)
-    return retrieval.fuse_ranks([(number(a, "event_id"), "event_id", "sql_"), (number(b, F.col("similarity").desc(), F.col("event_id")), "event_id", "vec_")])
+    number = lambda df, *o: events.positions(df, list(o)).withColumn("position", F.col("position") - 1)
+    first, second = number(a, "event_id"), number(b, F.col("similarity").desc(), F.col("event_id"))
+    return retrieval.fuse_ranks([(first, "event_id", "sql_"), (second, "event_id", "vec_")])
 
 
 @query(f"WITH {_BOTH_SQL} SELECT event_id, round(0.40 * similarity + 0.30 + 0.20 + 0.10, 4) AS rerank_score FROM b")
@@ -385,14 +437,23 @@ def metadata_filter(spark, sf_dir):
     return retrieval.metadata_filter(e.withColumn("end_time", F.col("start_time")), action="CLICK", time_range=p["time_range"]).select("event_id")
 
 
-_ASKED = ["blue bus between 5 and 8 seconds", "people from 1 min to 90 s on the left side", "cars in the first 10 seconds", "trucks after 2 minutes near a van", "stationary white van before 30s", "pedestrians moving left to right", "red car in the right top region", "anything between 5 and 2 mins", "two persons close to a grey bike"]
-_ASKED_SQL = ", ".join("('" + q + "')" for q in _ASKED)
+#: Patterns of questions, filled with numbers of the events.
+_ASKED = [
+    "blue bus between {a} and {b} seconds", "people from {a} min to {b} s on the left side", "cars in the first {b} seconds", "trucks after {a} minutes near a van", "stationary white van before {b}s",
+    "pedestrians moving left to right", "red car in the right top region", "anything between {b} and {a} mins", "two persons close to a grey bike", "a Blue truck and a red van after {b} secs",
+]
+_ASKED_SQL = (
+    "(SELECT event_id, replace(replace([" + ", ".join("'" + q + "'" for q in _ASKED) + f"][event_id % {len(_ASKED)} + 1], '{{a}}', CAST(event_id * 7 % 53 AS VARCHAR)), '{{b}}', CAST(event_id * 11 % 97 AS VARCHAR)) AS q FROM events)"
+)
 
 
 def _asked(spark, sf_dir):
-    """A fixed list of questions, times the regions of the driver's data."""
-    q = F.explode(F.array(*map(F.lit, _ASKED))).alias("q")
-    return D.table(spark, sf_dir, "region").select("r_regionkey", q)
+    """A question for each event."""
+    n = F.col("event_id")
+    q = F.element_at(F.array(*map(F.lit, _ASKED)), (n % len(_ASKED) + 1).cast("int"))
+    for mark, value in (("{a}", n * 7 % 53), ("{b}", n * 11 % 97)):
+        q = F.replace(q, F.lit(mark), value.cast("string"))
+    return D.table(spark, sf_dir, "events").select("event_id", q.alias("q"))
 
 
 _U = "CASE WHEN lower(coalesce(nullif({}, ''), nullif({}, ''), 's')) LIKE 'min%' THEN 60.0 ELSE 1.0 END"
@@ -414,14 +475,14 @@ _ONE = lambda p: f"CAST({_rx(p, 1)} AS DOUBLE) * " + _U.format(_rx(p, 2), "''")
 
 
 @query(
-    f"""SELECT r_regionkey, q, CASE WHEN regexp_matches(q, '(?i){_BT}') OR regexp_matches(q, '(?i){_FT}') OR regexp_matches(q, '(?i){_FI}') THEN 'range' WHEN regexp_matches(q, '(?i){_AF}') THEN 'after' WHEN regexp_matches(q, '(?i){_BE}') THEN 'before' END AS temporal_type,
+    f"""SELECT event_id, q, CASE WHEN regexp_matches(q, '(?i){_BT}') OR regexp_matches(q, '(?i){_FT}') OR regexp_matches(q, '(?i){_FI}') THEN 'range' WHEN regexp_matches(q, '(?i){_AF}') THEN 'after' WHEN regexp_matches(q, '(?i){_BE}') THEN 'before' END AS temporal_type,
     CASE WHEN regexp_matches(q, '(?i){_BT}') THEN {_two(_BT, "least")} WHEN regexp_matches(q, '(?i){_FT}') THEN {_two(_FT, "least")} WHEN regexp_matches(q, '(?i){_FI}') THEN 0.0 WHEN regexp_matches(q, '(?i){_AF}') THEN {_ONE(_AF)} END AS start_time,
     CASE WHEN regexp_matches(q, '(?i){_BT}') THEN {_two(_BT, "greatest")} WHEN regexp_matches(q, '(?i){_FT}') THEN {_two(_FT, "greatest")} WHEN regexp_matches(q, '(?i){_FI}') THEN {_ONE(_FI)} WHEN regexp_matches(q, '(?i){_AF}') THEN NULL WHEN regexp_matches(q, '(?i){_BE}') THEN {_ONE(_BE)} END AS end_time
-    FROM region, (VALUES {_ASKED_SQL}) AS t(q)"""
+    FROM {_ASKED_SQL}"""
 )
 def temporal_parse_batch(spark, sf_dir):
     c = nlq.temporal_columns(F.col("q"))
-    return _asked(spark, sf_dir).select("r_regionkey", "q", *[c[k].alias(k) for k in ("temporal_type", "start_time", "end_time")])
+    return _asked(spark, sf_dir).select("event_id", "q", *[c[k].alias(k) for k in ("temporal_type", "start_time", "end_time")])
 
 
 _ALIASES_SQL = ", ".join(f"CASE WHEN regexp_matches(q, '\\b{k}\\b') THEN '{v}' END" for k, v in V.CLASS_ALIASES.items())
@@ -432,12 +493,12 @@ _OBJ_SQL = " OR ".join(f"regexp_matches(q, '\\b{t}\\b')" for t in V.OBJECT_TERMS
 
 
 @query(
-    f"""SELECT r_regionkey, q, array_to_string(list_sort(list_distinct(list_filter([{_ALIASES_SQL}], lambda x: x IS NOT NULL))), ',') AS classes, array_to_string(list_sort(list_distinct(list_filter([{_COLORS_SQL}], lambda x: x IS NOT NULL))), ',') AS colors,
-    coalesce({_DIRECTION_SQL}) AS direction, CASE WHEN {_REL_SQL} THEN 'relationship_event' WHEN {_OBJ_SQL} THEN 'object_event' ELSE 'general_event' END AS intent FROM region, (VALUES {_ASKED_SQL}) AS t(q)"""
+    f"""SELECT event_id, asked AS q, array_to_string(list_sort(list_distinct(list_filter([{_ALIASES_SQL}], lambda x: x IS NOT NULL))), ',') AS classes, array_to_string(list_sort(list_distinct(list_filter([{_COLORS_SQL}], lambda x: x IS NOT NULL))), ',') AS colors,
+    coalesce({_DIRECTION_SQL}) AS direction, CASE WHEN {_REL_SQL} THEN 'relationship_event' WHEN {_OBJ_SQL} THEN 'object_event' ELSE 'general_event' END AS intent FROM (SELECT event_id, q AS asked, lower(q) AS q FROM {_ASKED_SQL})"""
 )
 def constraint_parse_batch(spark, sf_dir):
     c = nlq.constraint_columns(F.col("q"))
-    return _asked(spark, sf_dir).select("r_regionkey", "q", csv(F.array_sort(c["classes"])).alias("classes"), csv(c["colors"]).alias("colors"), c["direction"].alias("direction"), nlq.intent_column(F.col("q")).alias("intent"))
+    return _asked(spark, sf_dir).select("event_id", "q", csv(F.array_sort(c["classes"])).alias("classes"), csv(c["colors"]).alias("colors"), c["direction"].alias("direction"), nlq.intent_column(F.col("q")).alias("intent"))
 
 
 # Clips, stores, datasets
@@ -456,16 +517,20 @@ def clip_windows(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT CAST(event_id AS VARCHAR) AS event_id, event_id AS rank FROM events WHERE event_id < 500), c AS (SELECT CAST(event_id % 300 AS VARCHAR) AS event_id, arg_max(event_id, event_id) AS n FROM events WHERE event_type = 'click' AND event_id < 900 GROUP BY 1), f AS (SELECT DISTINCT CAST(event_id AS VARCHAR) AS event_id FROM events WHERE event_type = 'error')
-    SELECT r.event_id, CASE WHEN c.event_id IS NOT NULL THEN 'generated' WHEN f.event_id IS NOT NULL THEN 'failed' WHEN rank <= 200 THEN 'missing' ELSE 'not_requested' END AS status, 'clip_' || c.n AS filename FROM r LEFT JOIN c USING (event_id) LEFT JOIN f USING (event_id)"""
+    """WITH r AS (SELECT CAST(event_id AS VARCHAR) AS event_id, event_id AS rank FROM events), f AS (SELECT DISTINCT CAST(event_id AS VARCHAR) AS event_id FROM events WHERE event_type = 'error'),
+    c AS (SELECT CAST(event_id // 3 AS VARCHAR) AS event_id, max(event_id) AS n FROM events WHERE event_type = 'click' GROUP BY 1), most AS (SELECT count(*) // 2 AS most FROM events)
+    SELECT r.event_id, CASE WHEN c.event_id IS NOT NULL THEN 'generated' WHEN f.event_id IS NOT NULL THEN 'failed' WHEN rank <= most THEN 'missing' ELSE 'not_requested' END AS status, 'clip_' || c.n AS filename
+    FROM r CROSS JOIN most LEFT JOIN c USING (event_id) LEFT JOIN f USING (event_id)"""
 )
 def attach_clips(spark, sf_dir):
+    """All events as results; clips of every click, for the event at a third of its number."""
     e = D.table(spark, sf_dir, "events").withColumn("position", F.col("event_id"))
-    none = F.lit(0.0)
-    r = e.where("event_id < 500").select(F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("rank"))
-    c = e.where("event_type = 'click' AND event_id < 900").select((F.col("event_id") % 300).cast("string").alias("event_id"), "position", F.concat(F.lit("clip_"), F.col("position").cast("string")).alias("filename"), *[none.alias(x) for x in ("clip_start", "clip_end", "start_frame", "end_frame")])
+    name = F.concat(F.lit("clip_"), F.col("position").cast("string"))
+    r = e.select(F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("rank"))
+    c = e.where("event_type = 'click'").select(F.expr("cast(event_id div 3 as string)").alias("event_id"), "position", name.alias("filename"), *[F.lit(0.0).alias(x) for x in ("clip_start", "clip_end", "start_frame", "end_frame")])
     f = e.where("event_type = 'error'").select(F.col("event_id").cast("string").alias("event_id"), "position", F.lit("failed").alias("error"))
-    return clips.attach(r, c, f, 200).select("event_id", F.col("evidence_clip.status").alias("status"), F.col("evidence_clip.filename").alias("filename"))
+    found = clips.attach(r, c, f, e.count() // 2)
+    return found.select("event_id", F.col("evidence_clip.status").alias("status"), F.col("evidence_clip.filename").alias("filename"))
 
 
 @query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")

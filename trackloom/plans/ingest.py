@@ -29,7 +29,7 @@ class Ingest:
     made: dict[str, DataFrame] = field(default_factory=dict)
     timings: dict[str, float] = field(default_factory=dict)
 
-    STAGED = ("temporal_bounds", "track_reliability", "motion", "relationships", "atomic_events")
+    STAGED = ("temporal_bounds", "track_reliability", "motion", "relationships", "atomic_events", "composite_events", "documents")
     STAGES = ["temporal_bounds", "representative_crops", "track_reliability", "motion", "spatial", "relationships", "atomic_events", "composite_events", "quality", "documents"]
 
     def get(self, name: str) -> DataFrame:

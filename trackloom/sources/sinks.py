@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackloom.plans import staging
 from trackloom.sources import schemas
 
 
@@ -13,17 +14,20 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 
 def as_document(rows: DataFrame, name: str = "tracks", **summary) -> DataFrame:
-    """One row with one JSON document {summary, name: [...]}, the summary from aggregates over
-    the rows; for the product of one video."""
+    """One JSON document {summary, name: [...]} for each video, the summary from aggregates over
+    its rows; rows without a video_id are of one video."""
     totals = F.struct(*[c.alias(k) for k, c in summary.items()]).alias("summary")
-    return rows.agg(totals, F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in rows.columns]))).alias(name)).select(F.to_json(F.struct("summary", name)).alias("document"))
+    by = ["video_id"] if "video_id" in rows.columns else []
+    listed = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in rows.columns if c not in by]))).alias(name)
+    return rows.groupBy(*by).agg(totals, listed).select(*by, F.to_json(F.struct("summary", name)).alias("document"))
 
 
 def upsert(target: DataFrame, incoming: DataFrame, key: str = "document_id", order: str | None = None) -> DataFrame:
     """The target with the incoming rows put in their keys' places; of several incoming rows
-    of a key the last by `order` stays."""
+    of a key the last by `order` stays, and among equals one that a hash of the row decides on,
+    so that a second run gives the same."""
     ranked = target.withColumn("_batch", F.lit(0)).unionByName(incoming.withColumn("_batch", F.lit(1)))
-    by = [F.col("_batch").desc()] + ([F.col(order).desc()] if order else [])
+    by = [F.col("_batch").desc()] + ([F.col(order).desc()] if order else []) + [F.xxhash64(F.to_json(F.struct(*target.columns)))]
     return ranked.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where("_n = 1").drop("_n", "_batch")
 
 
@@ -33,8 +37,10 @@ def absent(incoming: DataFrame, target: DataFrame, key: str) -> DataFrame:
 
 
 def insert_if_absent(incoming: DataFrame, spark: SparkSession, path: str, key: str) -> int:
-    """Append what the table at path lacks; the number of rows that came in."""
-    new = absent(incoming, spark.read.parquet(path), key)
+    """Append what the table at path lacks; the number of rows that came in. The rows are made
+    once and staged, so that those counted are those written, and the table isn't read while
+    it is written."""
+    new = staging.staged(absent(incoming, spark.read.parquet(path), key), "absent")
     n = new.count()
     if n:
         new.write.mode("append").parquet(path)

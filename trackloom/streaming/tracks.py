@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.operators.tracks import KEY, keyed
+from trackloom.plans import staging
 from trackloom.sources import sinks
 
 
@@ -15,10 +17,10 @@ def track_sessions(observations: DataFrame, gap: str = "30 seconds", lateness: s
     """Tracks closed by a gap in their observations: bounds and count of each session.
     observations: ts, track_id, class_name, frame_index, confidence."""
     return (
-        observations.withWatermark("ts", lateness)
-        .groupBy(F.session_window("ts", gap).alias("session"), "track_id")
+        keyed(observations).withWatermark("ts", lateness)
+        .groupBy(F.session_window("ts", gap).alias("session"), *KEY)
         .agg(F.count("*").alias("observation_count"), F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
-        .select("track_id", F.col("session.start").alias("start"), F.col("session.end").alias("end"), "observation_count", "first_frame", "last_frame", "mean_confidence")
+        .select(*KEY, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "observation_count", "first_frame", "last_frame", "mean_confidence")
     )
 
 
@@ -47,15 +49,27 @@ def sample_stream(frames: DataFrame) -> DataFrame:
 
 
 def upsert_batches(path: str, key: str, order: str | None = None):
-    """A foreachBatch writer that keeps one row for each key, in two folders by turns."""
+    """A foreachBatch writer that keeps one row for each key. Each epoch is a version of the
+    table, path/<epoch>, made of the last one; versions before the last are removed. Only a table
+    that has no version yet is taken to be empty: a version that can't be read is an error, and
+    an epoch that is written again replaces its own version."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old, new = f"{path}/{(epoch + 1) % 2}", f"{path}/{epoch % 2}"
-        try:
-            target = spark.read.parquet(old)
-        except Exception:  # the first batch
-            target = batch.limit(0)
-        sinks.upsert(target, batch, key, order).write.mode("overwrite").parquet(new)
+        before = [v for v in versions(spark, path) if v < epoch]
+        target = spark.read.schema(batch.schema).parquet(f"{path}/{before[-1]}") if before else batch.limit(0)
+        sinks.upsert(target, batch, key, order).write.mode("overwrite").parquet(f"{path}/{epoch}")
+        for v in before[:-1]:
+            staging.delete(spark, f"{path}/{v}")
 
     return write
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that have been written as a whole, ascending."""
+    return sorted(int(n) for n in staging.children(spark, path) if n.isdigit() and staging.exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table as of the last whole version."""
+    return spark.read.parquet(f"{path}/{versions(spark, path)[-1]}")
