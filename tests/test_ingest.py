@@ -147,3 +147,82 @@ def test_datasets(spark, tmp_path):
     boxes = datasets.convert(readers.annotations(spark, str(tmp_path / "a.txt")), {4: 3}, 100, 200)
     assert [tuple(r) for r in boxes.collect()] == [(1, 3, 0.25, 0.2, 0.3, 0.2)]
     assert datasets.label_files(boxes).first().label == "3 0.250000 0.200000 0.300000 0.200000"
+
+
+def random_tracks(seed=2, tracks_=14, frames=25):
+    """Boxes of very different sizes on random walks, some twice in a frame, some without a box."""
+    import numpy as np
+
+    rng, rows, n = np.random.default_rng(seed), [], 0
+    for t in range(tracks_):
+        x, y, size = rng.uniform(0, 900), rng.uniform(0, 900), float(rng.choice([5, 60, 500]))
+        for f in sorted(rng.choice(frames, 15).tolist()):
+            x, y, n = x + rng.uniform(-40, 40), y + rng.uniform(-40, 40), n + 1
+            box = (x, y, x + size, y + size / 2) if rng.random() > 0.05 else (None, None, None, None)
+            rows.append((t, "car" if t % 2 else "pedestrian", t, n, int(f), *box))
+    return rows
+
+
+def test_pairs_are_those_of_all_pairs(spark):
+    rows, diag = random_tracks(), (1000**2 + 1000**2) ** 0.5
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a[4] != b[4] or a[0] == b[0] or a[5] is None or b[5] is None:
+                continue
+            d = (((a[5] + a[7]) - (b[5] + b[7])) ** 2 + ((a[6] + a[8]) - (b[6] + b[8])) ** 2) ** 0.5 / 2 / diag
+            over = min(a[7], b[7]) > max(a[5], b[5]) and min(a[8], b[8]) > max(a[6], b[6])
+            want.setdefault((min(a[0], b[0]), max(a[0], b[0])), []).append((d, over))
+    want = {k: (len(v), sum(d <= 0.08 for d, _ in v), sum(o for _, o in v)) for k, v in want.items() if len(v) >= 3}
+    want = {k: v for k, v in want.items() if 2 * v[1] >= v[0] or 10 * v[2] >= 3 * v[0]}
+    got = pairs.relationships(pairs.pair_rows(obs(spark, rows), 1000, 1000))
+    assert {(r.track_a_id, r.track_b_id): (r.shared_frames, r.near_frames, r.overlap_frames) for r in got.collect()} == want and len(want) > 5
+
+
+def test_videos_with_the_same_track_numbers(spark):
+    one = obs(spark, random_tracks())
+    both = one.withColumn("video_id", F.lit("a")).unionByName(one.withColumn("video_id", F.lit("b")))
+    i, j = (ingest.Ingest(x, 1000, 1000, 10.0) for x in (one, both))
+    for name in ("temporal_bounds", "representative_crops", "track_reliability", "motion", "spatial", "relationships"):
+        alone = sorted(map(str, i.get(name).drop("video_id").collect()))
+        for v in "ab":
+            assert sorted(map(str, j.get(name).where(f"video_id = '{v}'").drop("video_id").collect())) == alone, name
+    assert j.get("documents").count() == 2 * i.get("documents").count() > 0
+    ids = [r.event_id for r in j.get("composite_events").collect()]
+    assert len(set(ids)) == len(ids) == 2 * i.get("composite_events").count()
+
+
+def test_positions_of_any_group(spark):
+    from trackloom.operators.events import positions
+
+    rows = [(g, (i * 7919) % 1000) for g, n in (("a", 700), ("b", 3), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    got = {(r.g, r.v): r.position for r in positions(df, [F.col("v")], ["g"]).collect()}
+    for g in ("a", "b", None):
+        assert [got[g, v] for v in sorted(v for h, v in rows if h == g)] == list(range(1, sum(h == g for h, _ in rows) + 1))
+    every = [r.position for r in positions(df, [F.col("v").desc(), F.col("g").asc_nulls_last()]).orderBy(F.col("v").desc(), F.col("g").asc_nulls_last()).collect()]
+    assert every == list(range(1, len(rows) + 1))
+
+
+def test_very_late_rows_keep_their_order(spark):
+    far = 3 * 10**9  # beyond 2^31
+    rows = [(1, "car", far, far, 9, 0.0, 0.0, 10.0, 10.0), (1, "car", far, far + 1, 3, 0.0, 0.0, 10.0, 10.0), (1, "car", far, far + 2, 4, 0.0, 0.0, 10.0, 10.0)]
+    rows += [(2, "car", far + 5, far + 9 + k, f, 1.0, 0.0, 11.0, 10.0) for k, f in enumerate((3, 4, 9))]
+    r = pairs.relationships(pairs.pair_rows(obs(spark, rows), 1000, 1000)).first()
+    assert (r.first_frame, r.last_frame) == (9, 4)
+
+
+def test_insert_if_absent_counts_what_it_writes(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1,), (2,)], "k long").write.parquet(path)
+    new = spark.range(5).select(F.col("id").alias("k"))
+    assert sinks.insert_if_absent(new, spark, path, "k") == 3 and sinks.insert_if_absent(new, spark, path, "k") == 0
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_one_document_for_each_video(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "video_id string, track_id long")
+    got = {r.video_id: json.loads(r.document) for r in sinks.as_document(df, n=F.count("*")).collect()}
+    assert got["a"]["summary"]["n"] == 2 and got["b"]["tracks"] == [{"track_id": 3}]
+    fused = metadata.fuse(df, df, df, df).orderBy("video_id").collect()
+    assert [len(r.tracks) for r in fused] == [2, 1]

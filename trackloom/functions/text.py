@@ -51,7 +51,7 @@ def clock(seconds: Column, always_hours: bool = False) -> Column:
 
 
 def csv_values(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def csv_ids(text: Column) -> Column:

@@ -170,7 +170,7 @@ def result_rows(rows: DataFrame) -> DataFrame:
     """Times in order, durations, clock times and numbers as results show them."""
     s, e = F.coalesce("start_time_seconds", F.lit(-1.0)), F.coalesce("end_time_seconds", F.lit(-1.0))
     lo, hi = F.when((s >= 0) & (e >= 0), F.least(s, e)).otherwise(s), F.when((s >= 0) & (e >= 0), F.greatest(s, e)).otherwise(e)
-    r = rows.withColumn("start_time_seconds", F.round(lo, 4)).withColumn("end_time_seconds", F.round(hi, 4))
+    r = rows.withColumns({"start_time_seconds": F.round(lo, 4), "end_time_seconds": F.round(hi, 4)})  # both from the old ones
     d = F.coalesce("duration_seconds", F.lit(-1.0))
     r = r.withColumn("duration_seconds", F.round(F.when(d >= 0, d).otherwise(F.greatest(F.lit(0.0), F.col("end_time_seconds") - F.col("start_time_seconds"))), 4))
     return r.withColumn("start_timestamp", T.clock(F.col("start_time_seconds"))).withColumn("end_timestamp", T.clock(F.col("end_time_seconds")))
