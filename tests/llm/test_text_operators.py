@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import docs, table
 from trackloom.llm import contamination, huffman, language, media, packing, quality, simhash, suffix, tokens, unigram
@@ -383,12 +384,83 @@ def test_audio_damage():
     assert media.parse(bytes(flipped)).crc_bad == 1
     with pytest.raises(ValueError):
         media.unwrap(bytes(flipped))
-    assert media.feature(media.parse(b"")) == "no audio"
+    for at in (s.frames[1] + 30, s.frames[-1] + 40, s.frames[0] + 900):
+        flipped = bytearray(audio)
+        flipped[at] ^= 16  # a byte of the payload, which no frame's own checksum covers
+        with pytest.raises(ValueError):
+            media.unwrap(bytes(flipped))
+    assert media.feature(media.parse(b""), b"") == "no audio"
     h = media.header(bytes([0xFF, 0xFB, 0x90, 0x00]))
     assert (h.kbps, h.hertz, h.size, h.samples, h.side) == (128, 44100, 417, 1152, 32)
     assert media.header(bytes([0xFF, 0xF3, 0x90, 0xC0])).size == 72 * 80000 // 22050
 
 
+def crc_of_bits(bits):
+    """CRC-16 by long division, for the checks below."""
+    value = 0xFFFF
+    for b in bits:
+        value = ((value << 1) ^ (0x8005 if (value >> 15) ^ b else 0)) & 0xFFFF
+    return value
+
+
+def bits_of(data):
+    return [x >> (7 - k) & 1 for x in data for k in range(8)]
+
+
+@pytest.mark.parametrize(
+    "head, bits",
+    [
+        (bytes([0xFF, 0xFE, 0x90, 0xC0]), 32 * 4),  # Layer I, mono: an allocation for each subband
+        (bytes([0xFF, 0xFE, 0x90, 0x00]), 64 * 4),  # stereo
+        (bytes([0xFF, 0xFE, 0x90, 0x50]), (8 * 2 + 24) * 4),  # joint stereo, bound 8
+        (bytes([0xFF, 0xFC, 0xA4, 0xC0]), None),  # Layer II, 48 kHz, 192 kbit/s, mono
+        (bytes([0xFF, 0xFC, 0xA0, 0x00]), None),  # 44.1 kHz, stereo
+        (bytes([0xFF, 0xFC, 0x18, 0xC0]), None),  # 32 kHz, 32 kbit/s: the smallest table
+        (bytes([0xFF, 0xF4, 0x80, 0x40]), None),  # MPEG-2, joint stereo, bound 4
+    ],
+)
+def test_checksums_of_layers_one_and_two(head, bits):
+    h = media.header(head)
+    rng = np.random.default_rng(h.size)
+    body = rng.integers(0, 256, h.size - 6, dtype=np.uint8).tobytes()
+    if bits is None:  # allocations as the tables say, then two bits for each that is not 0
+        widths = {(3, 48000): [4] * 11 + [3] * 12 + [2] * 4, (3, 44100): [4] * 11 + [3] * 12 + [2] * 7, (3, 32000): [4] * 2 + [3] * 10}.get((h.version, h.hertz), [4] * 4 + [3] * 7 + [2] * 19)
+        stream, at, used = bits_of(body), 0, 0
+        for sb, n in enumerate(widths):
+            for _ in range(1 if h.mono or sb >= h.bound else 2):
+                used += any(stream[at : at + n]) * (2 if not h.mono and sb >= h.bound else 1)
+                at += n
+        bits = at + 2 * used
+    crc = crc_of_bits(bits_of(head[2:4]) + bits_of(body)[:bits])
+    frame = head + crc.to_bytes(2, "big") + body
+    s = media.parse(frame * 4)
+    assert (len(s.frames), s.crc_good, s.crc_bad, s.skipped) == (4, 4, 0, 0)
+    bad = bytearray(frame)
+    bad[6 + bits // 16] ^= 1
+    assert media.parse(frame + bytes(bad) + frame * 2).crc_bad == 1
+
+
+def test_free_format():
+    head, padded = bytes([0xFF, 0xFB, 0x00, 0x00]), bytes([0xFF, 0xFB, 0x02, 0x00])
+    one, two = head + bytes(700), padded + bytes(701)
+    s = media.parse(b"noise" + one + two + one + two)
+    assert s.sizes == [704, 705, 704, 705] and s.skipped == 5 and s.samples == 4 * 1152 and s.kbps == {0: 4}
+    assert media.parse(one).frames == []  # one header alone says nothing
+
+
+def test_features_tell_texts_apart(spark):
+    rows = [(d, t) for d, t in enumerate(["abcd" * 30, "abdc" * 30, "dcba" * 30, "abcd" * 30, "", None])]
+    got = {r.doc_id: r for r in media.read(media.store(docs(spark, rows))).collect()}
+    assert len({got[d].feature for d in (0, 1, 2)}) == 3 and got[0].feature == got[3].feature and got[4].feature == got[5].feature
+    stored = {r.doc_id: r for r in media.store(docs(spark, rows)).collect()}
+    for d, r in stored.items():
+        s = media.parse(bytes(r.media))
+        assert (r.samples, r.hertz, r.seek) == (got[d].samples, got[d].hertz, got[d].seek) == (s.samples, 32000, s.frames)
+    wrong = media.store(docs(spark, rows)).withColumn("seek", F.array(F.lit(1).cast("long")))
+    with pytest.raises(Exception, match="offsets"):
+        media.read(wrong).collect()
+
+
 def test_vbri_table():
     side = bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(32)
     vbri = b"VBRI" + (1).to_bytes(2, "big") + bytes(2) + (75).to_bytes(2, "big") + (5000).to_bytes(4, "big") + (12).to_bytes(4, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + (6).to_bytes(2, "big") + (100).to_bytes(2, "big") + (200).to_bytes(2, "big")
@@ -398,15 +470,22 @@ def test_vbri_table():
 
 
 def test_audio_query(spark, sf):
-    got = {r.doc_id: r for r in media.read(media.store(docs(spark, [r for r in ODD if r[0] != 7], extra=True))).collect()}
+    rows = media.read(media.store(docs(spark, ODD, extra=True))).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(ODD) and len({r.media_sha256 for r in rows if r.doc_id == 7}) == 1
     for d, t in ODD:
-        if d == 7:
-            continue
         raw = (t or "").encode()
         p = raw + bytes(-len(raw) % 64 if raw else 64)
         assert (got[d].n_bytes, got[d].payload_bytes, got[d].payload_sha256, got[d].tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert got[1].media_sha256 == got[2].media_sha256
     assert media.read(media.store(docs(spark, []))).count() == 0
+    asked = {r.doc_id: r for r in media.op5_mpeg_audio(spark, sf).collect()}
+    for d, t in real(sf):
+        raw = (t or "").encode()
+        p = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (asked[d].n_bytes, asked[d].payload_sha256, asked[d].tail_crc32) == (len(raw), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        audio = media.wrap(p, len(raw))
+        assert (asked[d].media_bytes, asked[d].media_sha256) == (len(audio), hashlib.sha256(audio).hexdigest())
 
 
 # op6
