@@ -129,8 +129,12 @@ def set_components(rows, n=5):
     return label
 
 
-def test_near_groups_of_a_crowd(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [8_192, 40])
+def test_near_groups_of_a_crowd(spark, monkeypatch, crowd):
+    """In one task for each bucket, and with large buckets in parts."""
     monkeypatch.setattr(simhash, "BLOCK", 100)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "COUNTED", 1)
     rng, base, rows = np.random.default_rng(5), [f"w{i}" for i in range(300)], []
     for d in range(500):  # one template, of which each document changes a few words
         text = list(base)
@@ -143,6 +147,38 @@ def test_near_groups_of_a_crowd(spark, monkeypatch):
     assert dict(table(simhash.near_groups(docs(spark, rows))).values.tolist()) == want
 
 
+@pytest.mark.parametrize("similar, groups", [(0.804, 1), (0.800, 1), (0.792, 201)])
+def test_variants_of_one_text_by_the_threshold(spark, similar, groups):
+    """200 variants of a base, each as similar to it as said and far from the others."""
+    n, shared = {0.804: (1020, 909), 0.800: (900, 800), 0.792: (1011, 894)}[similar]  # shared / (2 n - shared)
+    base = [f"b{i}" for i in range(n + 4)]
+    own = n - shared
+    rows = [(0, " ".join(base))]
+    for d in range(1, 201):  # the last words are others, from a place at which as many shingles are lost
+        rows.append((d, " ".join(base[: shared + 4] + [f"v{d}_{i}" for i in range(own)])))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(n)} for _, t in rows[:2]]
+    assert abs(len(sets[0] & sets[1]) / len(sets[0] | sets[1]) - similar) < 0.0006
+    want = set_components(rows[:3])
+    assert (len(set(want.values())) == 1) == (groups == 1)
+    got = table(simhash.near_groups(docs(spark, rows)))
+    assert got.component_id.nunique() == groups
+
+
+@pytest.mark.parametrize("size", [10, 50, 500])
+def test_links_just_above_the_threshold(spark, size):
+    """Recall of links at a similarity of 0.8 to 0.85, in buckets of any size; none below 0.8."""
+    rng, rows, n = np.random.default_rng(size), [], 400
+    for d in range(size):
+        own = int(rng.integers(33, 44)) if d % 2 else int(rng.integers(50, 70))  # to the base: 0.80 to 0.85, or below
+        rows.append((d + 1, " ".join([f"b{i}" for i in range(n + 4 - own)] + [f"v{d}_{i}" for i in range(own)])))
+    rows.append((0, " ".join(f"b{i}" for i in range(n + 4))))
+    want = set_components(rows)
+    got = dict(table(simhash.near_groups(docs(spark, rows))).values.tolist())
+    near = [d for d, c in want.items() if c == 0]
+    assert sum(got[d] == 0 for d in near) >= 0.9 * len(near) > 0
+    assert all(want[d] == 0 for d, c in got.items() if c == 0)
+
+
 def test_near_groups_of_repeated_lines(spark):
     one = " ".join(f"a{i}" for i in range(200))
     block = " ".join(f"b{i}" for i in range(110))
@@ -238,6 +274,60 @@ def test_viterbi_is_the_best_path():
         assert score(got.tolist()) == pytest.approx(max(score(p) for p in itertools.product(range(k), repeat=n)))
 
 
+def identified(text, model):
+    """Prediction, score and spans, a word and a gram at a time."""
+    raw = text.encode()
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b > 127
+    edges = [i for i in range(len(raw) + 1) if (i < len(raw) and letter(raw[i])) != (i > 0 and letter(raw[i - 1]))]
+    found = [(a, b, raw[a:b].decode().lower()) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    found = [(a, b, w) for a, b, w in found if w.isascii() or language.script(w) >= 0]
+    if not found:
+        return "und", 0.0, []
+    scores = []
+    for _, _, w in found:
+        total = np.zeros(len(model.languages))
+        for bucket, mark in language.gram_buckets([w]):
+            for k in bucket[mark[0] : mark[1]].tolist():
+                total += model.table[k]
+        total = np.maximum(total - total.max(), -language.CLIP)
+        kind = language.LATIN if w.isascii() else language.script(w)
+        total = np.where(model.candidates[kind], total, -2 * language.CLIP)
+        scores.append(total - total.max())
+    best = [scores[0]]
+    back = []
+    for s in scores[1:]:
+        moved = best[-1].max() - language.SWITCH
+        back.append([j if v >= moved else int(best[-1].argmax()) for j, v in enumerate(best[-1])])
+        best.append(np.maximum(best[-1], moved) + s)
+    path = [int(best[-1].argmax())]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    path.reverse()
+    mass = [sum(b - a for (a, b, _), p in zip(found, path, strict=True) if p == k) for k in range(len(model.languages))]
+    spans = [(found[i][0], found[j][1], model.languages[path[i]]) for i, j in runs_of(path)]
+    return model.languages[int(np.argmax(mass))], max(mass) / sum(mass), spans
+
+
+def runs_of(path):
+    first = [i for i in range(len(path)) if i == 0 or path[i] != path[i - 1]]
+    return list(zip(first, [*[i - 1 for i in first[1:]], len(path) - 1], strict=True))
+
+
+def test_language_by_brute_force(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.train(d)
+    some = [t for _, t in real(sf) if t and len(t) < 1500][:40]
+    rows = list(enumerate([*some, some[0] + " " + some[1] + " " + some[2], "été naïve 日本語 слово word", "a1b2", "--", ""]))
+    got = {r.doc_id: r for r in language.identify(docs(spark, rows), model).collect()}
+    for k, t in rows:
+        pred, score, spans = identified(t, model)
+        assert got[k].lang_pred == pred and got[k].score == pytest.approx(score) and [tuple(s) for s in got[k].spans] == spans
+    asked = {r.doc_id: r for r in language.op3_language_viterbi(spark, sf).collect()}
+    for k, t in real(sf)[:60]:
+        pred, score, spans = identified(t or "", model)
+        assert (asked[k].held_out, asked[k].lang_pred, asked[k].n_spans) == (zlib.crc32(str(k).encode()) % 5 == 0, pred, len(spans)) and asked[k].score == pytest.approx(score)
+
+
 def test_very_many_languages(spark):
     rows = [(d, " ".join(f"{chr(97 + d % 300 % 26)}{chr(97 + d % 300 // 26)}w{i}q" for i in range(8)), f"l{d % 300}") for d in range(3000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -501,6 +591,48 @@ def test_trees_learn_and_flatten():
     assert (quality.fit(x, np.ones(3000)).score(x) > 0.9).all()
 
 
+def walked(trees, row):
+    """The score of a row, a tree and a node at a time."""
+    total = trees.base
+    for at in trees.roots.tolist():
+        while trees.left[at] != at:
+            at = int(trees.left[at] if row[trees.feature[at]] <= trees.threshold[at] else trees.right[at])
+        total += trees.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_splits_and_scores_by_brute_force(spark, sf):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 30, (400, 3)).astype(float)
+    y = (x[:, 1] + rng.normal(0, 4, 400) > 17).astype(float)
+    t = quality.fit(x, y, trees=1, depth=1, least=12, ridge=1.0)
+    p = 1 / (1 + np.exp(-t.base))
+    g, h = p - y, np.full(400, p * (1 - p))
+    best = (0, None, None)
+    for f in range(3):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])):
+            low = x[:, f] <= cut
+            if min(low.sum(), (~low).sum()) < 12:
+                continue
+            gain = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (low, ~low)) - g.sum() ** 2 / (h.sum() + 1)
+            if gain > best[0] + 1e-9:
+                best = (gain, f, cut)
+    low = x[:, best[1]] <= best[2]
+    assert t.feature[0] == best[1] and ((x[:, best[1]] <= t.threshold[0]) == low).all()
+    for side, m in ((t.left[0], low), (t.right[0], ~low)):
+        assert t.value[side] == pytest.approx(-0.12 * g[m].sum() / (h[m].sum() + 1))
+    deep = quality.fit(x, y, trees=25)
+    assert deep.score(x) == pytest.approx([walked(deep, r) for r in x])
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    trees = quality.train(d, labels)
+    asked = {r.doc_id: r for r in quality.op6_quality_trees(spark, sf).collect()}
+    for k, text in real(sf):
+        raw = (text or "").encode()
+        stats = quality.document_statistics(np.frombuffer(raw, np.uint8), np.asarray([0, len(raw)]))
+        want = walked(trees, stats[0])
+        assert asked[k].score == pytest.approx(want) and asked[k].predicted == int(asked[k].score >= 0.3) and asked[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
+
+
 def test_quality(spark, sf):
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     trees = quality.train(d, labels)
@@ -545,9 +677,13 @@ def test_unigram_counts(spark, sf):
     rng = random.Random(2)
     letters = "abcthe;)\r\x0c  \n\n\t éßД中😀<0x41>_▁.,'"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + [t for _, t in real(sf)[:60]]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(10_000, None), (None, "a b")]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10_000, None), (None, "a b"), (10_001, LONG), (10_002, "a b"), (10_002, "a b")]
     got = {r.doc_id: r.n_tokens for r in unigram.count_tokens(docs(spark, rows, extra=True)).collect()}
-    assert all(got[i] == unigram.reference_count(c, t) for i, t in enumerate(texts)) and got[10_000] == 0 and got[None] == unigram.reference_count(c, "a b")
+    assert all(got[i] == unigram.reference_count(c, t) for i, t in enumerate(texts)) and got[10_000] == 0 and got[None] == unigram.reference_count(c, "a b") == got[10_002]
+    assert got[10_001] == unigram.reference_count(c, LONG)
+    assert unigram.count_tokens(docs(spark, rows)).where("doc_id = 10002").count() == 2
+    asked = {r.doc_id: r.n_tokens for r in unigram.op7_unigram_counts(spark, sf).collect()}
+    assert all(asked[d] == unigram.reference_count(c, t or "") for d, t in real(sf)[:40])
     assert unigram.count_tokens(docs(spark, [])).count() == 0
 
 
@@ -583,20 +719,26 @@ def test_block_round_trip(n):
     blob = huffman.write_block([7], [n], ids, huffman.canonical(lengths), lengths)
     d, c, back = huffman.read_block(blob, huffman.Decoder(lengths))
     assert d.tolist() == [7] and c.tolist() == [n] and (back == ids).all()
+    for a, b in ((0, n), (0, 1), (n - 1, n), (n // 3, n // 2), (255, 257), (256, 512), (n, n + 5)):  # from checkpoints alone
+        assert (huffman.read_ids(blob, huffman.Decoder(lengths), a, b) == ids[a:b]).all()
 
 
 def test_huffman_files(spark, sf, tmp_path):
     enc = tokens.word_ids(tokens.default_vocabulary()).tokenizer
-    for k, rows in enumerate(([r for r in ODD if r[0] != 7], real(sf), [(5, None)])):
+    least = -(1 << 63)
+    for k, rows in enumerate(([r for r in ODD if r[0] != 7], real(sf), [(5, None)], [(least, "the least id"), (None, "none")])):
         path = f"{tmp_path}/{k}"
         huffman.write_huffman(docs(spark, rows, extra=True), path)
         got = {r.doc_id: r for r in huffman.read_huffman(spark, path).collect()}
         at = 0
-        for d, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
             ids = np.asarray([*(enc.encode(t, add_special_tokens=False).ids if t else []), 2], "<u4")
             assert (got[d].start, got[d].n_tokens, got[d].ids_crc32, bytes(got[d].ids)) == (at, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes())
             at += len(ids)
         assert len(got) == len(rows)
+    huffman.write_huffman(docs(spark, ODD), f"{tmp_path}/odd")  # repeated rows are each there, one after the other
+    twice = [(r.start, r.n_tokens, r.ids_crc32) for r in huffman.read_huffman(spark, f"{tmp_path}/odd").where("doc_id = 7").orderBy("start").collect()]
+    assert len(twice) == 2 and twice[1][0] == sum(twice[0][:2]) and twice[0][1:] == twice[1][1:]
     huffman.write_huffman(docs(spark, []), f"{tmp_path}/none")
     assert huffman.read_huffman(spark, f"{tmp_path}/none").count() == 0
 
@@ -711,3 +853,23 @@ def test_long_text_of_repeats(spark):
     # The space before "word0" goes too: LONG has it where its words begin again.
     assert [got[d].n_removed for d in range(1, 6)] == [0, n + 1, n, 0, 200_000]
     assert bytes(got[2].kept) == b"x" and bytes(got[5].kept) == b"r"
+
+
+def test_registered_queries(spark, sf):
+    """The functions that are registered, over their whole tables."""
+    rows = real(sf)
+    got = {r.doc_id: r for r in simhash.op1_simhash_vptree(spark, sf).collect()}
+    prints = [fingerprint(t) for _, t in rows]
+    assert [got[d].fingerprint for d, _ in rows] == [f"{p:016x}" for p in prints]
+    assert [got[d].component_id for d, _ in rows] == components(prints, [d for d, _ in rows]).tolist()
+    enc = tokens.word_ids(tokens.default_vocabulary()).tokenizer
+    check_packing(rows, table(packing.op4_best_fit_packing(spark, sf)), enc)
+    tokens_of, at = {r.doc_id: r for r in huffman.op8_huffman_ids(spark, sf).collect()}, 0
+    for d, t in rows:
+        ids = np.asarray([*(enc.encode(t, add_special_tokens=False).ids if t else []), 2], "<u4")
+        assert (tokens_of[d].start, tokens_of[d].n_tokens, tokens_of[d].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    asked = suffix.op9_suffix_dedup(spark, sf)
+    assert asked.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted([tuple(r) for r in asked.collect()], key=str) == sorted([(*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in removed(rows)], key=str)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("trackloom_batches_")]

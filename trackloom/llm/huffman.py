@@ -153,6 +153,23 @@ def read_block(blob: bytes, decoder: Decoder) -> tuple[np.ndarray, np.ndarray, n
     return doc_ids, counts, decoder.decode(stream, marks, n, step)
 
 
+def read_ids(blob: bytes, decoder: Decoder, first: int, last: int) -> np.ndarray:
+    """The ids first to last (without it) of a block, from the checkpoint before the first on:
+    nothing before that is decoded."""
+    _, _, _, step, docs, n, bits = HEAD.unpack_from(blob)
+    first, last = max(0, first), min(last, n)
+    if first >= last:
+        return np.zeros(0, np.uint32)
+    a, b = first // step, -(-last // step)
+    at = HEAD.size + 12 * docs
+    marks = np.frombuffer(blob, "<u8", -(-n // step), at)[a:b].astype(np.int64)
+    begin = int(marks[0]) >> 3
+    end = HEAD.size + 12 * docs + 8 * -(-n // step) + (int(np.frombuffer(blob, "<u8", 1, at + 8 * b)[0]) + 7 >> 3 if b * step < n else (bits + 7) // 8) + 8
+    stream = np.frombuffer(blob[at + 8 * -(-n // step) + begin : end], np.uint8)
+    ids = decoder.decode(stream, marks - 8 * begin, min(n, b * step) - a * step, step)
+    return ids[first - a * step : last - a * step]
+
+
 def _sorted(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     size = docs.select(F.sum(F.length(F.col("text").cast("binary")))).first()[0] or 0
@@ -180,8 +197,9 @@ def write_huffman(docs: DataFrame, path: str, vocabulary: str | None = None, end
                 ids = np.insert(ids, off[1:], end_id).astype(kind)
                 doc_ids = np.asarray(b.column(0).fill_null(NULL)).astype("<i8")
                 counts = (np.diff(off) + 1).astype("<u4")
-                row = [part, block, at, len(ids), doc_ids.tobytes(), counts.tobytes(), ids.tobytes(), ids.itemsize]
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()), strict=True)], ["part", "block", "base", "n", "doc_ids", "counts", "ids", "width"])
+                row = [part, block, at, len(ids), b.column(0).null_count, doc_ids.tobytes(), counts.tobytes(), ids.tobytes(), ids.itemsize]
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["part", "block", "base", "n", "nulls", "doc_ids", "counts", "ids", "width"])
                 block, at = block + 1, at + len(ids)
 
     _sorted(common.pick(docs, doc_id="long", text="string")).mapInArrow(common.tidy(stage), STAGED).write.option("compression", "zstd").parquet(staged)
@@ -213,17 +231,18 @@ def write_huffman(docs: DataFrame, path: str, vocabulary: str | None = None, end
         for b in batches:
             for i, r in enumerate(b.select(["doc_ids", "counts", "ids", "width"]).to_pylist()):
                 blob = write_block(np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["counts"], "<u4"), np.frombuffer(r["ids"], f"<u{r['width']}"), codes, lengths)
-                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, 1) for c in ("part", "block", "base", "n")], pa.array([blob], pa.binary())], ["part", "block", "base", "n", "blob"])
+                kept = ["part", "block", "base", "n", "nulls"]
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, 1) for c in kept], pa.array([blob], pa.binary())], [*kept, "blob"])
 
-    codebook = spark.createDataFrame([(-1, 0, 0, 0, bytearray(lengths.tobytes()))], BLOCKS)
+    codebook = spark.createDataFrame([(-1, 0, 0, 0, 0, bytearray(lengths.tobytes()))], BLOCKS)
     plain.mapInArrow(common.tidy(code), BLOCKS).unionByName(codebook).write.option("compression", "none").parquet(path)
     share.unpersist()
     common.delete_path(spark, staged)
 
 
-STAGED = "part int, block int, base long, n long, doc_ids binary, counts binary, ids binary, width int"
-BLOCKS = "part int, block int, base long, n long, blob binary"
-#: How a null doc_id stands in a block.
+STAGED = "part int, block int, base long, n long, nulls int, doc_ids binary, counts binary, ids binary, width int"
+BLOCKS = "part int, block int, base long, n long, nulls int, blob binary"
+#: How a null doc_id stands in a block; the first `nulls` ids of a block are null ones.
 NULL = -(1 << 63)
 
 
@@ -240,15 +259,15 @@ def read_huffman(spark, path: str) -> DataFrame:
         lengths, starts = share.value
         decoder = Decoder(np.frombuffer(lengths, np.uint8))
         for b in batches:
-            for part, base, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for part, base, nulls, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 base += starts[part]
                 doc_ids, counts, ids = read_block(blob.as_py(), decoder)
                 ends = np.cumsum(counts.astype(np.int64))
                 raw = ids.astype("<u4").tobytes()
                 each = [raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([None if d == NULL else d for d in doc_ids.tolist()], pa.int64()), pa.array(base + ends - counts, pa.int64()), pa.array(counts.astype(np.int64), pa.int64()), pa.array(each, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=np.arange(len(doc_ids)) < nulls), pa.array(base + ends - counts, pa.int64()), pa.array(counts.astype(np.int64), pa.int64()), pa.array(each, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    out = stored.where("part >= 0").select("part", "base", "blob").mapInArrow(common.tidy(decode), "doc_id long, start long, n_tokens long, ids binary")
+    out = stored.where("part >= 0").select("part", "base", "nulls", "blob").mapInArrow(common.tidy(decode), "doc_id long, start long, n_tokens long, ids binary")
     return out.withColumn("ids_crc32", F.crc32("ids"))
 
 
