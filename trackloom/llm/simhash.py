@@ -297,6 +297,9 @@ BANDS, ROWS, WORDS = 14, 4, 8
 SMALL = 32
 #: Documents, and shingles in all, of a block of a larger bucket.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Documents of a bucket that are linked in one task at first, and one of how many is counted to
+#: find the buckets that have more.
+CROWD, COUNTED = 8_192, 16
 _rng = np.random.default_rng(1)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -404,9 +407,10 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, keyed: boo
 
     Documents that share a band's bucket are candidates, and no link stands without a
     comparison of the sets. First SimHashes of 512 bits propose one link for each document that
-    is clearly near another. Then the candidates that these links leave apart are compared:
-    pair by pair in buckets of SMALL documents or less, and in larger ones, which may be of any
-    size, block by block. Null, empty and blank texts have equal fingerprints and are one
+    is clearly near another, in buckets of more than CROWD documents part by part and then for
+    one document of each component so far. Then the candidates that these links leave apart are
+    compared: pair by pair in buckets of SMALL documents or less, and in larger ones, which may
+    be of any size, block by block. Null, empty and blank texts have equal fingerprints and are one
     component. Texts are known by their 64-bit hashes, so rows that share a doc_id may be in
     several components; a component's id is its least doc_id. In `keyed` form: doc_id, key,
     component, where key is the hash of the row's text and component that of one of its texts.
@@ -496,9 +500,14 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, keyed: boo
             for b in common.slices(whole, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, n).tobytes() for t in common.texts(b.column(1))], pa.binary())], ["id", "set"])
 
+    # A text that very many rows have is read where it first stands: by id, not by its key alone.
+    firsts = common.materialize(whole.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first")), "firsts")
+
     def sets_of(ids):
         # A sort-merge join at every size: the ids grow with the input and aren't to be broadcast.
-        texts = docs.join(ids.distinct().hint("merge"), "key", "left_semi").groupBy("key").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+        ids = ids.distinct().join(firsts.hint("merge"), "key").withColumnsRenamed({"key": "k"})
+        texts = docs.join(ids.hint("merge"), (docs["key"] == ids["k"]) & (docs["doc_id"] == ids["first"]), "left_semi")
+        texts = texts.groupBy("key").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
         return common.materialize(texts.mapInArrow(common.tidy(hashed), "id long, set binary"), "sets")
 
     def alike(batches):
@@ -526,13 +535,35 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, keyed: boo
         return pa.table({"a": rep[on], "b": rep[forest.parent[on]]})
 
     parts = common.partitions_for(spark, distinct.count() * BANDS * 88, 16 << 20)
-    dealt = distinct.select("bands", "rep", "print").mapInArrow(common.tidy(spread), "bucket long, rep long, print binary").repartition(parts, "bucket").sortWithinPartitions("bucket", "rep")
-    proposed = common.materialize(dealt.mapInArrow(buckets(proposals), "a long, b long").groupBy("a").agg(F.min("b").alias("b")), "proposed")
-    links = common.materialize(verified(proposed, sets_of(proposed.select(F.explode(F.array("a", "b")).alias("key")))), "links")
+    keys = distinct.where(F.pmod(F.xxhash64("rep"), F.lit(COUNTED)) == 0).select("bands", "rep").mapInArrow(common.tidy(spread), "bucket long, rep long")
+    counted = keys.groupBy("bucket").agg((F.count("*") * COUNTED).alias("n")).where(F.col("n") > CROWD)
+    hot = common.materialize(counted.select("bucket", F.ceil(F.col("n") / CROWD).alias("salts")), "hot")
+    crowded = not hot.isEmpty()
+
+    def linked(rows):
+        rows = rows.select("bucket", "rep", "print").repartition(parts, "bucket").sortWithinPartitions("bucket", "rep")
+        proposed = common.materialize(rows.mapInArrow(buckets(proposals), "a long, b long").groupBy("a").agg(F.min("b").alias("b")), "proposed")
+        return common.materialize(verified(proposed, sets_of(proposed.select(F.explode(F.array("a", "b")).alias("key")))), "links")
+
+    dealt = distinct.select("bands", "rep", "print").mapInArrow(common.tidy(spread), "bucket long, rep long, print binary")
+    if crowded:  # in parts, so that no task has all of a large bucket; numbers that meet by chance do no harm
+        salted = F.xxhash64("bucket", F.pmod(F.xxhash64("rep"), "salts"))
+        dealt = dealt.join(hot, "bucket", "left").withColumn("bucket", F.when(F.col("salts").isNull(), F.col("bucket")).otherwise(salted))
+    links = linked(dealt)
     labels = graph.components(links)
+    if crowded:  # then one document for each component that these links have made in a large bucket
+        rows = distinct.join(labels, distinct.rep == labels.node, "left").select("bands", "rep", F.coalesce("root", "rep").alias("root"))
+        rows = rows.mapInArrow(common.tidy(spread), "bucket long, rep long, root long").join(hot.select("bucket"), "bucket", "left_semi")
+        heads = rows.groupBy("bucket", "root").agg(F.min("rep").alias("rep"))
+        links = links.unionByName(linked(heads.join(distinct.select("rep", "print").hint("merge"), "rep")))
+        labels = graph.components(links)
     # All candidates that these links leave apart.
     labelled = distinct.join(labels, distinct.rep == labels.node, "left").select("bands", "rep", "size", F.coalesce("root", "rep").alias("root"))
-    dealt = labelled.mapInArrow(common.tidy(spread), "bucket long, rep long, size long, root long").repartition(parts, "bucket").sortWithinPartitions("bucket", "rep")
+    dealt = labelled.mapInArrow(common.tidy(spread), "bucket long, rep long, size long, root long")
+    if crowded:  # large buckets that have become one component have nothing left to compare
+        one = dealt.join(hot.select("bucket"), "bucket", "left_semi").groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a = b").select("bucket")
+        dealt = dealt.join(common.materialize(one, "done"), "bucket", "left_anti")
+    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "rep")
     apart = common.materialize(dealt.mapInArrow(buckets(rest), "bucket long, i int, j int, side int, a long, b long"), "apart")
     pairs, crowds = apart.where("bucket is null").select("a", "b").distinct(), apart.where("bucket is not null")
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowds.select(F.col("a").alias("key"))))
