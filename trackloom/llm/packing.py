@@ -165,7 +165,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, separator: i
     return common.pick(docs, doc_id="long", text="string").mapInArrow(common.tidy(cut), schema)
 
 
-def pack(pieces: DataFrame, cap: Capacity = PRODUCTION, group: int = 512) -> DataFrame:
+def pack(pieces: DataFrame, cap: Capacity = PRODUCTION, group: int = 128) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset.
 
     Ranks are counted within (length, salt); a length gets a salt for every `group` pieces, so
