@@ -413,9 +413,8 @@ class _Run:
         self.bucket = min(16 << 20, max(4 << 20, int((4 << 20) * (self.size / (1 << 30)) ** 0.5)))
         self.most = max(BATCH, min(64 << 20, int(100 * self.size / self.bucket)))
 
-    def stored(self) -> DataFrame:
-        self.table = f"{_prefix(self.spark)}{uuid.uuid4().hex[:10]}"
-        self.batches = batches_of(self.docs, self.table, self.parts, self.length, self.most)
+    def stored(self, table: str | None = None) -> DataFrame:
+        self.batches = batches_of(self.docs, table or new_table(self.spark), self.parts, self.length, self.most)
         common.forget_shuffles(self.spark)
         return self.batches
 
@@ -442,7 +441,7 @@ class _Run:
         return self.batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(common.tidy_tables(cut), out)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, as_text: bool = False, table: str | None = None) -> DataFrame:
     """docs (doc_id, text[, carry]) -> doc_id, carry, n_bytes, n_removed, n_spans, starts and
     ends (of the removed runs, in bytes), kept (the remaining bytes; as_text: a string of the
     characters of which no byte was removed).
@@ -451,14 +450,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) ->
     doc_id don't remove each other's bytes (none is smaller), be they equal or not, and may
     stand in several batches. A null doc_id comes before all others. An empty table gives
     none. Extra columns aren't read, but `carry` (of any type) comes through. The result reads a
-    table of batches; `drop_batches` drops it once the result has been written.
+    table of batches (its name: `table`, or one of its own), to be dropped once the result has
+    been written; `drop_batches` drops all that this application has made.
     """
     run = _Run(docs, length, as_text)
     # Powers of two, as the top bits name the bucket.
     b1 = max(4, int(np.ceil(np.log2(max(1, run.size / 14 * 4 / run.bucket)))))
     b2 = max(8, int(np.ceil(np.log2(max(1, run.size * 1.2 / run.bucket)))))
     shift, low = 64 - b1 - 32, 64 - b2  # representatives keep 32 bits beside those of the bucket
-    batches = run.stored()
+    batches = run.stored(table)
 
     def first_round(rows: pa.Table) -> pa.Table:
         reps, _ = _opened(rows, length)[0].representatives(shift)
@@ -571,6 +571,10 @@ def _prefix(spark) -> str:
     return "trackloom_batches_" + "".join(c if c.isalnum() else "_" for c in spark.sparkContext.applicationId).lower() + "_"
 
 
+def new_table(spark) -> str:
+    return f"{_prefix(spark)}{uuid.uuid4().hex[:10]}"
+
+
 def drop_batches(spark) -> None:
     """Drop the batches that this application stored; for when all results have been written."""
     for t in spark.catalog.listTables():
@@ -579,5 +583,8 @@ def drop_batches(spark) -> None:
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    table = new_table(spark)
+    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), table=table)
+    out = common.materialize(found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "repeats")
+    spark.sql(f"DROP TABLE {table}")  # the digests are written; the batches hold all texts
+    return out

@@ -159,7 +159,8 @@ def default_vocabulary() -> str:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens of every whole text; null and empty texts have none."""
+    """doc_id, n_tokens of every whole text, of any length; null and empty texts have none. Repeated
+    rows each give their row, ties go as the tokenizer's rules say, an empty table gives none."""
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches):
