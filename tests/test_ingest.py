@@ -226,3 +226,22 @@ def test_one_document_for_each_video(spark):
     assert got["a"]["summary"]["n"] == 2 and got["b"]["tracks"] == [{"track_id": 3}]
     fused = metadata.fuse(df, df, df, df).orderBy("video_id").collect()
     assert [len(r.tracks) for r in fused] == [2, 1]
+
+
+def test_run_folders_and_the_five_products(spark, tmp_path):
+    folder = ingest.run_folder(spark, str(tmp_path), "/videos/My Test-video.mp4")
+    assert folder.endswith("/production_runs/my_test_video")
+    i = ingest.Ingest(obs(spark, random_tracks()), 1000, 1000, 10.0)
+    i.run(folder)
+    assert (tmp_path / "production_runs" / "my_test_video" / "documents").exists()
+    ingest.run_folder(spark, str(tmp_path), "My Test-video.mp4", clean=False)
+    assert (tmp_path / "production_runs" / "my_test_video").exists()
+    ingest.run_folder(spark, str(tmp_path), "My Test-video.mp4")
+    assert not (tmp_path / "production_runs" / "my_test_video").exists()
+    rows = [(1, 0, "car", "walking", {"body": "navy"}, ["bag"], 0.5, 1.0, 4.0), (1, 1, "car", "walking", {"body": "red"}, ["hat"], 0.7, 3.0, 8.0), (2, 0, "bus", None, {}, [], 1.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "track_id long, position long, object string, action string, colors map<string,string>, attributes array<string>, confidence double, start_time double, end_time double")
+    df = df.withColumn("orientation", F.lit("front")).withColumn("visibility", F.lit("full")).withColumn("duration", F.lit(1.0))
+    out = metadata.export(df, str(tmp_path / "products"))
+    assert {k: v.count() for k, v in out.items()} == {"object_metadata": 3, "track_metadata": 2, "event_metadata": 2, "semantic_metadata": 4, "statistics": 6}
+    assert {r.event: r.track_ids for r in out["event_metadata"].collect()} == {"car_walking": [1], "bus_unknown": [2]}
+    assert {(r.event, r.track_id) for r in metadata.event_members(out["track_metadata"]).collect()} == {("car_walking", 1), ("bus_unknown", 2)}

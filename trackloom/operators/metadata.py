@@ -64,10 +64,34 @@ def aggregate(rows: DataFrame) -> DataFrame:
 
 
 def grouped_events(tracks: DataFrame) -> DataFrame:
-    """Tracks by object and action."""
+    """Tracks by object and action, in lists: for what one video holds. A corpus keeps to
+    `event_members`, whose groups may be of any size."""
     return tracks.groupBy(F.concat_ws("_", F.coalesce("object", F.lit("unknown")), F.coalesce("action", F.lit("unknown"))).alias("event")).agg(F.count("*").alias("count"), F.array_sort(F.collect_list("track_id")).alias("track_ids"))
 
 
+def event_members(tracks: DataFrame) -> DataFrame:
+    """The event of each track, a row each."""
+    return tracks.select(F.concat_ws("_", F.coalesce("object", F.lit("unknown")), F.coalesce("action", F.lit("unknown"))).alias("event"), "track_id")
+
+
+def export(rows: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """The five products of valid answers (rows as `aggregate` takes them), written as JSON lines
+    below folder and read again: objects, tracks, events, semantic (of both), statistics."""
+    spark, out = rows.sparkSession, {}
+
+    def product(name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").json(f"{folder}/{name}")
+        out[name] = spark.read.schema(df.schema).json(f"{folder}/{name}")
+
+    product("object_metadata", normalized(rows))
+    product("track_metadata", aggregate(out["object_metadata"]))
+    product("event_metadata", grouped_events(out["track_metadata"]))
+    one = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns)).alias("value"))
+    product("semantic_metadata", one("track", out["track_metadata"]).unionByName(one("event", out["event_metadata"])))
+    product("statistics", statistics(out["track_metadata"]))
+    return out
+
+
 def statistics(tracks: DataFrame) -> DataFrame:
     """How often each object, action, attribute and colour occurs: one pass over all four."""
     one = lambda kind, c: F.when(F.col(c).isNotNull(), F.array(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value")))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))

@@ -6,13 +6,25 @@ import json
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.functions import text as T
 from trackloom.operators import events, pairs, quality, tracks
 from trackloom.plans import encoders, staging
 
 
+def run_folder(spark: SparkSession, root: str, video: str, clean: bool = True) -> str:
+    """The folder of a run over a video, root/production_runs/<name of the file>; a run before it
+    is removed if clean."""
+    name = video.rstrip("/").rpartition("/")[2].rpartition(".")[0] or video
+    slug = spark.range(1).select(T.slug(F.lit(name))).first()[0]
+    folder = f"{root.rstrip('/')}/production_runs/{slug}"
+    if clean and staging.exists(spark, folder):
+        staging.delete(spark, folder)
+    return folder
+
+
 @dataclass
 class Ingest:
     """The products of observations; each is planned when it is first asked for. Products of a

@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
+    """The folder of all that this application stages."""
     return f"{shared_dir(spark)}/trackloom-staged/{spark.sparkContext.applicationId}"
 
 
@@ -57,11 +58,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df and read it again: what several plans use is computed once, and the loss of
     an executor doesn't bring it back."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex[:10]}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:10]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
     """Remove all that this application has staged; for its end."""
-    delete(spark, _folder(spark))
+    delete(spark, folder(spark))

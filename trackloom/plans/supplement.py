@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from trackloom.functions import text as T
 from trackloom.operators import clips, datasets, index, metadata, quality, retrieval, sampling, tracks
 from trackloom.operators import colors as color_ops
-from trackloom.plans.catalogue import _HSV_SQL, _VLM_SQL, _both, _frames, _pixels, _responses, csv, ingest, query
+from trackloom.plans import search, staging
+from trackloom.plans.catalogue import _HSV_SQL, _VLM_SQL, ASKED_VECTOR, _both, _frames, _pixels, _responses, _vectored, csv, ingest, query
 from trackloom.plans.oracle import from_chain
-from trackloom.sources import readers
+from trackloom.sources import readers, schemas
 from trackloom.sources import testdata as D
 
 # Detections, crops and their verification
@@ -202,6 +206,62 @@ def clip_references(spark, sf_dir):
     return clips.references(rows)
 
 
+# The whole search path, with an encoder that gives one stated vector
+
+
+class Stated:
+    """An encoder that knows one question."""
+
+    def __init__(self, vector):
+        self.dimension, self.vector = len(vector), np.asarray(vector, np.float64)
+
+    def encode(self, texts):
+        return np.stack([self.vector] * len(texts))
+
+
+def _indexed(spark, sf_dir):
+    e = D.table(spark, sf_dir, "embeddings")
+    asked = e.where(f"vec_id = {ASKED_VECTOR}").select("embedding").first().embedding
+    # Encoders give vectors of length one; so the stated one is brought to it, which leaves angles as they are.
+    length = sum(float(x) ** 2 for x in asked) ** 0.5
+    d = _vectored(spark, sf_dir, ingest(spark, sf_dir).get("documents").withColumn("document", F.col("text")))
+    return d, Stated([float(x) / length for x in asked])
+
+
+def _near(where: str, fetched: int, k: int, then: str = "true", extra: str = "true") -> str:
+    double = "list_transform({}, lambda x: x::DOUBLE)"
+    order = "hybrid_score DESC, similarity DESC, quality_score DESC, distance, event_id"
+    return from_chain(
+        f"""SELECT event_id, similarity, hybrid_score, row_number() OVER (ORDER BY {order}) AS rank FROM (
+        SELECT * FROM (SELECT *, round(greatest(-1.0, least(1.0, 1 - distance)), 4) AS similarity, round(round(greatest(-1.0, least(1.0, 1 - distance)), 4) + 0.08 * quality_score, 4) AS hybrid_score FROM (
+          SELECT d0.*, round(1 - list_cosine_similarity({double.format("e.embedding")}, {double.format("q.embedding")}), 12) AS distance FROM documents_of d0
+          JOIN embeddings e ON e.vec_id = CAST(split_part(document_id, '_', 3) AS BIGINT) * 37 % (SELECT count(*) FROM embeddings) JOIN embeddings q ON q.vec_id = 7 WHERE {where})
+        ORDER BY distance, event_id LIMIT {fetched}) WHERE {extra} ORDER BY {order} LIMIT 25) WHERE {then} ORDER BY {order} LIMIT {k}"""
+    )
+
+
+@query(_near("true", 40, 5))
+def search_nearest(spark, sf_dir):
+    """A question without constraints: the nearest 40, ranked by similarity and quality."""
+    d, encoder = _indexed(spark, sf_dir)
+    return search.search(d, encoder, "what happened here", 5).select("event_id", "similarity", "hybrid_score", "rank")
+
+
+@query(_near("event_type = 'relationship_event'", 40, 5, extra="similarity >= 0.02"))
+def search_limited(spark, sf_dir):
+    """Over the rows of one kind, and those of some similarity at least."""
+    d, encoder = _indexed(spark, sf_dir)
+    found = search.search(d, encoder, "what happened here", 5, least_similarity=0.02, where={"event_type": "relationship_event"})
+    return found.select("event_id", "similarity", "hybrid_score", "rank")
+
+
+@query(_near("true", 200, 4))
+def search_orchestrated(spark, sf_dir):
+    """Over-fetch, intent, one row for each event, rank anew."""
+    d, encoder = _indexed(spark, sf_dir)
+    return search.orchestrate(d, encoder, "what happened here", 4)[0].select("event_id", "similarity", "hybrid_score", "rank")
+
+
 # Loose values
 
 
@@ -251,3 +311,56 @@ def dataset_presence(spark, sf_dir):
     split = F.when(F.col("p_partkey") % 5 == 0, "val").otherwise("train")
     p = D.table(spark, sf_dir, "part").select(split.alias("split"), (F.col("p_partkey") % 2).alias("half"))
     return datasets.presence({"a": p.where("half = 0"), "b": p.where("half = 1 AND split = 'train'"), "c": p.where("half = 2")})
+
+
+# Files: written, and read again by the scans
+
+
+def _written(spark, rows, form: str):
+    path = f"{staging.folder(spark)}/files-{uuid.uuid4().hex[:10]}"
+    rows.write.format(form).save(path)
+    return path
+
+
+@query(f"WITH {D.obs_sql(4)} SELECT video_id, track_id, class_id, class_name, frame_index, timestamp_seconds, confidence, x1, y1, x2, y2 FROM obs")
+def observation_files(spark, sf_dir):
+    """Track files of several videos, one JSON document each."""
+    o = D.observations(spark, sf_dir, 4)
+    box = F.struct("x1", "y1", "x2", "y2").alias("bounding_box")
+    per = o.groupBy("video_id", "track_id", "class_id", "class_name").agg(F.array_sort(F.collect_list(F.struct("frame_index", "timestamp_seconds", "confidence", box))).alias("observations"))
+    track = F.struct(F.col("track_id").cast("string"), F.struct("track_id", "class_id", "class_name", "observations"))
+    files = per.groupBy("video_id").agg(F.map_from_entries(F.collect_list(track)).alias("tracks")).select(F.struct(F.col("video_id").alias("video_name")).alias("video"), "tracks")
+    rows = readers.observations(spark.read.schema(schemas.TRACK_FILE).json(_written(spark, files, "json")))
+    return rows.select("video_id", "track_id", "class_id", "class_name", "frame_index", "timestamp_seconds", "confidence", "bbox.*")
+
+
+@query(f"WITH {D.OBS_SQL} SELECT frame_index AS frame, track_id AS target, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, confidence AS score, class_id AS category FROM obs")
+def annotation_files(spark, sf_dir):
+    o = D.observations(spark, sf_dir)
+    lines = o.select("frame_index", "track_id", "x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), "confidence", "class_id", F.lit(0).alias("truncation"), F.lit(0).alias("occlusion"))
+    return readers.annotations(spark, _written(spark, lines, "csv")).select("frame", "target", "x", "y", "w", "h", "score", "category")
+
+
+@query(from_chain("SELECT document_id, text, event_type FROM documents_of"))
+def document_files(spark, sf_dir):
+    """Documents whose text has different names, in one JSON document for each type of event."""
+    d = ingest(spark, sf_dir).get("documents")
+    pair = F.col("event_type") == "relationship_event"
+    one = F.struct("document_id", F.when(pair, " ").alias("text"), F.when(pair, F.col("text")).alias("event_text"), F.when(~pair, F.col("text")).alias("description"), F.create_map(F.lit("type"), "event_type").alias("metadata"))
+    files = d.groupBy("event_type").agg(F.collect_list(one).alias("documents")).drop("event_type")
+    found = readers.retrieval_documents(spark.read.schema(schemas.DOCUMENT_FILE).json(_written(spark, files, "json")))
+    return found.select("document_id", "text", F.col("metadata")["type"].alias("event_type"))
+
+
+@query(f"WITH {D.obs_sql(4)} SELECT video_id, 30.0::DOUBLE AS fps, max(frame_index) + 1 AS total_frames, round((max(frame_index) + 1) / 30.0::DOUBLE, 6) AS duration_seconds FROM obs GROUP BY video_id")
+def probed_videos(spark, sf_dir):
+    o = D.observations(spark, sf_dir, 4)
+    probe = o.groupBy("video_id").agg((F.max("frame_index") + 1).alias("total_frames")).withColumns({"fps": F.lit(D.FPS), "frame_width": F.lit(D.WIDTH), "frame_height": F.lit(D.HEIGHT)})
+    return readers.videos(probe).select("video_id", "fps", "total_frames", F.round("duration_seconds", 6).alias("duration_seconds"))
+
+
+@query("SELECT vec_id, len(embedding) AS dimension FROM embeddings")
+def embedding_rows(spark, sf_dir):
+    e = D.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    size = e.select(F.max(F.size("embedding"))).first()[0]
+    return readers.embeddings(e, size).select("vec_id", F.size("embedding").cast("bigint").alias("dimension"))
