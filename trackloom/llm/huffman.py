@@ -179,7 +179,9 @@ def _sorted(docs: DataFrame) -> DataFrame:
 
 def write_huffman(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, limit: int = 20) -> None:
     """Encode every whole text (null: empty), append end_id, and store all ids below path in
-    ascending doc_id order (null ids first; equal ids by their texts' checksum).
+    ascending doc_id order (null ids first; equal ids by their texts' checksum; repeated rows are
+    each stored). Texts may be of any length; an empty table gives a store without documents; extra
+    columns aren't read.
 
     The texts are dealt out by ranges of doc_id and encoded once, to blocks of plain ids
     that are staged in the shared folder; these are counted, and then coded one by one.

@@ -207,6 +207,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A word is a run of letters. lang_pred is the language of most bytes of words (ties: the
     first by name), score its share. Null texts and texts without a letter: und, 0, no spans.
+    Texts of any length are read whole, repeated rows each give their row, an empty table gives
+    none, extra columns aren't read.
     """
     names = pa.array([*model.languages, "und"])
     und = len(model.languages)

@@ -281,8 +281,9 @@ def simhash_components(docs: DataFrame, n: int = 3, radius: int = 2) -> DataFram
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Null and empty texts, and those without words, have fingerprint zero and link like any
-    other. Repeated rows each keep their row. A null doc_id takes part, but can't be the
-    smallest of its component unless all are null.
+    other. Repeated rows each keep their row; texts of any length count whole; an empty table gives
+    none; extra columns aren't read. A null doc_id takes part, but can't be the smallest of its
+    component unless all are null.
     """
     fps = common.materialize(fingerprints(docs, n), "simhash")
     of = common.materialize(link_fingerprints(fps, radius), "components")
