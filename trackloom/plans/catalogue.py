@@ -37,14 +37,17 @@ _INGESTS: dict = {}
 
 def ingest(spark: SparkSession, sf_dir: str, colored: bool = True, videos: int = 1) -> Ingest:
     """The products of the observations of a folder. They are shared by all queries of an
-    application for as long as the folder's events are those they were made of."""
+    application for as long as the folder's events are those they were made of, and what was
+    staged of them is there."""
     made_of = staging.stamp(spark, f"{sf_dir}/events.parquet")
     key = (spark.sparkContext.applicationId, sf_dir, colored, videos)
-    if _INGESTS.get(key, (None, None))[0] != made_of:
-        observations = staging.staged(D.observations(spark, sf_dir, videos), "observations")
-        colors = D.colors(spark, sf_dir, videos) if colored else None
-        _INGESTS[key] = made_of, Ingest(observations, D.WIDTH, D.HEIGHT, D.FPS, colors)
-    return _INGESTS[key][1]
+    known, path, shared = _INGESTS.get(key, (None, None, None))
+    if known != made_of or not staging.exists(spark, path):
+        path = staging.fresh(spark, "observations")
+        observations = staging.staged(D.observations(spark, sf_dir, videos), "observations", path)
+        shared = Ingest(observations, D.WIDTH, D.HEIGHT, D.FPS, D.colors(spark, sf_dir, videos) if colored else None)
+        _INGESTS[key] = made_of, path, shared
+    return shared
 
 
 def csv(column):

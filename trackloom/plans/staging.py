@@ -54,11 +54,16 @@ def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
     return s.getModificationTime(), s.getLen()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df and read it again: what several plans use is computed once, and the loss of
-    an executor doesn't bring it back."""
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path below the folder that nothing has been written to."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex[:10]}"
+
+
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df (to a fresh path) and read it again: what several plans use is computed once,
+    and the loss of an executor doesn't bring it back."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:10]}"
+    path = path or fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

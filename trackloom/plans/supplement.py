@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -317,7 +315,7 @@ def dataset_presence(spark, sf_dir):
 
 
 def _written(spark, rows, form: str):
-    path = f"{staging.folder(spark)}/files-{uuid.uuid4().hex[:10]}"
+    path = staging.fresh(spark, "files")
     rows.write.format(form).save(path)
     return path
 
