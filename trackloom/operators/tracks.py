@@ -141,10 +141,10 @@ def crop_counts(crops: DataFrame) -> DataFrame:
 
 
 def class_counts(detections: DataFrame) -> DataFrame:
-    """Detections of each class of each video: frames, boxes, mean and best confidence."""
+    """Detections of each class of each video: frames, boxes, total, mean and best confidence."""
     return keyed(detections).groupBy("video_id", "class_name").agg(
         F.count_distinct("frame_index").alias("frames"), F.count("*").alias("detections"),
-        F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.max("confidence").alias("best_confidence"),
+        F.round(F.sum("confidence"), 4).alias("total_confidence"), F.avg("confidence").alias("mean_confidence"), F.max("confidence").alias("best_confidence"),
     )
 
 
