@@ -63,3 +63,29 @@ def test_quality_thresholds(spark):
     assert [value(spark, S.quality_label(F.lit(x))) for x in (0.8, 0.79, 0.6, 0.59)] == ["high", "medium", "medium", "low"]
     assert [value(spark, S.reliability_status(F.lit(x))) for x in (0.65, 0.64, 0.4, 0.39)] == ["reliable", "review", "review", "reject"]
     assert value(spark, S.similarity(F.lit(2.5))) == -1.0
+
+
+def test_sql_functions_are_the_column_functions(spark):
+    from pyspark.sql import functions as F
+
+    from trackloom.functions import geometry, scoring, sql
+    from trackloom.operators import sampling
+
+    assert len(sql.register(spark)) == len(sql.FUNCTIONS)
+    df = spark.range(0, 300).selectExpr("id / 100.0D AS v", "(id % 7) * 1.0D AS a", "(id % 5) * 2.0D AS b")
+    box = lambda x: (F.col(x), F.col(x), F.col(x) + 3, F.col(x) + 2)
+    rows = df.select(
+        F.expr("trackloom_similarity(v)"), scoring.similarity(F.col("v")), F.expr("trackloom_quality_label(v)"), scoring.quality_label(F.col("v")),
+        F.expr("trackloom_reliability_status(v)"), scoring.reliability_status(F.col("v")), F.expr("trackloom_motion_level(v * 10)"), sampling.level(F.col("v") * 10),
+        F.expr("trackloom_iou(a, a, a + 3, a + 2, b, b, b + 3, b + 2)"), geometry.iou(box("a"), box("b")),
+    ).collect()
+    assert all(r[k] == r[k + 1] for r in rows for k in range(0, 10, 2))
+
+
+def test_saved_results(spark, tmp_path):
+    import json
+
+    from trackloom.sources import sinks
+
+    sinks.save_result(spark, {"query": "q", "results": [{"rank": 1}]}, str(tmp_path / "r"))
+    assert json.loads(spark.read.text(str(tmp_path / "r")).first().value)["results"] == [{"rank": 1}]

@@ -89,3 +89,9 @@ def image_records(images: DataFrame, tracks: DataFrame) -> DataFrame:
     r = images.withColumn("rank", rank).withColumn("embedding_id", F.concat("track_id", F.lit("_rank_"), F.col("rank").cast("string"))).join(tracks, "track_id", "left")
     words = [c for c in ("object_type", "action", "orientation", "visibility") if c in tracks.columns]
     return r.withColumn("description", F.trim(F.concat_ws(" ", *[F.col(c) for c in words])))
+
+
+def described(images: DataFrame) -> DataFrame:
+    """Records for a plain append: without a description the track and the image name stand in."""
+    fallback = F.concat_ws(" ", F.col("track_id").cast("string"), "image_name")
+    return images.withColumn("description", F.coalesce(F.nullif(F.trim("description"), F.lit("")), fallback))

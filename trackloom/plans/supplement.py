@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from trackloom.functions import sql
 from trackloom.functions import text as T
 from trackloom.operators import clips, datasets, index, metadata, quality, retrieval, sampling, tracks
 from trackloom.operators import colors as color_ops
 from trackloom.plans import search, staging
 from trackloom.plans.catalogue import _HSV_SQL, _VLM_SQL, ASKED_VECTOR, _both, _frames, _pixels, _responses, _vectored, csv, ingest, query
 from trackloom.plans.oracle import from_chain
-from trackloom.sources import readers, schemas
+from trackloom.sources import readers, schemas, sinks
 from trackloom.sources import testdata as D
 
 # Detections, crops and their verification
@@ -260,6 +261,51 @@ def search_orchestrated(spark, sf_dir):
     return search.orchestrate(d, encoder, "what happened here", 4)[0].select("event_id", "similarity", "hybrid_score", "rank")
 
 
+# Clips, images, SQL functions
+
+
+_SINGLE = "SELECT event_id, CASE WHEN d > 0 THEN round(d, 4) END AS duration, CASE WHEN d > 0 THEN CAST(floor(d * 30.0) AS BIGINT) END AS frames, CASE WHEN d > 0 THEN round((s + e) / 2, 5) END AS thumbnail_time, CASE WHEN NOT coalesce(d > 0, false) THEN 'the clip has no duration' END AS error FROM (SELECT event_id, start_time_seconds AS s, end_time_seconds AS e, greatest(0.0, end_time_seconds - start_time_seconds) AS d FROM composite)"
+
+
+def _singles(spark, sf_dir):
+    return clips.single(ingest(spark, sf_dir).get("composite_events"), D.FPS)
+
+
+@query(from_chain(f"SELECT event_id, duration, frames, thumbnail_time, error FROM ({_SINGLE})"))
+def single_clips(spark, sf_dir):
+    return _singles(spark, sf_dir).select("event_id", "duration", "frames", "thumbnail_time", "error")
+
+
+@query(from_chain(f"SELECT count(duration) AS clips, count(error) AS errors, round(sum(duration), 4) AS total_duration FROM ({_SINGLE})"))
+def clip_statistics(spark, sf_dir):
+    return clips.clip_statistics(_singles(spark, sf_dir))
+
+
+@query(_near("true", 40, 3))
+def clip_selection(spark, sf_dir):
+    """The results that clips are asked for."""
+    d, encoder = _indexed(spark, sf_dir)
+    return clips.selected(search.search(d, encoder, "what happened here", 5), 3).select("event_id", "similarity", "hybrid_score", "rank")
+
+
+@query(from_chain("SELECT track_id, CASE WHEN rank = 1 THEN class_name ELSE CAST(track_id AS VARCHAR) || ' ' || printf('frame_%06d.jpg', frame_index) END AS description FROM crops"))
+def image_append(spark, sf_dir):
+    """Appended in two parts, the second without descriptions."""
+    crops = tracks.best_crops(D.observations(spark, sf_dir), D.WIDTH, D.HEIGHT)
+    rows = crops.select("track_id", "rank", F.format_string("frame_%06d.jpg", "frame_index").alias("image_name"), F.when(F.col("rank") == 1, F.col("class_name")).when(F.col("rank") == 2, " ").alias("description"))
+    path = staging.fresh(spark, "images")
+    sinks.append(index.described(rows.where("rank = 1")), path)
+    return sinks.append(index.described(rows.where("rank > 1")), path).select("track_id", "description")
+
+
+@query("SELECT event_id, round(greatest(-1.0, least(1.0, 1 - value / 100)), 4) AS similarity, CASE WHEN value / 100 >= 0.8 THEN 'high' WHEN value / 100 >= 0.6 THEN 'medium' ELSE 'low' END AS label, CASE WHEN value / 100 >= 0.65 THEN 'reliable' WHEN value / 100 >= 0.4 THEN 'review' ELSE 'reject' END AS status, CASE WHEN value / 10 < 2 THEN 'low' WHEN value / 10 < 12 THEN 'medium' ELSE 'high' END AS level FROM events")
+def sql_functions(spark, sf_dir):
+    """The scalar functions by their names in SQL."""
+    sql.register(spark)
+    e = D.table(spark, sf_dir, "events").selectExpr("event_id", "CAST(value AS DOUBLE) AS value")
+    return e.selectExpr("event_id", "trackloom_similarity(value / 100) AS similarity", "trackloom_quality_label(value / 100) AS label", "trackloom_reliability_status(value / 100) AS status", "trackloom_motion_level(value / 10) AS level")
+
+
 # Loose values
 
 
@@ -362,3 +408,14 @@ def embedding_rows(spark, sf_dir):
     e = D.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     size = e.select(F.max(F.size("embedding"))).first()[0]
     return readers.embeddings(e, size).select("vec_id", F.size("embedding").cast("bigint").alias("dimension"))
+
+
+# Spoken questions
+
+
+@query("SELECT conv_id, turn, CASE WHEN lower(t) LIKE '%person%' OR lower(t) LIKE '%car%' OR lower(t) LIKE '%blue%' OR lower(t) LIKE '%shirt%' THEN 'en' ELSE 'unknown' END AS language, trim(regexp_replace(lower(t), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS query FROM (SELECT conv_id, turn, ['Show the  BLUE car', ' Wo ist der Bus? ', 'A person in a\tshirt', 'nichts'][(conv_id + turn) % 4 + 1] AS t FROM conversations)")
+def voice_queries(spark, sf_dir):
+    c = D.table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    asked = F.array(*[F.lit(x) for x in ("Show the  BLUE car", " Wo ist der Bus? ", "A person in a\tshirt", "nichts")])
+    t = F.element_at(asked, ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    return c.select("conv_id", "turn", T.voice_language(t).alias("language"), T.voice_query(t).alias("query"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,18 @@ def insert_if_absent(incoming: DataFrame, spark: SparkSession, path: str, key: s
     return n
 
 
+def append(df: DataFrame, path: str) -> DataFrame:
+    """Add the rows to the table at path, whatever it holds; the whole table."""
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def save_result(spark: SparkSession, response: dict, path: str) -> None:
+    """Write a response of a search as one JSON document."""
+    rows = spark.createDataFrame([(json.dumps(response, default=str),)], "value string")
+    rows.coalesce(1).write.mode("overwrite").text(path)
+
+
 def create_tables(spark: SparkSession, database: str | None = None) -> None:
     """The relational tables."""
     prefix = f"{database}." if database else ""
