@@ -105,7 +105,7 @@ class WordIds:
                 return self.flat(data, off)
             raw, at = data.tobytes(), miss[first]
             new = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            got = [x for k in range(0, len(new), 50_000) for x in self.learn(new[k : k + 50_000])]
+            got = [x for k in range(0, len(new), 12_000) for x in self.learn(new[k : k + 12_000])]
             self.table.add(fresh, got)
             slot[miss] = self.table.find(prints[miss])
         begin, count = self.table.begin[slot], self.table.count[slot].astype(np.int64)
