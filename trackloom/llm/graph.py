@@ -26,7 +26,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         low = common.materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), tag)
         large = common.materialize(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), tag)
         low = common.materialize(large.groupBy("a").agg(F.min("b").alias("m")), tag)
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
+        hung = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(low, "a").select(F.explode(hung).alias("e")).select("e.*").where("a != b").distinct()
         now = common.materialize(small, tag)
         r = now.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == tuple(r):

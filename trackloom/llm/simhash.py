@@ -424,7 +424,8 @@ def near_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, keyed: boo
         for whole in batches:
             for b in common.slices(whole, "text", 1 << 20):
                 words, keys, sizes = sketches(*common.flat_text(b.column(1)), n)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(sizes)], ["doc_id", "key", "print", "bands", "size"])
+                blobs = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (words, keys)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *blobs, pa.array(sizes)], ["doc_id", "key", "print", "bands", "size"])
 
     whole = common.materialize(docs.mapInArrow(common.tidy(sketch), "doc_id long, key long, print binary, bands binary, size long"), "sketches")
     distinct = common.materialize(whole.where("doc_id is not null").groupBy("print", "bands").agg(F.min("key").alias("rep"), F.max("size").alias("size")), "distinct")
