@@ -50,7 +50,11 @@ def presence(datasets: dict[str, DataFrame], splits: tuple[str, ...] = ("train",
 def pairing(images: DataFrame, labels: DataFrame) -> DataFrame:
     """Images and labels of each split, those without the other, and whether all match."""
     both = images.select("split", "stem", F.lit(1).alias("i")).join(labels.select("split", "stem", F.lit(1).alias("l")), ["split", "stem"], "full")
-    return both.groupBy("split").agg(F.count("i").alias("images"), F.count("l").alias("labels"), F.count_if(F.col("l").isNull()).alias("images_without_label"), F.count_if(F.col("i").isNull()).alias("labels_without_image"), F.bool_and(F.col("i").isNotNull() & F.col("l").isNotNull()).alias("complete"))
+    image, label = F.col("i").isNotNull(), F.col("l").isNotNull()
+    return both.groupBy("split").agg(
+        F.count("i").alias("images"), F.count("l").alias("labels"), F.count_if(~label).alias("images_without_label"),
+        F.count_if(~image).alias("labels_without_image"), F.bool_and(image & label).alias("complete"),
+    )
 
 
 def totals(boxes: DataFrame) -> DataFrame:

@@ -41,7 +41,8 @@ def cleaned(rows: DataFrame) -> DataFrame:
 def modes(rows: DataFrame, keys: list[str], columns: list[str], position: str) -> DataFrame:
     """The most frequent value of each column in each group, ties to the first seen. All
     columns in one exchange by the group's keys."""
-    long = rows.select(*keys, position, F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select(*keys, position, "x.*").where("value IS NOT NULL")
+    named = F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in columns])
+    long = rows.select(*keys, position, F.explode(named).alias("x")).select(*keys, position, "x.*").where("value IS NOT NULL")
     counted = long.groupBy(*keys, "what", "value").agg(F.count("*").alias("n"), F.min(position).alias("seen"))
     best = counted.groupBy(*keys, "what").agg(F.max_by("value", F.struct("n", (-F.col("seen")).alias("early"))).alias("value"))
     return best.groupBy(*keys).agg(*[F.max(F.when(F.col("what") == c, F.col("value"))).alias(c) for c in columns])
@@ -52,7 +53,9 @@ def aggregate(rows: DataFrame) -> DataFrame:
     confidence, start_time, end_time, duration) -> one row per track."""
     mode = modes(rows, ["track_id"], ["object", "action", "orientation", "visibility"], "position")
     newest = F.struct("position", "value")
-    colors = rows.select("track_id", "position", F.explode("colors").alias("name", "value")).groupBy("track_id", "name").agg(F.max(newest)["value"].alias("value")).groupBy("track_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("colors"))
+    named = rows.select("track_id", "position", F.explode("colors").alias("name", "value"))
+    last = named.groupBy("track_id", "name").agg(F.max(newest)["value"].alias("value"))
+    colors = last.groupBy("track_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("colors"))
     attributes = rows.select("track_id", F.explode("attributes").alias("a")).groupBy("track_id").agg(F.array_sort(F.collect_set("a")).alias("attributes"))
     start, end = F.min("start_time"), F.max("end_time")
     rest = rows.groupBy("track_id").agg(
