@@ -24,8 +24,9 @@ def as_document(rows: DataFrame, name: str = "tracks", **summary) -> DataFrame:
     return rows.groupBy(*by).agg(totals, listed).select(*by, F.to_json(F.struct("summary", name)).alias("document"))
 
 
-def upsert(target: DataFrame, incoming: DataFrame, key: str = "document_id", order: str | None = None) -> DataFrame:
-    """The target with the incoming rows put in their keys' places; of several incoming rows
+def upsert(target: DataFrame, incoming: DataFrame, key: str | list[str] = "document_id", order: str | None = None) -> DataFrame:
+    """The target with the incoming rows put in their keys' places (a key may be of several
+    columns); of several incoming rows
     of a key the last by `order` stays, and among equals one that a hash of the row decides on,
     so that a second run gives the same."""
     ranked = target.withColumn("_batch", F.lit(0)).unionByName(incoming.withColumn("_batch", F.lit(1)))
