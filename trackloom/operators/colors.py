@@ -11,7 +11,8 @@ LEAST_PIXELS, LEAST_SHARE, LEAST_TRACK_SHARE = 150, 0.28, 0.32
 
 
 def vote_weight(color: Column, saturation: Column) -> Column:
-    return F.when(color == "black", 0.45).when(color == "gray", 0.85).when(color == "white", 1.10).when(saturation > 90, 1.20).otherwise(1.0)
+    """In hundredths: whole numbers, whose sums are exact in any order."""
+    return F.when(color == "black", 45).when(color == "gray", 85).when(color == "white", 110).when(saturation > 90, 120).otherwise(100).cast("bigint")
 
 
 def shares(rows: DataFrame, keys: list[str], weight: Column) -> DataFrame:
